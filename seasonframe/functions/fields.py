@@ -123,7 +123,7 @@ def map_view(path: Column) -> Column:
 def split_source_path(path: Column) -> Column:
     """struct(path, filename): the folder below ``references``, with a slash at its end; the name without extension."""
     tidy = F.replace(path, F.lit("\\"), F.lit("/"))
-    below = F.when(tidy.contains("references"), F.regexp_replace(tidy, "^.*?references", "")).otherwise(tidy)
+    below = F.when(tidy.contains("references"), F.regexp_replace(tidy, "^.*references", "")).otherwise(tidy)
     last = F.substring_index(below, "/", -1)
     is_file = last.rlike(r"\.[A-Za-z0-9]+$")
     folder = F.when(is_file, F.substr(below, F.lit(1), F.length(below) - F.length(last))).otherwise(below)
