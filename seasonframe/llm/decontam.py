@@ -55,7 +55,7 @@ class _Group:
 class EditIndex:
     """Items as codes, and the repetitions of the LSH over them."""
 
-    def __init__(self, texts: list[str], max_edits: float = 0.2, min_words: int = 5, recall: float = 0.95, max_repetitions: int = 16, seed: int = 5):
+    def __init__(self, texts: list[str], max_edits: float = 0.2, min_words: int = 5, recall: float = 0.98, max_repetitions: int = 32, seed: int = 5):
         rng = np.random.default_rng(seed)
         split = [_words(t or "") for t in texts]
         self.used = [k for k, w in enumerate(split) if len(w) >= min_words]
@@ -71,7 +71,7 @@ class EditIndex:
             return
         level = np.floor(np.log(self.lengths) / np.log(_GROWTH)).astype(np.int64)
         # edited copies between unknown words, as in a document
-        copies = [(int(k), self._edited(rng, int(k))) for k in rng.integers(0, len(self.items), 150)]
+        copies = [(int(k), self._edited(rng, int(k))) for k in rng.integers(0, len(self.items), 300)]
         seen = np.zeros(len(copies), bool)
         for r in range(max_repetitions):
             self.repetitions.append(self._repetition(rng, level, (0.0, 0.3, 0.5)[r % 3]))
@@ -97,11 +97,11 @@ class EditIndex:
             members = np.flatnonzero(level == g)
             least = int(self.lengths[members].min())
             offset = int(start * least)
-            # samples a few steps apart: else the pointer may still be on the same word
-            room = max(int(1.6 * (least - offset)) - first, 2 * _SAMPLES)
-            apart = np.linspace(0, room, _SAMPLES + 1)
-            steps = (first, *(first + int(rng.integers(max(a + apart[1] / 3, 1), b)) for a, b in zip(apart[:-2], apart[2:], strict=True)))
-            steps = tuple((np.maximum.accumulate(np.array(steps) - np.arange(_SAMPLES)) + np.arange(_SAMPLES)).tolist())
+            # the second sample soon after the first, which ends most searches early; the others spread over the rest
+            room = max(int(1.6 * (least - offset)) - first, 3 * _SAMPLES)
+            second = int(rng.integers(3, 6))
+            rest = np.linspace(second, room, _SAMPLES - 1)
+            steps = (first, first + second, *(first + 3 + int(rng.integers(a, b)) for a, b in zip(rest[:-1], rest[1:], strict=True)))
             chosen.append((members, offset, steps))
         walk = rng.integers(0, 2, (max(s[-1] for _, _, s in chosen) + 1, self.size + 1)).astype(np.int64)
         groups = []
@@ -110,12 +110,14 @@ class EditIndex:
             for k in members:
                 # one past the vocabulary: the item has ended, and its sample can't be met
                 word = np.append(self.items[k][offset:], np.full(steps[-1] + 1, self.size))
-                at, out = 0, []
+                at, out, places = 0, [], set()
                 for j in range(steps[-1] + 1):
                     if j in steps:
                         out.append(int(word[at]))
+                        places.add(at)
                     at += int(walk[j, word[at]])
-                if self.size not in out:
+                # samples of one and the same word tell too little: the item sits this repetition out
+                if self.size not in out and len(places) == _SAMPLES:
                     pairs.append(out[0] * self.size + out[1])
                     codes.append(self._code(out))
                     items.append(k)
@@ -133,29 +135,30 @@ class EditIndex:
         """Starts of windows, and the items that the windows may be near to."""
         starts, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         reach = max((len(walk) for walk, _ in self.repetitions), default=0)
-        padded = np.append(words, np.full(reach + 1, self.other))
+        padded = np.append(words, np.full(reach + 1, self.other)).astype(np.int32)
         for walk, groups in self.repetitions if repetitions is None else repetitions:
             step = groups[0].steps[0]
             at = np.arange(len(words))
             for j in range(step):
-                at += walk[j][padded[at]]
-            word = padded[at]
-            for g in groups:
-                # most windows end at the first sample, nearly all at the second
-                begins = np.zeros(self.size + 1, bool)
-                begins[g.first // self.size] = True
-                window = np.flatnonzero(begins[word])
-                here, code = at[window], word[window]
+                at += walk[j].take(padded.take(at))
+            # a bit for each group that has an item with this first sample
+            begins = np.zeros(self.size + 1, np.int32)
+            for bit, g in enumerate(groups):
+                begins[np.unique(g.first // self.size)] |= 1 << bit
+            word = padded.take(at)
+            begun = begins.take(word)
+            for bit, g in enumerate(groups):
+                window = np.flatnonzero(begun & (1 << bit))
+                if not len(window):
+                    continue
+                here, code = at.take(window), word.take(window).astype(np.int64)
                 for k in range(1, _SAMPLES):
                     for j in range(g.steps[k - 1], g.steps[k]):
-                        here = here + walk[j][padded[here]]
-                    code = code * self.size + padded[here]
+                        here += walk[j].take(padded.take(here))
+                    code = code * self.size + padded.take(here)
                     known = g.first if k == 1 else g.codes
-                    if not len(known):
-                        window = window[:0]
-                        break
                     spot = np.searchsorted(known, code)
-                    hit = known[np.minimum(spot, len(known) - 1)] == code
+                    hit = known.take(spot, mode="clip") == code
                     window, here, code = window[hit], here[hit], code[hit]
                 if len(window):
                     lo, hi = np.searchsorted(g.codes, code, "left"), np.searchsorted(g.codes, code, "right")
