@@ -84,6 +84,7 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", tex
     rows = checkpointed(rows)  # whole texts are read once
     # copies take the metadata of the least key among them
     groups = rows.groupBy("__text", "size").agg(F.min(F.struct(quoted(key).alias("k"), *names)).alias("g"))
+    groups = checkpointed(groups)  # else the join shares the sum's partitions, and a hot group's rows can't be split
     rows = rows.drop(*names).join(groups, ["__text", "size"]).select(key, "size", "text_crc32", "__text", *[F.col(f"g.{n}").alias(n) for n in names])
     ends = groups.agg(*[f(F.col(f"g.{n}")) for n in names for f in (F.min, F.max)]).first()
     numbers = [_as_number(F.col(n), _common_prefix(*ends[2 * k : 2 * k + 2])) for k, n in enumerate(names)] + [F.col("size")]
