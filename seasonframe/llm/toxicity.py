@@ -13,6 +13,7 @@ text; repeated rows score alike; columns of the input with an output's name give
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,16 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, quoted
 
-PASSAGE = 8
-STRIDE = 4
+PASSAGE = 2
+STRIDE = 1
 BATCH = 64
 _SIZES = (3, 4, 5, 6)
-_BITS = 16
+_BITS = 18
 _CACHE = 400_000
 
 
 def _ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram buckets of all words, one word after another, and the number of each."""
+    """The buckets of all words, one word after another, and the number of each: n-grams and the whole word."""
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     data = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64) + np.uint64(1)
     ends = np.repeat(np.cumsum(lengths), lengths)
@@ -49,6 +50,8 @@ def _ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not len(mixed):
             break
     owner, bucket = np.concatenate(of), np.concatenate(found)
+    whole = np.fromiter((zlib.crc32(w) & ((1 << _BITS) - 1) for w in words), np.int64, len(words))
+    owner, bucket = np.append(owner, np.arange(len(words))), np.append(bucket, whole)
     return bucket[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
@@ -165,10 +168,13 @@ def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8,
             p /= len(y)
             g_soft, g_bias, g_mean = mean.T @ p, p.sum(axis=0), p @ soft.T / size[:, None]
             g_word = np.stack([np.bincount(where, g_mean[row, d], minlength=len(word)) for d in range(dim)], axis=1) / np.maximum(n, 1)[:, None]
-            g_vec = np.stack([np.bincount(grams, g_word[of, d], minlength=1 << _BITS) for d in range(dim)], axis=1)
-            for value, grad, seen in ((vectors, g_vec, seen_v), (soft, g_soft, seen_s), (bias, g_bias, seen_b)):
+            used, where = np.unique(grams, return_inverse=True)
+            g_vec = np.stack([np.bincount(where, g_word[of, d], minlength=len(used)) for d in range(dim)], axis=1)
+            seen_v[used] += g_vec * g_vec
+            vectors[used] -= rate * g_vec / np.sqrt(seen_v[used])
+            for value, grad, seen in ((soft, g_soft, seen_s), (bias, g_bias, seen_b)):
                 seen += grad * grad
-                value -= rate * grad / np.sqrt(seen) * (1 if value is vectors else 0.1)
+                value -= 0.1 * rate * grad / np.sqrt(seen)
     weights = vectors @ (soft[:, 1] - soft[:, 0])
     scores = word_scores()
     known = use[held] if held.any() else fit
@@ -203,7 +209,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """Add ``score`` and ``predicted`` (1 from ``threshold`` on) to every row, from the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 numbers
 
     def make():
         model = shared.value
