@@ -61,9 +61,10 @@ def map_columns(
     new = {f.name.lower() for f in added.fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     used = list(dict.fromkeys([*kept, *inputs]))
-    source = df.select(*[quoted(c) for c in used])
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in source.schema.fields if f.name in kept] + added.fields)
-    kept = [f.name for f in source.schema.fields if f.name in kept]
+    # plain names within: mapInArrow() can't take a dot in a name
+    plain = {c: f"__c{k}" for k, c in enumerate(used)}
+    source = df.select(*[quoted(c).alias(n) for c, n in plain.items()])
+    schema = T.StructType([T.StructField(plain[c], source.schema[plain[c]].dataType, True) for c in kept] + added.fields)
     names = [f.name for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +78,16 @@ def map_columns(
                 values = compute(*[batch.column(used.index(c)).to_pylist() for c in inputs])
                 arrays = [batch.column(used.index(c)) for c in kept]
                 arrays += [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*[F.col(plain[c]).alias(c) for c in kept], *names)
 
 
 def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
     """The rows of ``df`` for which the function that ``make`` returns says true of the values of ``column``."""
     at = df.columns.index(column)
+    plain = {c: f"__c{k}" for k, c in enumerate(df.columns)}
+    source = df.select(*[quoted(c).alias(n) for c, n in plain.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = make()
@@ -95,4 +98,4 @@ def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list],
                 if out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, df.schema)
+    return source.mapInArrow(run, source.schema).select(*[F.col(n).alias(c) for c, n in plain.items()])

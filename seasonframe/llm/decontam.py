@@ -258,7 +258,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, benchmark.schema[item_key].dataType), *T._parse_datatype_string("edits int, item_words int, start int, end int").fields])
     result = None
     for b in range(blocks):
-        block = sorted(items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect(), key=lambda r: (r["k"] is None, r["k"], r["t"]))
+        block = sorted(items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect(), key=lambda r: (r["t"], r["k"] is None, r["k"]))
         index = EditIndex([r["t"] for r in block], max_edits, **options)
         shared = docs.sparkSession.sparkContext.broadcast((index, [r["k"] for r in block]))
         found = rows.mapInArrow(_searcher(shared, key, item_key, schema), schema)

@@ -259,8 +259,8 @@ def connected(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row a document: its key, ``fp`` and ``component`` (the smallest key reachable); ``extra``: more columns,
-    expressions over ``docs``, to carry along."""
+    """One row a document: its key, ``fp``, ``root`` (the code that names its component) and ``component`` (the
+    smallest key reachable); ``extra``: more columns, expressions over ``docs``, to carry along."""
     extra = extra or {}
     rows = docs.select(quoted(key).alias(key), quoted(text).alias("__text"), *[c.alias(n) for n, c in extra.items()])
     rows = checkpointed(fingerprint_texts(rows, "__text", [key, *extra]))
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ex
     roots = connected(link_codes(codes.select("fp")))
     named = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = named.join(smallest, "root").select(F.col("fp").alias("code"), "component")
+    classes = named.join(smallest, "root").select(F.col("fp").alias("code"), "root", "component")
     return rows.join(classes, rows["fp"] == classes["code"], "left").drop("code")
 
 
@@ -280,9 +280,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """One row of each component: that with the smallest key; of several with it, that with the smallest text hash."""
     mark = F.xxhash64(F.coalesce(quoted(text), F.lit("")))
     found = near_duplicates(docs, key, text, {"__mark": mark})
-    # a component without any key is known by its fingerprint's root only: nulls count as one group by fingerprint
-    group = F.when(F.col("component").isNull(), F.col("fp"))
-    best = found.groupBy("component", group.alias("g")).agg(F.min(F.struct(quoted(key).isNull().alias("no"), quoted(key).alias("k"), F.col("__mark").alias("m"))).alias("b"))
+    best = found.groupBy("root").agg(F.min(F.struct(quoted(key).isNull().alias("no"), quoted(key).alias("k"), F.col("__mark").alias("m"))).alias("b"))
     best = best.select(F.col("b.k").alias("__k"), F.col("b.m").alias("__m"))
     kept = docs.withColumn("__mark", mark).join(best, quoted(key).eqNullSafe(F.col("__k")) & (F.col("__mark") == F.col("__m")), "left_semi")
     columns = docs.columns
