@@ -17,10 +17,12 @@ def chartable_absolute(start: Column, end: Column) -> Column:
     return F.coalesce((start != 0) & (end != 0), F.lit(False))
 
 
-def chartable_relative(offset: Column, anchor_name: Column, anchor_type: Column, round_: Column | None = None) -> Column:
-    """Offset and anchor are there; with ``round_`` only what was read directly."""
-    there = offset.isNotNull() & anchor_name.isNotNull() & anchor_type.isNotNull()
-    return there if round_ is None else there & F.coalesce(round_ == 0, F.lit(False))
+def chartable_relative(offset: Column, anchor_name: Column, anchor_type: Column, round_: Column | None = None, drop_zero: bool = False) -> Column:
+    """Offset and anchor are there; with ``round_`` only what was read directly; ``drop_zero`` leaves out offset 0."""
+    there = offset.isNotNull() & ~F.isnan(offset.cast("double")) & anchor_name.isNotNull() & anchor_type.isNotNull()
+    if drop_zero:
+        there = there & (offset != 0)
+    return F.coalesce(there if round_ is None else there & (round_ == 0), F.lit(False))
 
 
 def chart_mode(df: DataFrame, group: list[str], start: str = "start", end: str = "end", offset: str = "offset", anchor_name: str = "anchor_name", anchor_type: str = "anchor_type", round_: str = "round") -> DataFrame:

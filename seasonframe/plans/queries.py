@@ -426,13 +426,47 @@ def consensus_offset(t: Star) -> DataFrame:
     return infer.consensus_offset(rows, ["part"], weight=weight).select("part", "consensus", "n_rows")
 
 
-@query()
+def _inference_sql(rounds: int) -> str:
+    """The inference unrolled: each round's four steps as tables that follow from each other."""
+    kept = "id, place, type, name, part, start, rel_name, rel_days, anchor, score"
+    calc = "off, a_type, a_name, rnd"
+
+    def step(name: str, before: str, off: str, kind: str, anchor: str, rnd: str, joins: str) -> str:
+        new = lambda c, v: f"CASE WHEN s.off IS NULL AND ({off}) IS NOT NULL THEN {v} ELSE s.{c} END AS {c}"
+        columns = ", ".join(f"s.{c}" for c in kept.split(", "))
+        return f"{name} AS MATERIALIZED (SELECT {columns}, {new('off', off)}, {new('a_type', kind)}, {new('a_name', anchor)}, {new('rnd', rnd)} FROM {before} s {joins})"
+
+    tables = [f"""{TYPED},
+base AS (SELECT id, place, typed.type, CAST(part AS VARCHAR) AS name, part, CASE WHEN part % 5 <> 0 THEN start END AS start, CASE WHEN part % 5 = 0 THEN CAST(part + 1 AS VARCHAR) END AS rel_name,
+  CASE WHEN part % 5 = 0 THEN part % 9 END AS rel_days, CAST(anchor AS VARCHAR) AS anchor, s_nationkey + 1.0 AS score FROM typed JOIN anchors USING (type) JOIN supplier ON s_suppkey = place),
+s0 AS MATERIALIZED (SELECT {kept}, CASE WHEN rel_name = anchor THEN rel_days WHEN name = anchor THEN 0 END AS off, CASE WHEN rel_name = anchor OR name = anchor THEN type END AS a_type,
+  CASE WHEN rel_name = anchor OR name = anchor THEN anchor END AS a_name, CASE WHEN rel_name = anchor OR name = anchor THEN CAST(0 AS DOUBLE) END AS rnd FROM base),
+e0 AS (SELECT DISTINCT type, name, CAST(NULL AS BIGINT) AS eo FROM base)"""]
+    for r in range(1, rounds + 1):
+        last, entities = f"s{r - 1}", f"e{r - 1}"
+        tables += [
+            f"y{r} AS (SELECT place, a_type, a_name, start AS y_start, off AS y_off FROM {last} WHERE start IS NOT NULL AND off IS NOT NULL QUALIFY row_number() OVER (PARTITION BY place, a_type, a_name ORDER BY rnd, id) = 1)",
+            step(
+                f"a{r}", last, "s.start - coalesce(x.start - x.off, y.y_start - y.y_off)", "coalesce(x.a_type, s.type)", "coalesce(x.a_name, s.anchor)", f"CASE WHEN x.off IS NOT NULL THEN {r} ELSE {r}.1 END",
+                f"LEFT JOIN {last} x ON x.place = s.place AND x.type = s.type AND x.name = s.anchor AND x.start IS NOT NULL AND x.off IS NOT NULL LEFT JOIN y{r} y ON y.place = s.place AND y.a_type = s.type AND y.a_name = s.anchor",
+            ),
+            f"z{r} AS (SELECT place, rel_name, off - rel_days AS z_off, a_type, a_name FROM a{r} WHERE off IS NOT NULL AND rel_days IS NOT NULL QUALIFY row_number() OVER (PARTITION BY place, rel_name ORDER BY rnd, id) = 1)",
+            step(f"b{r}", f"a{r}", "z.z_off + s.rel_days", "z.a_type", "z.a_name", f"{r}", f"LEFT JOIN z{r} z ON z.place = s.place AND z.rel_name = s.rel_name"),
+            step(f"c{r}", f"b{r}", "e.eo + s.rel_days", "s.type", "s.anchor", f"{r}.95", f"LEFT JOIN {entities} e ON e.type = s.type AND e.name = s.rel_name"),
+            f"n{r} AS (SELECT type, name, CAST(round(sum(off * score * pow(2.0, -rnd)) / sum(score * pow(2.0, -rnd))) AS BIGINT) AS new FROM c{r} WHERE off IS NOT NULL AND a_type = type AND a_name = anchor GROUP BY 1, 2 HAVING {r} = 1 OR max(rnd) >= {r})",
+            f"e{r} AS (SELECT e.type, e.name, coalesce(n.new, e.eo) AS eo FROM {entities} e LEFT JOIN n{r} n ON n.type = e.type AND n.name = e.name)",
+            step(f"s{r}", f"c{r}", "n.new", "s.type", "s.anchor", f"{r}.9", f"LEFT JOIN n{r} n ON n.type = s.type AND n.name = s.name"),
+        ]
+    return f"WITH {', '.join(tables)} SELECT id, place, part, CAST(off AS INTEGER) AS day_offset, a_name AS anchor_name, rnd AS round_no FROM s{rounds}"
+
+
+@query(_inference_sql(3))
 def infer_offsets(t: Star) -> DataFrame:
     """Three rounds; texts refer a fifth of the parts to another part."""
     text = F.when(F.col("part") % 5 == 0, F.concat((F.col("part") + 1).cast("string"), F.lit(" +"), (F.col("part") % 9).cast("string")))
     rows = typed(t).withColumn("relative", text).withColumn("start", F.when(F.col("part") % 5 != 0, F.col("start")))
     weights = t.supplier.select(F.col("s_suppkey").alias("place"), (F.col("s_nationkey") + 1).cast("double").alias("source_score"))
-    return infer.infer_offsets(rows.join(weights, "place"), part_anchors(t), max_rounds=3)[0].select("id", "place", "part", "offset", "anchor_name", "round")
+    return infer.infer_offsets(rows.join(weights, "place"), part_anchors(t), max_rounds=3)[0].select("id", "place", "part", F.col("offset").alias("day_offset"), "anchor_name", F.col("round").alias("round_no"))
 
 
 @query(f"""
