@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import FIRST_PATENT_YEAR, FIRST_PATENTS
 from ..functions.fields import patent_expiry_seconds
+from ..lineage import materialized
 
 #: Breakpoint tables up to this many rows are searched as an array in each row; longer ones by one sort.
 ARRAY_LIMIT = 1000
@@ -47,7 +48,7 @@ def asof_lookup(df: DataFrame, key: str, breakpoints: DataFrame, start: str, val
         found = found.filter("__side = 1").join(first, by, "left")
     else:
         placed = both.repartitionByRange("__k", "__side").sortWithinPartitions("__k", "__side").withColumn("__p", F.spark_partition_id())
-        placed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+        placed = materialized(placed)
         last = placed.groupBy("__p").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__k"))).alias("__last"))
         before = last.select("__p", F.last("__last", ignorenulls=True).over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))  # one row a partition
         within = Window.partitionBy("__p").orderBy("__k", "__side")

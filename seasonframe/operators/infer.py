@@ -11,22 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import relative_offset
+from ..lineage import materialized
 
 CALC = ["offset", "anchor_type", "anchor_name", "round", "explanation"]
 EXPLAINED = 20
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage that grows with each round: in the checkpoint folder if the session has one, else cached."""
-    context = df.sparkSession.sparkContext
-    folder = context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        return df.persist()
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def relative_to_absolute(observations: DataFrame, max_hops: int = 1, place: str = "place", kind: str = "type", name: str = "name", starts: tuple[str, ...] = ("start", "end", "start_2", "end_2"), relative: str = "relative") -> DataFrame:
     """Rows with relative text and no start take the times of the row of the same place and type that the text names.
 
@@ -118,8 +108,8 @@ def infer_offsets(observations: DataFrame, anchors: DataFrame, max_rounds: int =
     parsed = F.col("__an").isNotNull()
     first = F.when(parsed, _calc(F.col("rel_days"), F.col("__at"), F.col("__an"), F.lit(0.0), F.lit("parsed directly")))
     first = first.when(is_anchor, _calc(F.lit(0), F.col("type"), F.col("name"), F.lit(0.0), F.lit("standard candle")))
-    state = _checkpointed(_take(state, first).drop("__at", "__an"))
-    entities = _checkpointed(state.select("type", "name", "own_type", "own_name").distinct().withColumn("entity_offset", F.lit(None).cast("int")).withColumn("entity_explanation", F.lit(None).cast("string")))
+    state = materialized(_take(state, first).drop("__at", "__an"))
+    entities = materialized(state.select("type", "name", "own_type", "own_name").distinct().withColumn("entity_offset", F.lit(None).cast("int")).withColumn("entity_explanation", F.lit(None).cast("string")))
 
     for r in range(1, max_rounds + 1):
         # A: against the anchor at the place, else against the best row that is tied to it
@@ -143,7 +133,7 @@ def infer_offsets(observations: DataFrame, anchors: DataFrame, max_rounds: int =
         known = entities.filter(F.col("entity_offset").isNotNull()).select(F.col("type").alias("et"), F.col("name").alias("en"), F.col("entity_offset").alias("eo"), F.col("own_type").alias("e_type"), F.col("own_name").alias("e_name"))
         state = state.join(known, (F.coalesce("rel_type", "type") == F.col("et")) & (F.col("rel_name") == F.col("en")), "left")
         c = F.when(F.col("eo").isNotNull(), _calc(F.col("eo") + F.col("rel_days"), F.col("e_type"), F.col("e_name"), F.lit(r + 0.95), F.lit(f"round {r}: from the entity's consensus")))
-        state = _checkpointed(_take(state, c).drop("et", "en", "eo", "e_type", "e_name"))
+        state = materialized(_take(state, c).drop("et", "en", "eo", "e_type", "e_name"))
         # D: consensus of rows tied to the type's own anchor
         members = state.filter(F.col("offset").isNotNull() & (F.col("anchor_type") == F.col("own_type")) & (F.col("anchor_name") == F.col("own_name")))
         weight = round_weight(F.col("source_score"), F.col("round"), F.col("devalue"))
@@ -151,13 +141,13 @@ def infer_offsets(observations: DataFrame, anchors: DataFrame, max_rounds: int =
         found = found if r <= 1 else found.filter(F.col("latest") >= r)
         found = found.drop("latest")
         found = found.join(_explanations(members, ["type", "name"], r), ["type", "name"], "left") if explain else found.withColumn("explanation", F.lit(f"round {r}: weighted consensus"))
-        found = _checkpointed(found.withColumnRenamed("explanation", "why"))
+        found = materialized(found.withColumnRenamed("explanation", "why"))
         if found.isEmpty():
             break
-        entities = _checkpointed(entities.join(found, ["type", "name"], "left").withColumn("entity_offset", F.coalesce("new", "entity_offset")).withColumn("entity_explanation", F.coalesce("why", "entity_explanation")).drop("new", "why"))
+        entities = materialized(entities.join(found, ["type", "name"], "left").withColumn("entity_offset", F.coalesce("new", "entity_offset")).withColumn("entity_explanation", F.coalesce("why", "entity_explanation")).drop("new", "why"))
         state = state.join(found, ["type", "name"], "left")
         d = F.when(F.col("new").isNotNull(), _calc(F.col("new"), F.col("own_type"), F.col("own_name"), F.lit(r + 0.9), F.col("why")))
-        state = _checkpointed(_take(state, d).drop("new", "why"))
+        state = materialized(_take(state, d).drop("new", "why"))
     kept = [c for c in columns if c not in CALC]
     return state.select(*kept, *CALC), entities.select("type", "name", "entity_offset", F.when(F.col("entity_offset").isNotNull(), F.col("own_type")).alias("anchor_type"), F.when(F.col("entity_offset").isNotNull(), F.col("own_name")).alias("anchor_name"), "entity_explanation")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import split_source_path
+from ..lineage import materialized
 
 PLACE = "struct<short_name:string,name:string,latitude:double,longitude:double>"
 ENTRY = (
@@ -66,7 +67,7 @@ def number_rows(df: DataFrame, order: list[str], output: str) -> DataFrame:
     Only one count a partition reaches the driver.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = ranged.persist()
+    ranged = materialized(ranged)  # a second run could cut the ranges elsewhere
     starts, total = [], 1
     for r in sorted(ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()):
         starts.append((r["__p"], total))
