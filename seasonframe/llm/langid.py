@@ -41,6 +41,7 @@ def learn_languages(
     docs: DataFrame,
     text: str = "text",
     lang: str = "lang",
+    key: str = "doc_id",
     trainable: Column | None = None,
     docs_per_language: int = 300,
     chars_per_doc: int = 600,
@@ -49,8 +50,9 @@ def learn_languages(
 ) -> LanguageProfiles:
     """Learn from a bounded sample: about ``docs_per_language`` rows a language, ``chars_per_doc`` characters of each.
 
-    Rows are drawn by a hash of their content with a rate set by the language's count, so the driver holds at most
-    about languages x docs_per_language x chars_per_doc characters, whatever the size of ``docs``.
+    Rows are drawn by a hash of key and text with a rate set by the language's count, and equal ones count once, so
+    the driver holds at most about languages x docs_per_language x chars_per_doc characters, whatever the size of
+    ``docs``. The key serves the draw alone.
     """
     rows = docs.filter(quoted(lang).isNotNull() & quoted(text).isNotNull())
     if trainable is not None:
@@ -62,8 +64,8 @@ def learn_languages(
         return LanguageProfiles({})
     whole = 1 << 40
     cuts = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(whole, whole * docs_per_language // n + 1))])
-    drawn = F.pmod(F.xxhash64(*[quoted(c) for c in docs.columns if c != lang]), F.lit(whole))
-    sample = rows.filter(drawn < cuts[quoted(lang)]).select(quoted(lang).alias("k"), F.substring(quoted(text), 1, chars_per_doc).alias("t"), drawn.alias("h"))
+    drawn = F.pmod(F.xxhash64(*[quoted(c) for c in (key, text) if c in docs.columns]), F.lit(whole))
+    sample = rows.filter(drawn < cuts[quoted(lang)]).select(quoted(lang).alias("k"), F.substring(quoted(text), 1, chars_per_doc).alias("t"), drawn.alias("h")).distinct()
     buffers: dict[str, bytearray] = {k: bytearray() for k in sorted(counts, key=lambda k: (-counts[k], k))}
     for r in sorted(sample.collect(), key=lambda r: (r["h"], r["t"])):
         if len(buffers[r["k"]]) < dictionary_bytes:

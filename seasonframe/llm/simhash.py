@@ -49,8 +49,10 @@ def _fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], _SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
     n = len(hashes)
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(n, 8), axis=1)
-    counts = np.add.reduceat(bits, np.arange(0, n, 128), axis=0, dtype=np.int64).sum(axis=0)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, n, 4096):
+        part = np.array(hashes[at : at + 4096], ">u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 

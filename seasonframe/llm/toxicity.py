@@ -190,12 +190,13 @@ def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8,
 def train_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1500, chars: int = 8000) -> ToxicityModel:
     """Train on a bounded sample: about ``per_class`` labelled rows of each class, ``chars`` characters of each.
 
-    Keys are drawn by hash from all labelled rows, at a rate set by the class counts over all of them.
+    Keys are drawn by hash from all labelled ones, at a rate set by the class counts over all of them; a key with
+    several labels counts with the largest.
     """
     known = labels.filter(quoted(label).isNotNull() & quoted(key).isNotNull())
     if trainable is not None:
         known = known.filter(trainable)
-    known = known.select(quoted(key).alias("__key"), quoted(label).cast("int").alias("y"))
+    known = known.groupBy(quoted(key).alias("__key")).agg(F.max(quoted(label)).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = max(1, sum(counts.values()))
     whole = 1 << 40
@@ -203,6 +204,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None
     drawn = known.filter(F.pmod(F.xxhash64(F.col("__key"), F.lit("sample")), F.lit(whole)) < rate)
     # a few thousand keys at most, by the bound above
     sample = docs.join(F.broadcast(drawn), quoted(key) == F.col("__key")).select("__key", "y", F.substring(F.coalesce(quoted(text), F.lit("")), 1, chars).alias("t"))
+    sample = sample.groupBy("__key", "y").agg(F.min("t").alias("t"))  # one text a key, however often it is repeated
     rows = sorted((r["__key"], r["y"], r["t"]) for r in sample.collect())
     return fit_numpy([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), counts.get(1, 0) / total)
 
