@@ -104,6 +104,8 @@ def infer_offsets(observations: DataFrame, anchors: DataFrame, max_rounds: int =
     state = state.withColumn("rel_name", F.col("__rel.name")).withColumn("rel_type", F.col("__rel.type")).withColumn("rel_days", F.col("__rel.days")).drop("__rel")
     state = state.join(dim, "type", "left")
     is_anchor = (F.col("type") == F.col("own_type")) & (F.col("name") == F.col("own_name"))
+    every = any_anchor.select(F.col("__at").alias("type"), F.col("__an").alias("name"), F.lit(True).alias("is_candle"))
+    state = state.join(every, ["type", "name"], "left")  # an anchor of some type, though perhaps not of its own
     state = state.join(any_anchor, (F.coalesce("rel_type", "type") == F.col("__at")) & (F.col("rel_name") == F.col("__an")), "left")
     parsed = F.col("__an").isNotNull()
     first = F.when(parsed, _calc(F.col("rel_days"), F.col("__at"), F.col("__an"), F.lit(0.0), F.lit("parsed directly")))
@@ -113,8 +115,8 @@ def infer_offsets(observations: DataFrame, anchors: DataFrame, max_rounds: int =
 
     for r in range(1, max_rounds + 1):
         # A: against the anchor at the place, else against the best row that is tied to it
-        there = best_candidates(state.filter(F.col("start").isNotNull() & F.col("offset").isNotNull()), ["place", "type", "name"], ["id"], ["start", "offset", "anchor_type", "anchor_name"])
-        there = there.join(any_anchor, (F.col("type") == F.col("__at")) & (F.col("name") == F.col("__an"))).select("place", *[F.col(a).alias(b) for a, b in (("type", "own_type"), ("name", "own_name"), ("start", "x_start"), ("offset", "x_offset"), ("anchor_type", "x_type"), ("anchor_name", "x_name"))])
+        there = best_candidates(state.filter(F.col("is_candle") & F.col("start").isNotNull() & F.col("offset").isNotNull()), ["place", "type", "name"], ["id"], ["start", "offset", "anchor_type", "anchor_name"])
+        there = there.select("place", *[F.col(a).alias(b) for a, b in (("type", "own_type"), ("name", "own_name"), ("start", "x_start"), ("offset", "x_offset"), ("anchor_type", "x_type"), ("anchor_name", "x_name"))])
         tied = best_candidates(state.filter(F.col("start").isNotNull() & F.col("offset").isNotNull()), ["place", "anchor_type", "anchor_name"], ["round", "id"], ["start", "offset"])
         tied = tied.select("place", F.col("anchor_type").alias("own_type"), F.col("anchor_name").alias("own_name"), F.col("start").alias("y_start"), F.col("offset").alias("y_offset"))
         state = state.join(there, ["place", "own_type", "own_name"], "left").join(tied, ["place", "own_type", "own_name"], "left")
