@@ -260,8 +260,8 @@ def unknown_source_types(t: Star) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT p_partkey, p_size, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = 1 GROUP BY 1, 2)
-SELECT p_partkey, round((CASE WHEN p_size % 5 = 0 THEN 1.0 ELSE p_size END) * (CASE WHEN p_size <= 30 THEN 1.0 WHEN p_size <= 40 THEN 0.9 ELSE 0.85 END)
-  * (CASE WHEN n >= 6 THEN 1.3 WHEN n = 5 THEN 1.2 WHEN n = 4 THEN 1.1 WHEN n = 3 THEN 1.0 WHEN n = 2 THEN 0.9 ELSE 0.8 END) * (CASE WHEN p_partkey % 3 = 0 THEN 1.2 ELSE 1.0 END), 6) AS score FROM n""")
+SELECT p_partkey, round(CAST((CASE WHEN p_size % 5 = 0 THEN 1.0 ELSE p_size END) * (CASE WHEN p_size <= 30 THEN 1.0 WHEN p_size <= 40 THEN 0.9 ELSE 0.85 END)
+  * (CASE WHEN n >= 6 THEN 1.3 WHEN n = 5 THEN 1.2 WHEN n = 4 THEN 1.1 WHEN n = 3 THEN 1.0 WHEN n = 2 THEN 0.9 ELSE 0.8 END) * (CASE WHEN p_partkey % 3 = 0 THEN 1.2 ELSE 1.0 END) AS DOUBLE), 6) AS score FROM n""")
 def entity_score(t: Star) -> DataFrame:
     counts = t.lineitem.filter("l_linenumber = 1").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
     rows = t.part.join(counts, "p_partkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -726,7 +726,7 @@ def extents(t: Star) -> DataFrame:
     return chartprep.extents(rows, ["place"], "start").select("place", F.col("min_x").cast("double").alias("min_x"), F.col("max_x").cast("double").alias("max_x"))
 
 
-@query(f"WITH {TYPED} SELECT place, start // 20 AS bin, CASE WHEN count(DISTINCT type) = 1 THEN min(type) ELSE 'Mixed' END AS sequence_type FROM typed GROUP BY ALL")
+@query(f"WITH {TYPED} SELECT place, CAST(start // 20 AS BIGINT) AS bin, CASE WHEN count(DISTINCT type) = 1 THEN min(type) ELSE 'Mixed' END AS sequence_type FROM typed GROUP BY ALL")
 def sequence_type(t: Star) -> DataFrame:
     return chartprep.sequence_type(typed(t).withColumn("bin", F.floor(F.col("start") / 20)), ["place", "bin"])
 
