@@ -56,9 +56,13 @@ def typed(t: Star) -> DataFrame:
     return rows.select((F.col("place") * 10_000_000 + F.col("part")).alias("id"), "place", "type", F.col("part").cast("string").alias("name"), "part", "start")
 
 
-def part_anchors(t: Star) -> DataFrame:
-    """The least part of each type is its anchor."""
-    return t.part.groupBy(F.col("p_type").alias("type")).agg(F.min("p_partkey").cast("string").alias("anchor_name")).select("type", F.col("type").alias("anchor_type"), "anchor_name")
+def part_anchors(t: Star, as_text: bool = True) -> DataFrame:
+    """The least part of each type is its anchor; named by its key, as text where texts refer to it.
+
+    With plain keys both sides of the anchor join read and shuffle ``lineitem`` alike, and Spark does it once.
+    """
+    least = F.min("p_partkey")
+    return t.part.groupBy(F.col("p_type").alias("type")).agg((least.cast("string") if as_text else least).alias("anchor_name")).select("type", F.col("type").alias("anchor_type"), "anchor_name")
 
 
 OBSERVED = "observed AS (SELECT l_suppkey AS place, l_partkey AS part, CAST(min(dayofyear(l_shipdate)) AS INTEGER) AS start FROM lineitem GROUP BY ALL)"
@@ -405,7 +409,7 @@ def relative_to_absolute(t: Star) -> DataFrame:
 @query(f"""
 WITH {TYPED} SELECT o.place, o.part, o.start - a.start AS day_offset FROM typed o JOIN anchors n ON n.type = o.type JOIN typed a ON a.place = o.place AND a.part = n.anchor""")
 def anchor_round1(t: Star) -> DataFrame:
-    return infer.anchor_join(typed(t), part_anchors(t)).select("place", "part", F.col("offset").alias("day_offset"))
+    return infer.anchor_join(typed(t), part_anchors(t, False), name="part").select("place", "part", F.col("offset").alias("day_offset"))
 
 
 @query(f"WITH {OBSERVED} SELECT place, start AS best_start, part AS best_part FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY start, part) AS r FROM observed) WHERE r = 1")
@@ -419,7 +423,7 @@ WITH {TYPED}, tied AS (SELECT o.part, o.start - a.start AS x, (1 + s_nationkey)
 SELECT part, CAST(round(sum(w * x) / sum(w)) AS INTEGER) AS consensus, count(*) AS n_rows FROM tied GROUP BY 1""")
 def consensus_offset(t: Star) -> DataFrame:
     """Flagship: scan, day of the year, offset to the anchor at the place, weighted mean an entity."""
-    rows = infer.anchor_join(typed(t), part_anchors(t))
+    rows = infer.anchor_join(typed(t), part_anchors(t, False), name="part")
     weights = t.supplier.select(F.col("s_suppkey").alias("place"), (F.col("s_nationkey") + 1).cast("double").alias("source_score"))
     rows = rows.join(weights, "place")
     weight = infer.round_weight(F.col("source_score"), F.lit(0), F.col("part") % 4)
