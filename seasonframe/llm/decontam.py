@@ -104,6 +104,7 @@ class EditIndex:
             steps = (first, first + second, *(first + 3 + int(rng.integers(a, b)) for a, b in zip(rest[:-1], rest[1:], strict=True)))
             chosen.append((members, offset, steps))
         walk = rng.integers(0, 2, (max(s[-1] for _, _, s in chosen) + 1, self.size + 1)).astype(np.int64)
+        walk[:, self.size] = 0  # no walk leads from one document into the next
         groups = []
         for members, offset, steps in chosen:
             codes, pairs, items = [], [], []
@@ -135,7 +136,7 @@ class EditIndex:
         """Starts of windows, and the items that the windows may be near to."""
         starts, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         reach = max((len(walk) for walk, _ in self.repetitions), default=0)
-        padded = np.append(words, np.full(reach + 1, self.other)).astype(np.int32)
+        padded = np.append(words, np.full(reach + 1, self.size)).astype(np.int32)
         for walk, groups in self.repetitions if repetitions is None else repetitions:
             step = groups[0].steps[0]
             at = np.arange(len(words))
@@ -171,39 +172,49 @@ class EditIndex:
             start, item = both[:, 0], both[:, 1]
         return start, item
 
-    def verify(self, words: np.ndarray, start: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(start, end, item, edits) of the passages within an item's edits, near the candidates' windows."""
+    def verify(self, words: np.ndarray, start: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, start, end, item, edits) of the passages within an item's edits, near the candidates' windows.
+
+        Document ``row`` has the words from ``first`` to ``last``. A window is verified in each document that it
+        touches, with that document's words alone, so that neighbours don't matter.
+        """
         found = []
         level = np.floor(np.log(self.lengths) / np.log(_GROWTH)).astype(np.int64)
         for g in np.unique(level[item]):
-            members = np.flatnonzero(level[item] == g)
-            for at in range(0, len(members), 4096):
-                part = members[at : at + 4096]
-                found.append(self._align(words, start[part], item[part]))
+            longest, slack = int(self.lengths[level == g].max()), int(self.edits[level == g].max())
+            at, k = start[level[item] == g], item[level[item] == g]
+            lo = np.searchsorted(last, at - slack, "right")
+            n = np.maximum(np.searchsorted(first, at + longest + slack, "left") - lo, 0)
+            row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at, k = np.repeat(at, n), np.repeat(k, n)
+            for part in (slice(p, p + 4096) for p in range(0, len(row), 4096)):
+                found.append(self._align(words, at[part], k[part], row[part], first, last, longest, slack))
         if not found:
-            return tuple(np.empty(0, np.int64) for _ in range(4))
+            return tuple(np.empty(0, np.int64) for _ in range(5))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _align(self, words: np.ndarray, start: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
-        longest, slack = int(self.lengths[item].max()), int(self.edits[item].max())
+    def _align(self, words: np.ndarray, start: np.ndarray, item: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, longest: int, slack: int) -> tuple[np.ndarray, ...]:
         width = longest + 2 * slack
         place = start[:, None] - slack + np.arange(width)
-        inside = (place >= 0) & (place < len(words))
+        inside = (place >= first[row][:, None]) & (place < last[row][:, None])
         text = np.where(inside, words[np.clip(place, 0, len(words) - 1)], self.other)
         pattern = np.full((len(item), longest), -1, np.int64)
-        for row, k in enumerate(item):
-            pattern[row, : self.lengths[k]] = self.items[k]
+        for spot, k in enumerate(item):
+            pattern[spot, : self.lengths[k]] = self.items[k]
         # column c: the edits of the item's first words against the best passage that ends before column c, and
         # where that passage begins; edits and beginning are one number, so that the minimum keeps both
         step = np.int64(1 << 20)
-        columns = np.arange(width + 1)
-        best = np.broadcast_to(columns, (len(item), width + 1)).astype(np.int64)
+        # what it costs to take a word into the passage that the item lacks: more than any item has for a word
+        # outside the document
+        cost = np.where(inside, step, step << 20)
+        run = np.append(np.zeros((len(item), 1), np.int64), np.cumsum(cost, axis=1), axis=1)
+        best = np.broadcast_to(np.arange(width + 1), (len(item), width + 1)).astype(np.int64)
         result = best.copy()
         for i in range(longest):
             new = np.empty_like(best)
             new[:, 0] = best[:, 0] + step
-            new[:, 1:] = np.minimum(best[:, :-1] + step * (text != pattern[:, i : i + 1]), best[:, 1:] + step)
-            new = np.minimum.accumulate(new - step * columns, axis=1) + step * columns
+            new[:, 1:] = np.minimum(best[:, :-1] + cost * (text != pattern[:, i : i + 1]), best[:, 1:] + step)
+            new = np.minimum.accumulate(new - run, axis=1) + run
             best = new
             ended = self.lengths[item] == i + 1
             result[ended] = best[ended]
@@ -212,33 +223,34 @@ class EditIndex:
         edits, begin = value // step, value % step
         near = edits <= self.edits[item]
         base = start - slack
-        return (base + begin)[near], (base + end)[near], item[near], edits[near]
+        return row[near], (base + begin)[near], (base + end)[near], item[near], edits[near]
 
 
 def _search(index: EditIndex, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, edits, words, start, end) of each item in each text, start and end in characters."""
     if not index.items:
         return []
-    gap = np.full(index.gap, index.other)
-    pieces, owner_at, at = [gap], [], index.gap
+    # between two documents: a gap of each, and a word that stops the walks
+    gap = np.full(2 * index.gap + 1, index.other)
+    gap[index.gap] = index.size
+    pieces, first, last, at = [gap], [], [], len(gap)
     get, other = index.ids.get, index.other
     for text in texts:
         words = _words(text) if text else []
         pieces += [np.fromiter(map(get, words, repeat(other)), np.int64, len(words)), gap]
-        owner_at.append(at)
-        at += len(words) + index.gap
+        first.append(at)
+        last.append(at + len(words))
+        at += len(words) + len(gap)
     words = np.concatenate(pieces)
-    found = index.verify(words, *index.candidates(words))
+    found = index.verify(words, *index.candidates(words), np.array(first, np.int64), np.array(last, np.int64))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for start, end, item, edits in zip(*(x.tolist() for x in found), strict=True):
-        row = int(np.searchsorted(owner_at, start, "right")) - 1
-        key, value = (row, item), (edits, start - owner_at[max(row, 0)], end - owner_at[max(row, 0)])
-        if row >= 0 and (key not in best or value < best[key]):
+    for row, start, end, item, edits in zip(*(x.tolist() for x in found), strict=True):
+        key, value = (row, item), (edits, start - first[row], end - first[row])
+        if key not in best or value < best[key]:
             best[key] = value
     out = []
     for (row, item), (edits, start, end) in sorted(best.items()):
         spans = [m.span() for m in _SPANS.finditer(texts[row])]
-        end = min(end, len(spans))
         if start < end:
             out.append((row, index.used[item], edits, int(index.lengths[item]), spans[start][0], spans[end - 1][1]))
     return out

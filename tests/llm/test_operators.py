@@ -85,6 +85,29 @@ def test_decontamination_against_brute_force(spark, words, prose):
     assert {k for k, e in want.items() if e == 0} <= blocks <= set(want)
 
 
+def test_passages_at_the_borders_of_documents(words):
+    """Cut items at the start and end of documents, alone and between others in a slice."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    items = [prose(n) for n in (20, 24, 28, 20, 24, 28)]
+    index = decontam.EditIndex(items)
+    texts = []
+    for item in items:
+        ws = item.split()
+        for cut in range(5):
+            texts += [" ".join(ws[cut:]) + " " + prose(30), prose(30) + " " + " ".join(ws[: len(ws) - cut]), item, "", " ".join(ws[cut:])]
+    alone = [[f[1:] for f in decontam._search(index, [t])] for t in texts]
+    for order in (texts, texts[::-1]):
+        together = [[] for _ in order]
+        for f in decontam._search(index, order):
+            together[f[0]].append(f[1:])
+        assert together == [alone[texts.index(t)] for t in order]
+    # the walk may miss some, but not those that only lack words at a border
+    seen = [(k, cut, part) for k in range(6) for cut in range(5) for part in (0, 1, 4) if any(f[:2] == (k, cut) for f in alone[25 * k + 5 * cut + part])]
+    assert len(seen) >= 0.9 * 6 * 5 * 3
+    assert sum(part == 0 for _, _, part in seen) >= 0.9 * 6 * 5
+
+
 def test_repetitions_do_not_depend_on_chance():
     items = ["one two three four five six seven eight nine ten"]
     assert decontam.EditIndex(items).repetitions[0][1][0].steps == decontam.EditIndex(items).repetitions[0][1][0].steps
