@@ -5,8 +5,11 @@ Hamming distance follows the edit distance: at step j it puts out the word under
 (j, word) moves the pointer on or not, so that two walks soon fall in step again after an edit. Every word of a
 document starts a window of each item's size; a repetition of the bit-sampling LSH compares a few sampled outputs
 of the walk with those of all items. Repetitions differ in walk, samples and the item's part that they start
-from, and their number is set by a target recall on randomly edited copies of the items. Candidates are then
-verified by the exact edit distance of the item to the best-placed passage around the window.
+from, and their number is set by a target recall on randomly edited copies of the items, which every level of
+similar lengths has to reach. Items of a level that doesn't, and items that sit out more than half of the
+repetitions, are looked up by n-grams, without loss: of one part more than an item may have edits, one is in the
+passage as it is. Candidates are then verified by the exact edit distance of the item to the best-placed passage
+around the window.
 
 A document is contaminated by an item if some passage of it is within ``max_edits`` (a share of the item's words)
 of the item; words are compared in lower case and without ASCII punctuation.
@@ -35,6 +38,8 @@ _KEEP = bytes(c if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
 _SPANS = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _SAMPLES = 3
 _GROWTH = 1.5
+_COPIES = 500
+_GRAM = 8
 
 
 def _words(text: str) -> list[bytes]:
@@ -55,7 +60,7 @@ class _Group:
 class EditIndex:
     """Items as codes, and the repetitions of the LSH over them."""
 
-    def __init__(self, texts: list[str], max_edits: float = 0.2, min_words: int = 5, recall: float = 0.98, max_repetitions: int = 32, seed: int = 5):
+    def __init__(self, texts: list[str], max_edits: float = 0.2, min_words: int = 1, recall: float = 0.98, max_repetitions: int = 32, seed: int = 5):
         rng = np.random.default_rng(seed)
         split = [_words(t or "") for t in texts]
         self.used = [k for k, w in enumerate(split) if len(w) >= min_words]
@@ -67,21 +72,53 @@ class EditIndex:
         self.edits = np.floor(self.lengths * max_edits).astype(np.int64)
         self.gap = int(self.edits.max(initial=0)) + 1
         self.repetitions: list[tuple[np.ndarray, list[_Group]]] = []
+        self.exact = np.empty(0, np.int64)  # items that are looked up by n-grams
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         if not self.items:
             return
         level = np.floor(np.log(self.lengths) / np.log(_GROWTH)).astype(np.int64)
-        # edited copies between unknown words, as in a document
-        copies = [(int(k), self._edited(rng, int(k))) for k in rng.integers(0, len(self.items), 300)]
-        seen = np.zeros(len(copies), bool)
+        # edited copies of each level's items between unknown words, as in a document
+        picked = np.concatenate([rng.choice(np.flatnonzero(level == g), _COPIES) for g in np.unique(level)])
+        copies = [np.append(self._edited(rng, int(k)), self.size) for k in picked]
+        true = np.cumsum([0, *map(len, copies[:-1])]) + self.gap
+        text = np.concatenate(copies)
+        seen, left = np.zeros(len(picked), bool), np.unique(level)
+        # above the target by two standard errors of the measure
+        enough = min(1.0, recall + 2 * np.sqrt(recall * (1 - recall) / _COPIES))
+        made, had = np.zeros(len(self.items), np.int64), np.zeros(len(self.items), np.int64)
         for r in range(max_repetitions):
-            self.repetitions.append(self._repetition(rng, level, (0.0, 0.3, 0.5)[r % 3]))
-            for c, (k, copy) in enumerate(copies):
-                if not seen[c]:
-                    _, item = self.candidates(copy, [self.repetitions[-1]])
-                    seen[c] = k in item
-            if seen.mean() >= recall:
+            self.repetitions.append(self._repetition(rng, level, (0.0, 0.3, 0.5)[r % 3], left))
+            made[np.isin(level, left)] += 1
+            for group in self.repetitions[-1][1]:
+                had[group.items] += 1
+            start, item = self.candidates(text, self.repetitions[-1:])
+            spot = np.searchsorted(true, start + self.edits[item], "right") - 1
+            near = (spot >= 0) & (picked[spot] == item) & (np.abs(start - true[spot]) <= self.edits[item])
+            seen[spot[near]] = True
+            left = np.array([g for g in left if seen[level[picked] == g].mean() < enough], np.int64)
+            if not len(left):
                 break
-        self.estimated_recall = float(seen.mean())
+        #: recall by level of the lengths, as measured; 1 for levels that are looked up
+        self.estimated_recall = {int(g): 1.0 if g in left else float(seen[level[picked] == g].mean()) for g in np.unique(level)}
+        self.exact = np.flatnonzero(np.isin(level, left) | (2 * had < made))
+        useful = [(walk, [g for g in groups if not np.isin(g.items, self.exact).all()]) for walk, groups in self.repetitions]
+        self.repetitions = [r for r in useful if r[1]]
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k in self.exact.tolist():
+            cuts = np.linspace(0, self.lengths[k], int(self.edits[k]) + 2).astype(int).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                n = min(hi - lo, _GRAM)
+                if n:
+                    found.setdefault(n, []).append((int(self._gram(self.items[k][lo : lo + n], n)[0]), k, lo))
+        self.grams = {n: tuple(np.array(sorted(rows), np.int64).T) for n, rows in sorted(found.items())}
+
+    def _gram(self, words: np.ndarray, n: int) -> np.ndarray:
+        """A number for each n words in a row; equal words have equal numbers."""
+        code = np.zeros(max(len(words) - n + 1, 0), np.uint64)
+        for k in range(n if len(code) else 0):
+            code = (code ^ words[k : k + len(code)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+        return code.view(np.int64)
 
     def _edited(self, rng: np.random.Generator, k: int) -> np.ndarray:
         words = self.items[k].tolist()
@@ -90,10 +127,10 @@ class EditIndex:
             words[at : at + (kind != 0)] = [self.other] * (kind != 1)
         return np.array([*[self.other] * self.gap, *words, *[self.other] * (self.gap + len(words))], np.int64)
 
-    def _repetition(self, rng: np.random.Generator, level: np.ndarray, start: float) -> tuple[np.ndarray, list[_Group]]:
+    def _repetition(self, rng: np.random.Generator, level: np.ndarray, start: float, left: np.ndarray) -> tuple[np.ndarray, list[_Group]]:
         first = int(rng.integers(0, 4))
         chosen = []
-        for g in np.unique(level):
+        for g in left:
             members = np.flatnonzero(level == g)
             least = int(self.lengths[members].min())
             offset = int(start * least)
@@ -166,6 +203,14 @@ class EditIndex:
                     n = hi - lo
                     starts.append(np.repeat(window - g.offset, n))
                     items.append(g.items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        for n, (known, of, offset) in self.grams.items() if repetitions is None else ():
+            code = self._gram(words, n)
+            lo, hi = np.searchsorted(known, code, "left"), np.searchsorted(known, code, "right")
+            window = np.flatnonzero(hi > lo)
+            lo, count = lo[window], (hi - lo)[window]
+            spot = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+            starts.append(np.repeat(window, count) - offset[spot])
+            items.append(of[spot])
         start, item = np.concatenate(starts), np.concatenate(items)
         if len(start):
             both = np.unique(np.stack([start, item], axis=1), axis=0)

@@ -108,6 +108,29 @@ def test_passages_at_the_borders_of_documents(words):
     assert sum(part == 0 for _, _, part in seen) >= 0.9 * 6 * 5
 
 
+def test_short_items_among_long_ones(words):
+    """Every length of item is found, by the walk or looked up."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    items = [prose(rng.randint(20, 40)) for _ in range(150)] + [" ".join(rng.sample(words, n)) for n in range(1, 11) for _ in range(6)]
+    index = decontam.EditIndex(items)
+    texts, want = [], []
+    for k, item in enumerate(items[150:], 150):
+        for at in range(0, len(item.split()), 2):
+            ws = item.split()
+            if len(ws) >= 5:
+                ws[at : at + 1] = [["zzz"], [], [ws[at], "zzz"]][at // 2 % 3]
+            want.append((len(texts), k))
+            texts.append(prose(40) + " " + " ".join(ws) + " " + prose(40))
+    found = {f[:2] for f in decontam._search(index, texts)}
+    sizes = [len(items[k].split()) for _, k in want]
+    missed = [n for n, w in zip(sizes, want, strict=True) if w not in found]
+    assert not [n for n in missed if n < 8] and len(missed) <= 0.05 * len(want)
+    one = {f[0] for f in decontam._search(decontam.EditIndex(["Zebra"]), ["a zebra!", "zebras", None])}
+    assert one == {0}
+    assert min(index.estimated_recall.values()) >= 0.98
+
+
 def test_repetitions_do_not_depend_on_chance():
     items = ["one two three four five six seven eight nine ten"]
     assert decontam.EditIndex(items).repetitions[0][1][0].steps == decontam.EditIndex(items).repetitions[0][1][0].steps
