@@ -439,6 +439,18 @@ def test_licenses_with_edits_and_repeats(spark, prose):
     assert not [r for r in got if r["doc_id"] >= 13]
 
 
+def test_default_templates_are_whole_texts():
+    ends = {"MIT/text": "dealings in the software", "BSD-2-Clause/text": "possibility of such damage", "BSD-3-Clause/text": "possibility of such damage", "ISC/text": "performance of this software", "Unlicense/text": "https unlicense org", "Apache-2.0/header": "limitations under the license", "GPL-3.0/header": "www gnu org licenses"}
+    index = licenses.TemplateIndex(licenses.default_templates())
+    for name, end in ends.items():
+        text = "One two.\n" + licenses.default_templates()[name] + "\nThree four."
+        (row,) = licenses._scan_texts(index, [text])
+        assert row[2] == name and row[3] == 1.0
+        assert re.sub("[^a-z]+", " ", text[row[6] : row[7]].lower()).endswith(end)
+    parts = {k: t for k, t in licenses.default_templates().items() if "/part-of-" in k}
+    assert len(parts) == 12 and all(licenses._scan_texts(index, [t])[0][2:4] == (k, 1.0) for k, t in parts.items())
+
+
 # --- 10: language
 
 
