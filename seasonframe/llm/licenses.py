@@ -2,7 +2,8 @@
 
 Templates are cut into word grams; winnowing keeps the least hash of every few neighbouring grams, and an inverted
 index leads from a kept gram to its places in the templates. A document's grams that meet the index on a common
-diagonal make a candidate, whose words are aligned with the template's inside a band around the diagonal.
+diagonal make a candidate, whose words are aligned with the template's inside a band around the diagonal,
+wide enough for all the words that a match may lack or have besides.
 A match needs ``min_coverage`` of the template's words in order; of matches that overlap in a document the one
 with the most matched words, less its edits, is reported.
 
@@ -12,6 +13,7 @@ each; repeated rows, and rows with a null key, are each reported; an empty table
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -106,7 +108,7 @@ class Match:
 
 
 class TemplateIndex:
-    def __init__(self, templates: dict[str, str], min_coverage: float = 0.8, band: int = 8):
+    def __init__(self, templates: dict[str, str], min_coverage: float = 0.8):
         self.names = sorted(templates)
         split = [_words(templates[n]) for n in self.names]
         if any(len(w) < GRAM for w in split):
@@ -114,8 +116,10 @@ class TemplateIndex:
         self.ids: dict[bytes, int] = {}
         self.words = [np.array([self.ids.setdefault(w, len(self.ids)) for w in ws], np.int64) for ws in split]
         self.other = len(self.ids)
-        self.band, self.min_coverage = band, min_coverage
-        self.gap = band + max(map(len, self.words)) + 1
+        self.min_coverage = min_coverage
+        # a match has n words less its gaps, and a score of half of min_coverage at least: the words it has besides
+        # are at most the difference, and so are those it lacks
+        self.bands = [max(8, math.ceil(len(w) * (1 - min_coverage / 2))) for w in self.words]
         found = [(code, t, at) for t, ws in enumerate(self.words) for code, at in self._winnow(ws)]
         table = np.array(sorted(found), np.int64)
         self.codes, self.template, self.place = table.T
@@ -150,24 +154,32 @@ class TemplateIndex:
         n = hi - lo
         at, spot = np.repeat(at, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         template, start = self.template[spot], at - self.place[spot]
-        # places within half a band of each other belong together; a long template needs two grams in one of them
         order = np.lexsort((start, template))
         template, start = template[order], start[order]
-        if not len(start):
-            return []
-        new = np.append(True, (template[1:] != template[:-1]) | (np.diff(start) > self.band // 2))
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(start)))
-        long = np.array([len(self.words[t]) >= 12 for t in template[first]])
-        use = (count > 1) | ~long
-        return list(zip(template[first][use].tolist(), start[first][use].tolist(), strict=True))
+        out = []
+        bounds = [0, *(np.flatnonzero(np.diff(template)) + 1).tolist(), len(start)]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if lo == hi:
+                continue
+            t = int(template[lo])
+            band, places = self.bands[t], start[lo:hi]
+            at = 0
+            while at < len(places):
+                # places within a quarter of a band share a diagonal; a long template needs two grams in its band
+                here = int(places[at])
+                near = np.searchsorted(places, here + band, "right") - np.searchsorted(places, here - band, "left")
+                if near > 1 or len(self.words[t]) < 12:
+                    out.append((t, here))
+                at = int(np.searchsorted(places, here + band // 4, "right"))
+        return out
 
     def align(self, words: np.ndarray, template: int, start: int) -> Match | None:
         """The best alignment of the whole template near a diagonal: most matched words less edits.
 
         Row i, column c: template word i against document word start + i + c - band.
         """
-        pattern, band = self.words[template], self.band
+        pattern = self.words[template]
+        band = self.bands[template] + self.bands[template] // 4
         width = 2 * band + 1
         low = -(10**6)
         score = np.zeros(width, np.int64)

@@ -451,6 +451,23 @@ def test_default_templates_are_whole_texts():
     assert len(parts) == 12 and all(licenses._scan_texts(index, [t])[0][2:4] == (k, 1.0) for k, t in parts.items())
 
 
+@pytest.mark.parametrize("n", [10, 25])
+def test_licenses_with_a_clause_more_or_less(n):
+    templates = licenses.default_templates()
+    index = licenses.TemplateIndex(templates)
+    for name in ("MIT/text", "BSD-3-Clause/text", "ISC/text"):
+        ws = templates[name].split()
+        for at in (30, len(ws) // 2, len(ws) - 40):
+            more, less = ws[:at] + [f"extra{k}" for k in range(n)] + ws[at:], ws[:at] + ws[at + n :]
+            every = [w for k, w in enumerate(ws) for w in ([w, "#x"] if k % 8 == 7 else [w])]
+            for text in (more, less, every):
+                rows = licenses._scan_texts(index, ["one two three " + " ".join(text) + " four five six"])
+                if text is less and (name == "ISC/text" or at > 100):  # too short, or the part before says more
+                    assert rows and rows[0][1] == name.split("/")[0]
+                else:
+                    assert [r[2] for r in rows] == [name] and rows[0][4] >= len(index.words[index.names.index(name)]) - (n + 8) * (text is less)
+
+
 # --- 10: language
 
 
