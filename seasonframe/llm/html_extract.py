@@ -28,8 +28,12 @@ from .common import map_columns
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKENS = re.compile(r"[a-z]+")
-_HIDDEN = {"script", "style", "template", "noscript", "svg", "iframe", "object", "math", "canvas"}
-_INLINE = set("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr img br".split())
+_HIDDEN = {"script", "style", "template", "svg", "iframe"}
+#: Their contents are no markup: only their own closing tag ends them.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "iframe")}
+_INLINE = set("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr img br math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover semantics annotation".split())
+#: Blocks of their own, which may stand within a paragraph.
+_WITHIN = {"noscript", "object", "canvas"}
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 #: An element of the first kind ends open ones of the second.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -75,7 +79,7 @@ def parse_page(source: str) -> Page:
     page = Page()
     nodes, pieces = page.nodes, page.pieces
     nodes.append(_Node("html", frozenset(), -1, 0))
-    stack, linked, at, hidden = [0], False, 0, ""
+    stack, linked, at, hidden, inner = [0], False, 0, "", 0
 
     def say(text: str) -> None:
         if hidden or not text:
@@ -91,7 +95,7 @@ def parse_page(source: str) -> Page:
             if linked:
                 node.links += n
 
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         say(source[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -100,12 +104,22 @@ def parse_page(source: str) -> Page:
         tag = tag.lower()
         closing = m[1] == "/"
         if hidden:
-            if closing and tag == hidden:
-                hidden = ""
+            if tag == hidden:
+                inner += -1 if closing else not m[3].rstrip().endswith("/")
+                hidden = hidden if inner else ""
+            elif tag in _RAW and not closing and not m[3].rstrip().endswith("/"):
+                end = _RAW[tag].search(source, at)
+                at = end.start() if end else len(source)
             continue
         if tag in _HIDDEN:
-            if not closing and not m[3].rstrip().endswith("/"):
-                hidden = tag
+            if closing or m[3].rstrip().endswith("/"):
+                pass
+            elif tag in _RAW:
+                end = _RAW[tag].search(source, at)
+                closed = _TOKEN.match(source, end.start()) if end else None
+                at = closed.end() if closed else len(source)
+            else:
+                hidden, inner = tag, 1
             continue
         if tag in _INLINE:
             if tag == "a":
@@ -124,7 +138,7 @@ def parse_page(source: str) -> Page:
         if tag == "html":
             continue
         # a block ends an open paragraph; list items and cells end their like, up to the list or table
-        if nodes[stack[-1]].tag == "p":
+        if nodes[stack[-1]].tag == "p" and tag not in _WITHIN:
             stack.pop()
         for k in range(len(stack) - 1, 0, -1):
             above = nodes[stack[k]].tag

@@ -409,6 +409,15 @@ def test_parsing_of_broken_pages():
     assert text("<b>a</b>b<i>c") == "abc" and text("<p title='>'>x") == "x" and text("x <p class=") == "x" and text("&am") == "&am"
 
 
+@pytest.mark.parametrize("script", ["for(i=0;i<n;i++){a[i]=0}", "var s = '<!--';", "s = \"it's\"; t='<p title=\"'", "if(a<b){x='<style>'}"])
+def test_scripts_are_no_markup(script):
+    text = lambda s: " ".join("".join(t for _, t in html_extract.parse_page(s).pieces).split())
+    for tag in ("script", "STYLE"):
+        assert text(f"<p>a</p><{tag} x='y'>{script}</{tag.lower()} ><p>b</p><svg><{tag}>{script}</{tag}></svg><p>c") == "a b c"
+    assert text("<p>a <noscript>b</noscript> <object>c</object> <math><mi>x</mi></math> <canvas>d</canvas>") == "a b c x d"
+    assert text("<template>a<template>b</template>c</template>d") == "d"
+
+
 # --- 9: licences
 
 
