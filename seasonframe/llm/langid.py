@@ -48,9 +48,11 @@ def learn_languages(
     dictionary_bytes: int = 65536,
     max_languages: int = 500,
 ) -> LanguageProfiles:
-    """Learn from a bounded sample: about ``docs_per_language`` rows a language, ``chars_per_doc`` characters of each.
+    """Learn from a bounded sample: about ``docs_per_language`` rows a language, a passage of ``chars_per_doc`` characters
+    of each.
 
-    Rows are drawn by a hash of key and text with a rate set by the language's count, and equal ones count once, so
+    Rows are drawn by a hash of key and text with a rate set by the language's count, the passage's place in the whole
+    text by another, and equal ones count once, so
     the driver holds at most about languages x docs_per_language x chars_per_doc characters, whatever the size of
     ``docs``. The key serves the draw alone.
     """
@@ -65,7 +67,8 @@ def learn_languages(
     whole = 1 << 40
     cuts = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(whole, whole * docs_per_language // n + 1))])
     drawn = F.pmod(F.xxhash64(*[quoted(c) for c in (key, text) if c in docs.columns]), F.lit(whole))
-    sample = rows.filter(drawn < cuts[quoted(lang)]).select(quoted(lang).alias("k"), F.substring(quoted(text), 1, chars_per_doc).alias("t"), drawn.alias("h")).distinct()
+    begin = F.pmod(F.xxhash64(quoted(text), F.lit("passage")), F.greatest(F.length(quoted(text)) - chars_per_doc + 1, F.lit(1))) + 1
+    sample = rows.filter(drawn < cuts[quoted(lang)]).select(quoted(lang).alias("k"), quoted(text).substr(begin.cast("int"), F.lit(chars_per_doc)).alias("t"), drawn.alias("h")).distinct()
     buffers: dict[str, bytearray] = {k: bytearray() for k in sorted(counts, key=lambda k: (-counts[k], k))}
     for r in sorted(sample.collect(), key=lambda r: (r["h"], r["t"])):
         if len(buffers[r["k"]]) < dictionary_bytes:

@@ -187,11 +187,12 @@ def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8,
     return ToxicityModel(weights, float(bias[1] - bias[0]), slope, offset)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1500, chars: int = 8000) -> ToxicityModel:
-    """Train on a bounded sample: about ``per_class`` labelled rows of each class, ``chars`` characters of each.
+def train_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1500, sample_bytes: int = 16 << 20) -> ToxicityModel:
+    """Train on a bounded sample: about ``per_class`` labelled rows of each class, with their whole texts.
 
     Keys are drawn by hash from all labelled ones, at a rate set by the class counts over all of them; a key with
-    several labels counts with the largest.
+    several labels counts with the largest. If the texts drawn have more than ``sample_bytes``, fewer rows of both
+    classes are drawn, by the same hash.
     """
     known = labels.filter(quoted(label).isNotNull() & quoted(key).isNotNull())
     if trainable is not None:
@@ -201,9 +202,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None
     total = max(1, sum(counts.values()))
     whole = 1 << 40
     rate = F.when(F.col("y") == 1, F.lit(whole * per_class // max(1, counts.get(1, 0)) + 1)).otherwise(F.lit(whole * per_class // max(1, total - counts.get(1, 0)) + 1))
-    drawn = known.filter(F.pmod(F.xxhash64(F.col("__key"), F.lit("sample")), F.lit(whole)) < rate)
+    place = F.pmod(F.xxhash64(F.col("__key"), F.lit("sample")), F.lit(whole))
+    drawn = known.filter(place < rate)
     # a few thousand keys at most, by the bound above
-    sample = docs.join(F.broadcast(drawn), quoted(key) == F.col("__key")).select("__key", "y", F.substring(F.coalesce(quoted(text), F.lit("")), 1, chars).alias("t"))
+    sample = docs.join(F.broadcast(drawn), quoted(key) == F.col("__key")).select("__key", "y", F.coalesce(quoted(text), F.lit("")).alias("t"))
+    # keys of the first hashes, relative to their class's rate, whose texts fit in
+    least = place / F.least(rate, F.lit(whole))
+    sizes = sample.groupBy("__key", "y").agg(F.max(F.octet_length("t")).alias("n"))
+    room, share = sample_bytes, 1.0
+    for r in sorted(sizes.select(least.alias("h"), "n").collect()):
+        room -= r["n"]
+        if room < 0:
+            share = r["h"]
+            break
+    if share < 1:
+        sample = sample.filter(least < share)
     sample = sample.groupBy("__key", "y").agg(F.min("t").alias("t"))  # one text a key, however often it is repeated
     rows = sorted((r["__key"], r["y"], r["t"]) for r in sample.collect())
     return fit_numpy([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), counts.get(1, 0) / total)

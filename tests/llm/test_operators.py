@@ -161,6 +161,18 @@ def test_toxicity_of_unseen_spellings(spark, prose):
     assert high > low  # one word in a long text is not averaged away
 
 
+def test_training_reads_whole_texts(spark, words):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [prose(2000) + (" zorkish blargon" if k % 2 else "") for k in range(60)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels)).collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) >= 0.9
+    late = spark.createDataFrame(rows_of([f"{'a ' * 3000}{'b ' * 3000}"] + [f"{'a ' * 3000}{'b ' * 3000}{k}" for k in range(40)]), SCHEMA)
+    assert b"b b" in langid.learn_languages(late).samples["en"]
+
+
 def test_passages_hold_every_word():
     for n in range(1, 60):
         lo, hi = toxicity._passages(n)
