@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a local session that names none gets a temporary folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder, which all executors share; cached where it names none.
+    """Written to the folder that all executors share and read back, so that a lost executor costs no recomputation.
 
     For frames whose partitions a second run could deal out differently (ranges), and for loops, whose lineage
     would grow.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            return df.persist()
-        context.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def number_rows(df: DataFrame, order: list[str], output: str) -> DataFrame:
+    """Numbers from 1 in order, without gaps: sorted ranges are counted, and each starts where the last one ended.
+
+    Only one count a partition reaches the driver.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = materialized(ranged)  # a second run could cut the ranges elsewhere
+    starts, total = [], 1
+    for r in sorted(ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()):
+        starts.append((r["__p"], total))
+        total += r["n"]
+    offsets = df.sparkSession.createDataFrame(starts or [(0, 1)], "__p int, __s long")
+    return ranged.join(F.broadcast(offsets), "__p").withColumn(output, F.col("__s") + F.col("__k")).drop("__p", "__k", "__s")

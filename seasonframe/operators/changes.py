@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import number_rows
+
 
 def latest_changes(changes: DataFrame, key: str = "id", sequence: str = "seq") -> DataFrame:
     """The last change of each key; changes without a key, which insert, all stay."""
@@ -15,7 +17,8 @@ def latest_changes(changes: DataFrame, key: str = "id", sequence: str = "seq") -
 
 
 def apply_changes(rows: DataFrame, changes: DataFrame, key: str = "id", owner: str = "owner", sequence: str = "seq", delete: str = "deleted", actor: str = "actor", guard: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected): key and ``deleted`` delete, a key updates, no key inserts with the next keys.
+    """(rows, rejected): key and ``deleted`` delete, a key updates, no key inserts with the next keys, in sequence and
+    without gaps.
 
     A change is rejected unless its owner is the actor, the ``guard`` column (a publication's id) is null, and the
     row that it names is there and the actor's own. Columns that a change lacks keep their value.
@@ -34,8 +37,10 @@ def apply_changes(rows: DataFrame, changes: DataFrame, key: str = "id", owner: s
     updated = merged.select(*[F.when(F.col("__k").isNotNull(), F.coalesce(F.col(f"__{c}"), F.col(c))).otherwise(F.col(c)).alias(c) if c in data and c in last.columns else F.col(c) for c in rows.columns])
     new = last.filter(F.col(key).isNull() & ~F.coalesce(F.col(delete), F.lit(False)))
     top = rows.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-    # keys grow with the sequence; distinct, though not without gaps
-    inserted = new.repartitionByRange(sequence).sortWithinPartitions(sequence).select((F.lit(top) + 1 + F.monotonically_increasing_id()).cast(rows.schema[key].dataType).alias(key), *[F.col(c) if c in new.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in data])
+    # by sequence, then by the row's text: the same keys when a batch is run again on other partitions
+    tie = F.to_json(F.struct(*new.columns))
+    numbered = number_rows(new.withColumn("__tie", tie), [sequence, "__tie"], "__number")
+    inserted = numbered.select((F.lit(top) + F.col("__number")).cast(rows.schema[key].dataType).alias(key), *[F.col(c) if c in new.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in data])
     return updated.unionByName(inserted.select(*rows.columns)), rejected
 
 

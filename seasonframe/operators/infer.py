@@ -7,6 +7,8 @@ Observations have the columns ``id, place, type, name, start, relative`` (relati
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,93 +77,153 @@ def round_weight(score: Column, round_: Column, devalue: Column) -> Column:
     return score * F.pow(F.lit(2.0), -(round_ + devalue))
 
 
-def _explanations(members: DataFrame, keys: list[str], round_: int) -> DataFrame:
-    """``round N: [source] offset (score*weight) ...`` of the first members by id, and how many more there are."""
-    order = Window.partitionBy(*keys).orderBy("id")
-    first = members.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= EXPLAINED)
-    text = F.format_string("[%s] %d (%.2f*%.2f)", F.col("source").cast("string"), F.col("offset"), F.col("source_score"), F.pow(F.lit(2.0), -(F.col("round") + F.col("devalue"))))
-    return first.groupBy(*keys).agg(F.concat(F.lit(f"round {round_}: "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", text.alias("t")))), lambda x: x["t"]), " ")).alias("explanation"))
-
-
 def infer_offsets(observations: DataFrame, anchors: DataFrame, max_rounds: int = 10, explain: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(observations, entities) with their offsets from the anchor of the type.
+    """(observations, entities) with their offsets from the anchor of the type. Ids are distinct.
 
     Round 0 gives anchors 0 and reads offsets off texts that name an anchor. Each later round, for rows still
     without one: (A) difference to the anchor at the place, else to the best row tied to it there; (B) rows of a
     place with the same reference; (C) the entity that a text refers to; (D) the weighted consensus of each entity,
-    handed on to its rows. It ends with the first round that changes nothing. Ties go to the least id.
+    handed on to its rows. It ends with the first round that changes neither a row nor an entity. Ties go to the
+    least id.
 
-    Every step is an aggregation to one row a key and an equi-join; each round is written before the next.
+    The rounds carry narrow rows without an offset only. A row that is open could not use what was known a round
+    before, so it meets what the last round resolved and nothing else; sums an entity go on from round to round.
+    Rows that only a consensus can reach (without place or start, and without text) stay out of the rounds as one
+    weight an entity. Each round writes its open rows and the entities once; the wide columns are joined at the end.
     """
     columns = observations.columns
     for c, kind in (("source", "string"), ("source_score", "double"), ("devalue", "double")):
         if c not in columns:
             observations = observations.withColumn(c, F.lit(None if kind == "string" else 1.0 if c == "source_score" else 0.0).cast(kind))
     dim = anchors.select("type", F.col("anchor_type").alias("own_type"), F.col("anchor_name").alias("own_name"))
-    any_anchor = anchors.select(F.col("anchor_type").alias("__at"), F.col("anchor_name").alias("__an")).distinct()
+    candles = anchors.select(F.col("anchor_type").alias("__at"), F.col("anchor_name").alias("__an")).distinct()
     rel = relative_offset(F.col("relative"))
-    state = observations.withColumn("devalue", F.coalesce("devalue", F.lit(0.0))).withColumn("__rel", rel)
-    state = state.withColumn("rel_name", F.col("__rel.name")).withColumn("rel_type", F.col("__rel.type")).withColumn("rel_days", F.col("__rel.days")).drop("__rel")
-    state = state.join(dim, "type", "left")
+    rows = observations.select("id", "place", "type", "name", "start", F.col("source_score").cast("double").alias("score"), F.coalesce("devalue", F.lit(0.0)).alias("devalue"), rel.alias("__rel"))
+    rows = rows.select("*", F.col("__rel.name").alias("rel_name"), F.col("__rel.type").alias("rel_type"), F.col("__rel.days").alias("rel_days")).drop("__rel").join(dim, "type", "left")
+    every = candles.select(F.col("__at").alias("type"), F.col("__an").alias("name"), F.lit(True).alias("is_candle"))
+    rows = rows.join(every, ["type", "name"], "left")  # an anchor of some type, though perhaps not of its own
+    named = F.coalesce("rel_type", "type")
+    rows = rows.join(candles, (named == F.col("__at")) & (F.col("rel_name") == F.col("__an")), "left")
     is_anchor = (F.col("type") == F.col("own_type")) & (F.col("name") == F.col("own_name"))
-    every = any_anchor.select(F.col("__at").alias("type"), F.col("__an").alias("name"), F.lit(True).alias("is_candle"))
-    state = state.join(every, ["type", "name"], "left")  # an anchor of some type, though perhaps not of its own
-    state = state.join(any_anchor, (F.coalesce("rel_type", "type") == F.col("__at")) & (F.col("rel_name") == F.col("__an")), "left")
-    parsed = F.col("__an").isNotNull()
-    first = F.when(parsed, _calc(F.col("rel_days"), F.col("__at"), F.col("__an"), F.lit(0.0), F.lit("parsed directly")))
-    first = first.when(is_anchor, _calc(F.lit(0), F.col("type"), F.col("name"), F.lit(0.0), F.lit("standard candle")))
-    state = materialized(_take(state, first).drop("__at", "__an"))
-    entities = materialized(state.select("type", "name", "own_type", "own_name").distinct().withColumn("entity_offset", F.lit(None).cast("int")).withColumn("entity_explanation", F.lit(None).cast("string")))
+    first = F.when(F.col("__an").isNotNull(), _calc(F.col("rel_days"), F.col("__at"), F.col("__an"), 0.0, "parsed directly"))
+    first = first.when(is_anchor, _calc(F.lit(0), F.col("type"), F.col("name"), 0.0, "standard candle"))
+    timed = F.col("place").isNotNull() & F.col("start").isNotNull() & F.col("own_name").isNotNull()
+    rows = materialized(rows.withColumn("calc", first).withColumn("active", timed | F.col("rel_days").isNotNull()).drop("__at", "__an"))
+
+    open_ = F.col("calc").isNull()
+    idle = F.sum(F.when(open_ & ~F.col("active"), F.col("score") * F.pow(F.lit(2.0), -F.col("devalue"))))
+    nothing = [F.lit(0.0).alias("sum_wx"), F.lit(0.0).alias("sum_w"), *[F.lit(None).cast("int").alias(c) for c in ("entity_offset", "first_offset", "first_round", "last_round")]]
+    entities = materialized(rows.groupBy("type", "name", "own_type", "own_name").agg(F.coalesce(idle, F.lit(0.0)).alias("idle_w")).select("*", *nothing))
+    resolved = [rows.filter(~open_)]
+    fresh, pushed, left = resolved[0], resolved[0], rows.filter(open_ & F.col("active"))
 
     for r in range(1, max_rounds + 1):
         # A: against the anchor at the place, else against the best row that is tied to it
-        there = best_candidates(state.filter(F.col("is_candle") & F.col("start").isNotNull() & F.col("offset").isNotNull()), ["place", "type", "name"], ["id"], ["start", "offset", "anchor_type", "anchor_name"])
-        there = there.select("place", *[F.col(a).alias(b) for a, b in (("type", "own_type"), ("name", "own_name"), ("start", "x_start"), ("offset", "x_offset"), ("anchor_type", "x_type"), ("anchor_name", "x_name"))])
-        tied = best_candidates(state.filter(F.col("start").isNotNull() & F.col("offset").isNotNull()), ["place", "anchor_type", "anchor_name"], ["round", "id"], ["start", "offset"])
-        tied = tied.select("place", F.col("anchor_type").alias("own_type"), F.col("anchor_name").alias("own_name"), F.col("start").alias("y_start"), F.col("offset").alias("y_offset"))
-        state = state.join(there, ["place", "own_type", "own_name"], "left").join(tied, ["place", "own_type", "own_name"], "left")
-        timed = F.col("start").isNotNull()
-        a = F.when(timed & F.col("x_start").isNotNull(), _calc(F.col("start") - F.col("x_start") + F.col("x_offset"), F.col("x_type"), F.col("x_name"), F.lit(float(r)), F.lit(f"round {r}: from the anchor at the place")))
-        a = a.when(timed & F.col("y_start").isNotNull(), _calc(F.col("start") - F.col("y_start") + F.col("y_offset"), F.col("own_type"), F.col("own_name"), F.lit(r + 0.1), F.lit(f"round {r}: from a tied row at the place")))
-        state = _take(state, a).drop("x_start", "x_offset", "x_type", "x_name", "y_start", "y_offset")
+        turn = _meet(left, _place_candidates(fresh), timed, ["place", "own_type", "own_name"])
+        a = _calc(F.col("start") - F.col("x.start") + F.col("x.offset"), F.col("x.t"), F.col("x.n"), F.when(F.col("x.prior") == 0, float(r)).otherwise(r + 0.1), F.when(F.col("x.prior") == 0, f"round {r}: from the anchor at the place").otherwise(f"round {r}: from a tied row at the place"))
+        turn = turn.withColumn("calc", F.when(F.col("x").isNotNull(), a)).drop("x")
         # B: rows of the place with the same reference
-        same = state.filter(F.col("place").isNotNull() & F.col("offset").isNotNull() & F.col("rel_days").isNotNull())
-        same = same.groupBy("place", "rel_name", "rel_type").agg(F.min(F.struct("round", "id", "offset", "rel_days", F.col("anchor_type").alias("t"), F.col("anchor_name").alias("n"))).alias("z"))
-        same = same.select(F.col("place").alias("zp"), F.col("rel_name").alias("zn"), F.col("rel_type").alias("zt"), "z")
-        state = state.join(same, (F.col("place") == F.col("zp")) & (F.col("rel_name") == F.col("zn")) & F.col("rel_type").eqNullSafe(F.col("zt")), "left")
-        b = F.when(F.col("z").isNotNull(), _calc(F.col("z.offset") + F.col("rel_days") - F.col("z.rel_days"), F.col("z.t"), F.col("z.n"), F.lit(float(r)), F.lit(f"relative-to-relative: round {r}")))
-        state = _take(state, b).drop("zp", "zn", "zt", "z")
+        same = fresh.unionByName(turn.filter(~open_)).filter(F.col("place").isNotNull() & F.col("rel_days").isNotNull())
+        same = same.groupBy("place", "rel_name", _text("rel_type").alias("rel_key")).agg(F.min(F.struct("calc.round", "id", "calc.offset", "rel_days", F.col("calc.anchor_type").alias("t"), F.col("calc.anchor_name").alias("n"))).alias("x"))
+        turn = _meet(turn.withColumn("rel_key", _text("rel_type")), same, open_ & F.col("place").isNotNull() & F.col("rel_days").isNotNull(), ["place", "rel_name", "rel_key"])
+        b = _calc(F.col("x.offset") + F.col("rel_days") - F.col("x.rel_days"), F.col("x.t"), F.col("x.n"), float(r), f"relative-to-relative: round {r}")
+        turn = turn.withColumn("calc", F.coalesce("calc", F.when(F.col("x").isNotNull(), b))).drop("x", "rel_key")
         # C: the entity that the text refers to
-        known = entities.filter(F.col("entity_offset").isNotNull()).select(F.col("type").alias("et"), F.col("name").alias("en"), F.col("entity_offset").alias("eo"), F.col("own_type").alias("e_type"), F.col("own_name").alias("e_name"))
-        state = state.join(known, (F.coalesce("rel_type", "type") == F.col("et")) & (F.col("rel_name") == F.col("en")), "left")
-        c = F.when(F.col("eo").isNotNull(), _calc(F.col("eo") + F.col("rel_days"), F.col("e_type"), F.col("e_name"), F.lit(r + 0.95), F.lit(f"round {r}: from the entity's consensus")))
-        state = materialized(_take(state, c).drop("et", "en", "eo", "e_type", "e_name"))
-        # D: consensus of rows tied to the type's own anchor
-        members = state.filter(F.col("offset").isNotNull() & (F.col("anchor_type") == F.col("own_type")) & (F.col("anchor_name") == F.col("own_name")))
-        weight = round_weight(F.col("source_score"), F.col("round"), F.col("devalue"))
-        found = members.groupBy("type", "name").agg(F.round(F.sum(F.col("offset") * weight) / F.sum(weight)).cast("int").alias("new"), F.max("round").alias("latest"))
-        found = found if r <= 1 else found.filter(F.col("latest") >= r)
-        found = found.drop("latest")
-        found = found.join(_explanations(members, ["type", "name"], r), ["type", "name"], "left") if explain else found.withColumn("explanation", F.lit(f"round {r}: weighted consensus"))
-        found = materialized(found.withColumnRenamed("explanation", "why"))
-        if found.isEmpty():
+        known = entities.filter(F.col("last_round") == r - 1).select(F.col("type").alias("ref_type"), F.col("name").alias("rel_name"), F.struct(F.col("entity_offset").alias("offset"), F.col("own_type").alias("t"), F.col("own_name").alias("n")).alias("x"))
+        turn = _meet(turn.withColumn("ref_type", named), known, open_ & F.col("rel_days").isNotNull(), ["ref_type", "rel_name"])
+        c = _calc(F.col("x.offset") + F.col("rel_days"), F.col("x.t"), F.col("x.n"), r + 0.95, f"round {r}: from the entity's consensus")
+        turn = materialized(turn.withColumn("calc", F.coalesce("calc", F.when(F.col("x").isNotNull(), c))).drop("x", "ref_type"))
+        new = turn.filter(~open_)
+        # D: consensus of the rows tied to the type's own anchor, where one of them is new
+        members = pushed.select("*", F.lit(r == 1).alias("now")).unionByName(new.select("*", F.lit(True).alias("now"))).filter((F.col("calc.anchor_type") == F.col("own_type")) & (F.col("calc.anchor_name") == F.col("own_name")))
+        weight = round_weight(F.col("score"), F.col("calc.round"), F.col("devalue"))
+        gained = members.groupBy("type", "name").agg(F.sum(F.col("calc.offset") * weight).alias("wx"), F.sum(weight).alias("w"), F.max("now").alias("now"))
+        entities = materialized(_consensus(entities.join(gained, ["type", "name"], "left"), r))
+        handed = entities.filter(F.col("last_round") == r).select("type", "name", F.col("entity_offset").alias("new"))
+        after = turn.filter(open_).join(handed, ["type", "name"], "left")
+        pushed = after.filter(F.col("new").isNotNull()).withColumn("calc", _calc(F.col("new"), F.col("own_type"), F.col("own_name"), r + 0.9, f"round {r}: weighted consensus")).drop("new")
+        left = after.filter(F.col("new").isNull()).drop("new")
+        resolved += [new, pushed]
+        fresh = new.unionByName(pushed)
+        changed = turn.agg(F.count("calc"), F.count("*")).first()
+        if changed[0] == changed[1] or not (changed[0] or handed.head(1)):
             break
-        entities = materialized(entities.join(found, ["type", "name"], "left").withColumn("entity_offset", F.coalesce("new", "entity_offset")).withColumn("entity_explanation", F.coalesce("why", "entity_explanation")).drop("new", "why"))
-        state = state.join(found, ["type", "name"], "left")
-        d = F.when(F.col("new").isNotNull(), _calc(F.col("new"), F.col("own_type"), F.col("own_name"), F.lit(r + 0.9), F.col("why")))
-        state = materialized(_take(state, d).drop("new", "why"))
-    kept = [c for c in columns if c not in CALC]
-    return state.select(*kept, *CALC), entities.select("type", "name", "entity_offset", F.when(F.col("entity_offset").isNotNull(), F.col("own_type")).alias("anchor_type"), F.when(F.col("entity_offset").isNotNull(), F.col("own_name")).alias("anchor_name"), "entity_explanation")
-
-
-def _calc(offset: Column, kind: Column, name: Column, round_: Column, explanation: Column) -> Column:
+    late = rows.filter(open_ & ~F.col("active")).select("id", "type", "name").join(entities.filter(F.col("first_round").isNotNull()), ["type", "name"])
+    said = F.concat(F.lit("round "), F.col("first_round").cast("string"), F.lit(": weighted consensus"))
+    late = late.select("id", _calc(F.col("first_offset"), F.col("own_type"), F.col("own_name"), F.col("first_round") + 0.9, said).alias("calc"))
+    calcs = reduce(DataFrame.unionByName, [p.select("id", F.col("calc").alias("__calc")) for p in (*resolved, late)])
+    full = observations.drop(*[c for c in CALC if c in columns]).join(calcs, "id", "left").select("*", "__calc.*").drop("__calc")
+    has, why = F.col("entity_offset").isNotNull(), F.concat(F.lit("round "), F.col("last_round").cast("string"), F.lit(": weighted consensus"))
+    found = entities.select("type", "name", "entity_offset", F.when(has, F.col("own_type")).alias("anchor_type"), F.when(has, F.col("own_name")).alias("anchor_name"), F.when(has, why).alias("entity_explanation"), F.col("last_round").alias("entity_round"))
+    if explain:
+        found = found.drop("entity_explanation").join(explain_consensus(consensus_members(full, found)), ["type", "name"], "left")
+    return full.select(*[c for c in columns if c not in CALC], *CALC), found.select("type", "name", "entity_offset", "anchor_type", "anchor_name", "entity_explanation", "entity_round")
+
+
+def _meet(rows: DataFrame, found: DataFrame, able: Column, keys: list[str]) -> DataFrame:
+    """Add ``x`` of ``found`` by the keys to the rows that are ``able``. The others go by their ids, not all to the
+    task of the null key."""
+    spread = F.when(able, F.lit(0).cast("long")).otherwise(F.xxhash64("id").bitwiseOR(F.lit(1)))
+    return rows.withColumn("__s", spread).join(found.select(*keys, "x", F.lit(0).cast("long").alias("__s")), [*keys, "__s"], "left").drop("__s")
+
+
+def _text(c: str) -> Column:
+    """A key that keeps null and the empty text apart."""
+    return F.coalesce(F.concat(F.lit(":"), F.col(c)), F.lit(""))
+
+
+def _place_candidates(rows: DataFrame) -> DataFrame:
+    """(place, own_type, own_name, x): for each anchor at a place the anchor's own row, else the first row tied to it."""
+    def entry(prior: int, round_: Column, kind: Column, name: Column) -> Column:
+        values = {"prior": F.lit(prior), "round": round_, "id": F.col("id"), "start": F.col("start"), "offset": F.col("calc.offset"), "t": F.col("calc.anchor_type"), "n": F.col("calc.anchor_name")}
+        return F.struct(kind.alias("own_type"), name.alias("own_name"), F.struct(*[v.alias(c) for c, v in values.items()]).alias("x"))
+
+    there = F.when(F.col("is_candle"), entry(0, F.lit(0.0), F.col("type"), F.col("name")))
+    tied = entry(1, F.col("calc.round"), F.col("calc.anchor_type"), F.col("calc.anchor_name"))
+    both = rows.filter(F.col("place").isNotNull() & F.col("start").isNotNull()).select("place", F.explode(F.array_compact(F.array(there, tied))).alias("e"))
+    return both.select("place", "e.*").groupBy("place", "own_type", "own_name").agg(F.min("x").alias("x"))
+
+
+def _consensus(entities: DataFrame, r: int) -> DataFrame:
+    """Add what the round gained to the sums; where it has a new row, the mean is the entity's offset."""
+    wx, w = (F.col(a) + F.coalesce(b, F.lit(0.0)) for a, b in (("sum_wx", "wx"), ("sum_w", "w")))
+    out = entities.withColumn("sum_wx", wx).withColumn("sum_w", w).withColumn("now", F.coalesce("now", F.lit(False)) & (F.col("sum_w") > 0))
+    out = out.withColumn("entity_offset", F.when(F.col("now"), F.round(F.try_divide("sum_wx", "sum_w")).cast("int")).otherwise(F.col("entity_offset")))
+    out = out.withColumn("last_round", F.when(F.col("now"), F.lit(r)).otherwise(F.col("last_round")))
+    # rows that wait for the first consensus alone take it, and weigh in from the next round on
+    late = F.when(F.col("now") & F.col("first_round").isNull(), F.col("idle_w") * 2.0 ** -(r + 0.9)).otherwise(F.lit(0.0))
+    out = out.withColumn("sum_wx", F.col("sum_wx") + F.coalesce(F.col("entity_offset") * late, F.lit(0.0))).withColumn("sum_w", F.col("sum_w") + late)
+    is_first = F.col("now") & F.col("first_round").isNull()
+    out = out.withColumn("first_offset", F.when(is_first, F.col("entity_offset")).otherwise(F.col("first_offset"))).withColumn("first_round", F.when(is_first, F.lit(r)).otherwise(F.col("first_round")))
+    return out.drop("wx", "w", "now")
+
+
+def consensus_members(observations: DataFrame, entities: DataFrame) -> DataFrame:
+    """(type, name, entity_round, id, source, offset, source_score, weight): the rows behind each entity's consensus.
+
+    Takes the results of ``infer_offsets``, the observations with ``source, source_score, devalue``.
+    """
+    known = entities.filter(F.col("entity_offset").isNotNull()).select("type", "name", "anchor_type", "anchor_name", "entity_round")
+    rows = observations.join(known, ["type", "name", "anchor_type", "anchor_name"])
+    # of the entity's last round, what it handed on itself came after
+    before = (F.col("round") < F.col("entity_round") + 1) & (F.abs(F.col("round") - F.col("entity_round") - 0.9) > 0.01)
+    weight = round_weight(F.lit(1.0), F.col("round"), F.coalesce("devalue", F.lit(0.0)))
+    return rows.filter(before).select("type", "name", "entity_round", "id", "source", "offset", "source_score", weight.alias("weight"))
+
+
+def explain_consensus(members: DataFrame, limit: int = EXPLAINED) -> DataFrame:
+    """(type, name, entity_explanation): ``round N: [source] offset (score*weight) ...`` of an entity's first rows by
+    id, and how many more there are; ``consensus_members`` has them all."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(64))
+    few = members.withColumn("__k", F.row_number().over(Window.partitionBy("type", "name", salt).orderBy("id"))).filter(F.col("__k") <= limit)
+    few = few.withColumn("__k", F.row_number().over(Window.partitionBy("type", "name").orderBy("id"))).filter(F.col("__k") <= limit)
+    text = F.format_string("[%s] %d (%.2f*%.2f)", F.col("source").cast("string"), F.col("offset"), F.col("source_score"), F.col("weight"))
+    listed = few.groupBy("type", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", text.alias("t")))), lambda x: x["t"]), " ").alias("__text"))
+    counts = members.groupBy("type", "name").agg(F.count("*").alias("__n"), F.max("entity_round").alias("__r"))
+    more = F.when(F.col("__n") > limit, F.format_string(" and %d more", F.col("__n") - limit)).otherwise("")
+    return counts.join(listed, ["type", "name"]).select("type", "name", F.concat(F.format_string("round %d: ", "__r"), "__text", more).alias("entity_explanation"))
+
+
+def _calc(offset: Column, kind: Column, name: Column, round_: Column | float, explanation: Column | str) -> Column:
+    round_, explanation = (v if isinstance(v, Column) else F.lit(v) for v in (round_, explanation))
     return F.struct(offset.cast("int").alias("offset"), kind.alias("anchor_type"), name.alias("anchor_name"), round_.cast("double").alias("round"), explanation.alias("explanation"))
-
-
-def _take(state: DataFrame, calc: Column) -> DataFrame:
-    """Give rows without an offset the one of ``calc``, if it is not null."""
-    if "offset" not in state.columns:
-        return state.withColumn("__c", calc).select("*", *[F.col(f"__c.{c}").alias(c) for c in CALC]).drop("__c")
-    state = state.withColumn("__c", F.when(F.col("offset").isNull(), calc))
-    others = [c for c in state.columns if c not in (*CALC, "__c")]
-    return state.select(*others, *[F.when(F.col("__c").isNotNull(), F.col(f"__c.{c}")).otherwise(F.col(c)).alias(c) for c in CALC])

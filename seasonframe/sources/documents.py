@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import split_source_path
-from ..lineage import materialized
+from ..lineage import number_rows
 
 PLACE = "struct<short_name:string,name:string,latitude:double,longitude:double>"
 ENTRY = (
@@ -61,21 +61,6 @@ def read_documents(spark: SparkSession, folder: str, schema: str = PUBLICATION)
     return documents, parsed.filter(corrupt).select("file", F.col("d._corrupt").alias("text"))
 
 
-def number_rows(df: DataFrame, order: list[str], output: str) -> DataFrame:
-    """Numbers from 1 in order, without gaps: sorted ranges are counted, and each starts where the last one ended.
-
-    Only one count a partition reaches the driver.
-    """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = materialized(ranged)  # a second run could cut the ranges elsewhere
-    starts, total = [], 1
-    for r in sorted(ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()):
-        starts.append((r["__p"], total))
-        total += r["n"]
-    offsets = df.sparkSession.createDataFrame(starts or [(0, 1)], "__p int, __s long")
-    return ranged.join(F.broadcast(offsets), "__p").withColumn(output, F.col("__s") + F.col("__k")).drop("__p", "__k", "__s")
-
-
 def explode_places(documents: DataFrame) -> DataFrame:
     """One row a place of a document, numbered from 1, with the fields of its publication."""
     rows = documents.select("source_id", "path", "filename", "title", "ignore_for_nearby_searches", F.posexplode("locations").alias("position", "l"))
