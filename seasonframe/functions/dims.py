@@ -68,9 +68,9 @@ def anchors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, *a) for t, a in ANCHORS.items()], "type string, anchor_type string, anchor_name string")
 
 
-def anchor_set(spark: SparkSession) -> DataFrame:
-    """The distinct anchors."""
-    return anchors(spark).select("anchor_type", "anchor_name").distinct()
+def anchor_set(anchors: DataFrame) -> DataFrame:
+    """The distinct anchors of a map of types."""
+    return anchors.select("anchor_type", "anchor_name").distinct()
 
 
 def source_scores(spark: SparkSession) -> DataFrame:

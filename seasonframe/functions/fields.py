@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .timetext import _found
+from .timetext import _found, let
 
 
 def relative_offset(text: Column) -> Column:
@@ -15,18 +15,22 @@ def relative_offset(text: Column) -> Column:
     """
     parts = F.split(text, ":")
     typed = F.size(parts) == 2
-    rest = F.when(typed, F.get(parts, F.lit(1))).otherwise(text)
     number, weeks = "([-+])([0-9.]+)", "(.*(?:week|Week))?"
     span, single = f"(.+){number} to {number}{weeks}", f"(.+){number}{weeks}"
 
-    def days(pattern: str, group: int, unit: int) -> Column:
-        value = F.concat(_found(rest, pattern, group), _found(rest, pattern, group + 1)).try_cast("double")
-        return F.round(value * F.when(F.lower(F.trim(_found(rest, pattern, unit))) == "week", 7).otherwise(1)).cast("int")
+    def read(rest: Column) -> Column:
+        def days(pattern: str, group: int, unit: int) -> Column:
+            value = F.concat(_found(rest, pattern, group), _found(rest, pattern, group + 1)).try_cast("double")
+            return F.round(value * F.when(F.lower(F.trim(_found(rest, pattern, unit))) == "week", 7).otherwise(1)).cast("int")
 
-    both = _half(days(span, 2, 6) + days(span, 4, 6))
-    name = F.trim(F.when(both.isNotNull(), _found(rest, span, 1)).otherwise(_found(rest, single, 1)))
-    value = F.coalesce(both, days(single, 2, 4))
-    return F.when(value.isNotNull(), F.struct(name.alias("name"), F.when(typed, F.trim(F.get(parts, F.lit(0)))).alias("type"), value.alias("days")))
+        def chosen(d: Column) -> Column:
+            name = F.trim(F.when(d["both"].isNotNull(), _found(rest, span, 1)).otherwise(_found(rest, single, 1)))
+            value = F.coalesce(_half(d["both"]), d["one"])
+            return F.when(value.isNotNull(), F.struct(name.alias("name"), F.when(typed, F.trim(F.get(parts, F.lit(0)))).alias("type"), value.alias("days")))
+
+        return let(F.struct((days(span, 2, 6) + days(span, 4, 6)).alias("both"), days(single, 2, 4).alias("one")), chosen)
+
+    return let(F.when(typed, F.get(parts, F.lit(1))).otherwise(text), read)
 
 
 def _half(x: Column) -> Column:
@@ -88,10 +92,10 @@ def merge_tag_texts(old: Column, new: Column) -> Column:
 
 
 def slug(path: Column) -> Column:
-    """A readable path for a URL: spaces become ``_``, other signs of each segment are percent-encoded but ``'!()*``."""
+    """A readable path for a URL: spaces become ``_``, other signs of each segment are percent-encoded but ``'!()*~``."""
     def one(segment: Column) -> Column:
         out = F.replace(F.url_encode(F.replace(segment, F.lit(" "), F.lit("_"))), F.lit("+"), F.lit("%20"))
-        for sign, code in (("'", "%27"), ("!", "%21"), ("(", "%28"), (")", "%29")):
+        for sign, code in (("'", "%27"), ("!", "%21"), ("(", "%28"), (")", "%29"), ("~", "%7E")):
             out = F.replace(out, F.lit(code), F.lit(sign))
         return out
 

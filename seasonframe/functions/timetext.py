@@ -132,6 +132,17 @@ def two_season(text: Column, window: int = 10) -> Column:
     return let(F.transform(seasons, lambda t: day_range(t, window)), two)
 
 
+def parse_distinct(df: DataFrame, text: str, parser: Callable[[Column], Column], output: str) -> DataFrame:
+    """Add ``output``, the parser's value of a text column: each distinct text is parsed once and joined back.
+
+    Texts of one column repeat without end, and their values are few: where these are small, Spark sends them to all
+    tasks, else it splits the rows of a frequent text.
+    """
+    texts = df.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).distinct()
+    parsed = texts.select("__text", parser(F.col("__text")).alias("__parsed"))
+    return df.join(parsed, F.col(text) == F.col("__text"), "left").withColumn(output, F.col("__parsed")).drop("__text", "__parsed")
+
+
 def harvest_label(time: Column, unparsed: Column) -> Column:
     return F.coalesce(time, unparsed)
 

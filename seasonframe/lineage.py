@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,3 +47,33 @@ def number_rows(df: DataFrame, order: list[str], output: str) -> DataFrame:
         total += r["n"]
     offsets = df.sparkSession.createDataFrame(starts or [(0, 1)], "__p int, __s long")
     return ranged.join(F.broadcast(offsets), "__p").withColumn(output, F.col("__s") + F.col("__k")).drop("__p", "__k", "__s")
+
+
+def number_within(df: DataFrame, group: list[str], order: list[Column], output: str) -> DataFrame:
+    """Numbers from 1 in order within each group, without gaps; a group of any size is spread over many tasks.
+
+    Rows are sorted by ranges of group and order. A group that a range cuts goes on from the last range's count: the
+    driver sees two groups and their counts a partition at most.
+    """
+    names = [f"__o{k}" for k in range(len(order))]
+    keyed = df.select("*", *[o.alias(n) for o, n in zip(order, names, strict=True)])
+    ranged = keyed.repartitionByRange(*group, *names).sortWithinPartitions(*group, *names)
+    ranged = materialized(ranged.withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id()))
+    counts = ranged.groupBy("__p", *group).agg(F.count("*").alias("n"), F.min("__k").alias("__first"))
+    # the last group of a range, the first one of the next
+    ends = counts.groupBy("__p").agg(F.min(F.struct("__first", "n", *group)).alias("a"), F.max(F.struct("__first", "n", *group)).alias("b")).orderBy("__p").collect()
+    starts, last, held = [], None, 0
+    for r in ends:
+        a, b = tuple(r["a"])[2:], tuple(r["b"])[2:]
+        same = a == last
+        if same:
+            starts.append((r["__p"], *a, held))
+        held = r["b"]["n"] + (held if same and a == b else 0)
+        last = b
+    kinds = [ranged.schema[g].dataType for g in group]
+    schema = T.StructType([T.StructField("__p", T.IntegerType()), *[T.StructField(f"__g{k}", t) for k, t in enumerate(kinds)], T.StructField("__s", T.LongType())])
+    carried = F.broadcast(df.sparkSession.createDataFrame(starts, schema))  # one row a partition at most
+    same = [F.col(g).eqNullSafe(F.col(f"__g{k}")) for k, g in enumerate(group)]
+    within = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p", *group).orderBy("__k"))).withColumnRenamed("__p", "__part")
+    out = within.join(carried, reduce(lambda x, y: x & y, same, F.col("__part") == F.col("__p")), "left").withColumn(output, F.col("__n") + F.coalesce("__s", F.lit(0)))
+    return out.select(*[c for c in df.columns if c != output], output)

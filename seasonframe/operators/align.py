@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ANCHORS = 2000
+#: Pairs of them are held by the driver.
+MAX_ANCHORS = 200
 
 
 def place_anchor_means(observations: DataFrame, anchors: DataFrame, place: str = "place", kind: str = "type", name: str = "name", start: str = "start", offset: str = "offset") -> DataFrame:
@@ -30,7 +31,7 @@ def anchor_pairs(means: DataFrame) -> DataFrame:
 def align_anchors(observations: DataFrame, anchors: DataFrame, passes: int = 10, **columns) -> DataFrame:
     """(type, name, day): each anchor's day after the earliest one, by the differences seen at shared places.
 
-    Spark reduces the observations to one row a pair of anchors (at most two thousand anchors, checked); the days
+    Spark reduces the observations to one row a pair of anchors (at most ``MAX_ANCHORS`` anchors, checked first); the days
     are then spread from the anchor with most shared places, each pass setting every anchor to the mean of what its
     neighbours say, weighted by places. Anchors that share no place with the rest have none.
     """

@@ -2,66 +2,88 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..functions.dims import FIRST_PATENT_YEAR, FIRST_PATENTS
 from ..functions.fields import patent_expiry_seconds
 from ..lineage import materialized
 
-#: Breakpoint tables up to this many rows are searched as an array in each row; longer ones by one sort.
-ARRAY_LIMIT = 1000
+#: Breakpoint tables up to this many rows are constants of a search tree; up to the next, a broadcast of intervals;
+#: longer ones are merged by one sort.
+TREE_LIMIT = 128
+INTERVAL_LIMIT = 1000
 
 
-def asof_array(key: Column, starts: list[int], values: list) -> Column:
+def asof_tree(key: Column, starts: list, values: list) -> Column:
     """The value of the last start <= key; the first value below the first start; null for a null key.
 
-    A binary search over constants: no join and no shuffle.
+    A binary search over constants, as nested conditions that are compiled: no join and no shuffle.
     """
-    place = F.array_position(F.transform(F.lit(starts), lambda s: s <= key), F.lit(False))
-    return F.when(key.isNotNull(), F.element_at(F.lit(values), F.when(place == 0, len(starts)).otherwise(F.greatest(place - 1, F.lit(1))).cast("int")))
+
+    def found(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.lit(values[lo])
+        middle = (lo + hi) // 2
+        return F.when(key < F.lit(starts[middle]), found(lo, middle)).otherwise(found(middle, hi))
+
+    return F.when(key.isNotNull(), found(0, len(starts)))
+
+
+def _asof_intervals(df: DataFrame, key: str, rows: list[tuple], kinds: tuple[DataType, DataType], output: str) -> DataFrame:
+    """Join with the intervals between breakpoints; the first reaches down, the last up without end."""
+    bounds = [None, *(r[0] for r in rows[1:]), None]
+    schema = StructType([StructField("__lo", kinds[0]), StructField("__hi", kinds[0]), StructField("__v", kinds[1])])
+    intervals = F.broadcast(df.sparkSession.createDataFrame([(bounds[k], bounds[k + 1], r[1]) for k, r in enumerate(rows)], schema))
+    inside = F.col(key).isNotNull() & (F.col("__lo").isNull() | (F.col(key) >= F.col("__lo"))) & (F.col("__hi").isNull() | (F.col(key) < F.col("__hi")))
+    return df.join(intervals, inside, "left").withColumn(output, F.col("__v")).drop("__lo", "__hi", "__v")
 
 
 def asof_lookup(df: DataFrame, key: str, breakpoints: DataFrame, start: str, value: str, output: str, by: list[str] | None = None) -> DataFrame:
     """Add ``output``: the value of the last breakpoint at or before the key, the first one's below it.
 
-    A short table without groups is read to the driver, its count checked, and searched in each row. A longer one
-    is merged by one sort: rows and breakpoints go by key range to the partitions, the last breakpoint of each
-    partition is carried to the next ones as one row a partition, so that no window runs over a single partition.
+    A short table without groups is read to the driver, its count checked, and searched in each row. Another one is
+    merged by one sort: rows and breakpoints go by ranges of group and key to the partitions, the last breakpoint of
+    each partition is carried to the next ones as one row a partition, so that no group has to fit in one task.
     """
+    kind = breakpoints.schema[value].dataType
     if not by:
-        head = breakpoints.select(start, value).filter(F.col(start).isNotNull()).limit(ARRAY_LIMIT + 1).collect()
+        head = breakpoints.select(start, value).filter(F.col(start).isNotNull()).limit(INTERVAL_LIMIT + 1).collect()
         if not head:
-            return df.withColumn(output, F.lit(None).cast(breakpoints.schema[value].dataType))
-        if len(head) <= ARRAY_LIMIT:
-            rows = sorted((r[0], r[1]) for r in head)
-            return df.withColumn(output, asof_array(F.col(key), [r[0] for r in rows], [r[1] for r in rows]))
+            return df.withColumn(output, F.lit(None).cast(kind))
+        rows = sorted(((r[0], r[1]) for r in head), key=lambda r: r[0])
+        if len(head) <= TREE_LIMIT:
+            return df.withColumn(output, asof_tree(F.col(key), [r[0] for r in rows], [r[1] for r in rows]).cast(kind))
+        if len(head) <= INTERVAL_LIMIT:
+            return _asof_intervals(df, key, rows, (breakpoints.schema[start].dataType, kind), output)
     by = by or []
-    kind = breakpoints.schema[value].dataType
     marks = breakpoints.filter(F.col(start).isNotNull()).select(*by, F.col(start).alias("__k"), F.col(value).alias("__v"), F.lit(0).alias("__side"))
     rows = df.withColumn("__row", F.struct(*df.columns)).select(*by, F.col(key).alias("__k"), F.lit(None).cast(kind).alias("__v"), F.lit(1).alias("__side"), "__row")
     both = marks.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)).unionByName(rows)
+    order = [*by, "__k", "__side"]
+    placed = materialized(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
+    mark = F.struct(*by, "__k", "__v")
+    last = placed.groupBy("__p").agg(F.max(F.when(F.col("__side") == 0, mark)).alias("__last"))
+    before = last.select("__p", F.last("__last", ignorenulls=True).over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))  # one row a partition
+    within = Window.partitionBy("__p", *by).orderBy("__k", "__side")
+    found = placed.withColumn("__f", F.last(F.when(F.col("__side") == 0, mark), ignorenulls=True).over(within)).filter("__side = 1").join(F.broadcast(before), "__p", "left")
+    mine = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__before.{c}") for c in by], F.col("__before").isNotNull())
+    found = found.withColumn("__f", F.coalesce("__f", F.when(mine, F.col("__before"))))
+    # below the first breakpoint: the first one's value
     if by:
-        order = Window.partitionBy(*by).orderBy("__k", "__side")
-        found = both.withColumn("__f", F.last("__v", ignorenulls=True).over(order))
-        first = marks.groupBy(*by).agg(F.min_by("__v", "__k").alias("__first"))
-        found = found.filter("__side = 1").join(first, by, "left")
+        found = found.join(marks.groupBy(*by).agg(F.min(mark).alias("__first")), by, "left")
     else:
-        placed = both.repartitionByRange("__k", "__side").sortWithinPartitions("__k", "__side").withColumn("__p", F.spark_partition_id())
-        placed = materialized(placed)
-        last = placed.groupBy("__p").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__k"))).alias("__last"))
-        before = last.select("__p", F.last("__last", ignorenulls=True).over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))  # one row a partition
-        within = Window.partitionBy("__p").orderBy("__k", "__side")
-        found = placed.withColumn("__f", F.last("__v", ignorenulls=True).over(within)).filter("__side = 1").join(F.broadcast(before), "__p", "left")
-        smallest = marks.agg(F.min_by("__v", "__k")).first()[0]
-        found = found.withColumn("__f", F.coalesce("__f", "__before")).withColumn("__first", F.lit(smallest).cast(kind))
-    value_ = F.when(F.col("__k").isNotNull(), F.coalesce("__f", "__first"))
+        found = found.join(F.broadcast(marks.agg(F.min(mark).alias("__first"))))  # one row
+    value_ = F.when(F.col("__k").isNotNull(), F.coalesce("__f", "__first")["__v"])
     return found.select("__row.*", value_.alias(output))
 
 
 def patent_year(number: Column) -> Column:
     """Year of grant by patent number; 1931 below the first."""
-    return asof_array(number.cast("int"), FIRST_PATENTS, [FIRST_PATENT_YEAR + k for k in range(len(FIRST_PATENTS))])
+    return asof_tree(number.cast("int"), FIRST_PATENTS, [FIRST_PATENT_YEAR + k for k in range(len(FIRST_PATENTS))])
 
 
 def fill_from_patent(df: DataFrame, number: str = "patent_number", year: str = "release_year", note: str = "release_note", expires: str = "patent_expires", estimated: str = "patent_estimated") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import month_grid
+from ..lineage import number_within
 
 WINDOW_DAYS = 10
 CHUNK = 40
@@ -35,7 +36,7 @@ def chart_mode(df: DataFrame, group: list[str], start: str = "start", end: str =
 
 def sequence_chunks(df: DataFrame, group: list[str], order: list[Column], size: int = CHUNK, output: str = "chunk") -> DataFrame:
     """Runs of ``size`` rows of each group in order, numbered from 0."""
-    return df.withColumn(output, F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) / size).cast("int"))
+    return number_within(df, group, order, "__n").withColumn(output, F.floor((F.col("__n") - 1) / size).cast("int")).drop("__n")
 
 
 def extents(df: DataFrame, group: list[str] = (), x: str = "x", width: str = "width", least: int = 60) -> DataFrame:
@@ -50,26 +51,45 @@ def sequence_type(df: DataFrame, group: list[str], kind: str = "type") -> DataFr
     return df.groupBy(*group).agg(F.when(F.min(kind) == F.max(kind), F.min(kind)).otherwise("Mixed").alias("sequence_type"))
 
 
-def chart_absolute(df: DataFrame, group: list[str], kind: str = "type", name: str = "name", start: str = "start", end: str = "end", row_id: str = "id") -> DataFrame:
+def chart_absolute(df: DataFrame, group: list[str], kind: str = "type", name: str = "name", start: str = "start", end: str = "end", row_id: str = "id", keep_uncharted: bool = False) -> DataFrame:
     """Rows with ``x``, ``width``, ``sequence`` (one for up to 30 rows, else one a type) and ``chunk``.
 
-    A missing end is ten days after the start; longer windows come after shorter ones with the same start.
+    A missing end is ten days after the start; longer windows come after shorter ones with the same start. With
+    ``keep_uncharted`` the other rows follow too, ``uncharted`` saying why; it is null in charted rows.
     """
-    rows = df.withColumn("__e", F.coalesce(F.col(end), F.col(start) + WINDOW_DAYS)).filter(chartable_absolute(F.col(start), F.col("__e")))
+    ends = df.withColumn("__e", F.coalesce(F.col(end), F.col(start) + WINDOW_DAYS))
+    able = chartable_absolute(F.col(start), F.col("__e"))
+    rows = ends.filter(able)
     totals = rows.groupBy(*group).agg(F.count("*").alias("__total"))
     rows = rows.join(totals, group) if group else rows.crossJoin(F.broadcast(totals))  # one row
     rows = rows.withColumn("x", F.col(start)).withColumn("width", F.col("__e") - F.col(start)).withColumn("sequence", F.when(F.col("__total") <= SINGLE, "single").otherwise(F.col(kind)))
-    return sequence_chunks(rows, [*group, "sequence"], [F.col(start), F.col("__e"), F.col(name), F.col(row_id)]).drop("__e", "__total")
+    charted = sequence_chunks(rows, [*group, "sequence"], [F.col(start), F.col("__e"), F.col(name), F.col(row_id)]).drop("__e", "__total")
+    return _with_uncharted(charted, [(ends.filter(~able).drop("__e"), "no time")]) if keep_uncharted else charted
 
 
-def chart_relative(df: DataFrame, offsets: DataFrame, group: list[str], kind: str = "type", name: str = "name", offset: str = "offset", anchor_type: str = "anchor_type", anchor_name: str = "anchor_name", row_id: str = "id") -> DataFrame:
+def _with_uncharted(charted: DataFrame, others: list[tuple[DataFrame, str]]) -> DataFrame:
+    out = charted.withColumn("uncharted", F.lit(None).cast("string"))
+    for rows, why in others:
+        out = out.unionByName(rows.withColumn("uncharted", F.lit(why)), allowMissingColumns=True)
+    return out
+
+
+def uncharted_counts(df: DataFrame, group: list[str]) -> DataFrame:
+    """(group, n_charted, n_without_time, n_unknown_anchor) of rows with ``uncharted``."""
+    why = F.col("uncharted")
+    return df.groupBy(*group).agg(F.count_if(why.isNull()).alias("n_charted"), F.count_if(F.coalesce(why == "no time", F.lit(False))).alias("n_without_time"), F.count_if(F.coalesce(why == "unknown anchor", F.lit(False))).alias("n_unknown_anchor"))
+
+
+def chart_relative(df: DataFrame, offsets: DataFrame, group: list[str], kind: str = "type", name: str = "name", offset: str = "offset", anchor_type: str = "anchor_type", anchor_name: str = "anchor_name", row_id: str = "id", keep_uncharted: bool = False) -> DataFrame:
     """Rows with ``x`` (days after the group's earliest anchor), ``width``, ``sequence``, ``chunk`` and the marks
     ``is_earliest`` and ``is_most_numerous`` of their anchor.
 
     ``offsets``: (type, name, day) of the anchors. A group with one anchor needs none; in one with several, rows
-    of anchors that have no day are left out.
+    of anchors that have no day are left out. With ``keep_uncharted`` these, and rows without an offset or an
+    anchor, follow too, ``uncharted`` saying why; it is null in charted rows.
     """
-    rows = df.filter(chartable_relative(F.col(offset), F.col(anchor_name), F.col(anchor_type)))
+    able = chartable_relative(F.col(offset), F.col(anchor_name), F.col(anchor_type))
+    rows = df.filter(able)
     days = offsets.select(F.col("type").alias(anchor_type), F.col("name").alias(anchor_name), F.col("day").alias("__day"))
     anchors = rows.groupBy(*group, anchor_type, anchor_name).agg(F.count("*").alias("__n")).join(days, [anchor_type, anchor_name], "left")
     known = F.struct(F.col("__day").alias("d"), F.col(anchor_type).alias("t"), F.col(anchor_name).alias("a"))
@@ -82,11 +102,13 @@ def chart_relative(df: DataFrame, offsets: DataFrame, group: list[str], kind: st
     single = F.col("__anchors") == 1
     day = F.when(single, 0).otherwise(F.col("__day") - F.col("__first.d"))
     same = lambda s: (F.col(anchor_type) == F.col(f"{s}.t")) & (F.col(anchor_name) == F.col(f"{s}.a"))
+    unknown = rows.join(anchors.filter(~single & F.col("__day").isNull()).select(*group, anchor_type, anchor_name), [*group, anchor_type, anchor_name], "left_semi")
     anchors = anchors.filter(single | F.col("__day").isNotNull()).select(*group, anchor_type, anchor_name, day.alias("__from"), (single | F.coalesce(same("__first"), F.lit(False))).alias("is_earliest"), same("__most").alias("is_most_numerous"))
     rows = rows.join(anchors, [*group, anchor_type, anchor_name])
     totals = rows.groupBy(*group).agg(F.count("*").alias("__total"))
     rows = rows.join(totals, group).withColumn("x", F.col(offset) + F.col("__from")).withColumn("width", F.lit(WINDOW_DAYS)).withColumn("sequence", F.when(F.col("__total") <= SINGLE, "single").otherwise(F.col(kind)))
-    return sequence_chunks(rows, [*group, "sequence"], [F.col("x"), F.col(name), F.col(row_id)]).drop("__from", "__total")
+    charted = sequence_chunks(rows, [*group, "sequence"], [F.col("x"), F.col(name), F.col(row_id)]).drop("__from", "__total")
+    return _with_uncharted(charted, [(df.filter(~able), "no time"), (unknown, "unknown anchor")]) if keep_uncharted else charted
 
 
 def anchor_offset_join(df: DataFrame, offsets: DataFrame, anchor_type: str = "anchor_type", anchor_name: str = "anchor_name") -> DataFrame:
@@ -98,8 +120,8 @@ def order_sequences(df: DataFrame, group: list[str], sequence: list[str], kind:
     """One row a sequence of a group, longest first: (length, type, first_x, first_name, place), place from 1."""
     first = F.min(F.struct(F.col(x).alias("x"), F.col(name).alias("n")))
     one = df.groupBy(*group, *sequence).agg(F.count("*").alias("length"), F.min(kind).alias("type"), first.alias("f")).select(*group, *sequence, "length", "type", F.col("f.x").alias("first_x"), F.col("f.n").alias("first_name"))
-    order = [F.col("length").desc(), "type", "first_x", "first_name", *sequence]
-    return one.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    order = [-F.col("length"), *map(F.col, ("type", "first_x", "first_name", *sequence))]
+    return number_within(one, group, order, "place")
 
 
 def months_of(extent: DataFrame, min_x: str = "min_x", max_x: str = "max_x") -> DataFrame:

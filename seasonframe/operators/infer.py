@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import relative_offset
+from ..functions.timetext import parse_distinct
 from ..lineage import materialized
 
 CALC = ["offset", "anchor_type", "anchor_name", "round", "explanation"]
 EXPLAINED = 20
+#: Narrow rows of a round that are sent to all tasks; beyond, both sides are shuffled.
+SENT_ROWS = 200_000
 
 
 def relative_to_absolute(observations: DataFrame, max_hops: int = 1, place: str = "place", kind: str = "type", name: str = "name", starts: tuple[str, ...] = ("start", "end", "start_2", "end_2"), relative: str = "relative") -> DataFrame:
@@ -26,7 +29,7 @@ def relative_to_absolute(observations: DataFrame, max_hops: int = 1, place: str
     of one name at a place the one with the least start counts.
     """
     starts = tuple(s for s in starts if s in observations.columns)
-    out = observations.withColumn("__rel", relative_offset(F.col(relative)))
+    out = parse_distinct(observations, relative, relative_offset, "__rel")
     for _ in range(max_hops):
         known = out.filter(F.col(place).isNotNull()).groupBy(F.col(place).alias("__p"), F.col(kind).alias("__t"), F.col(name).alias("__n"))
         known = known.agg(F.min(F.struct(*[F.col(s).alias(f"__{s}") for s in starts])).alias("__k"))
@@ -86,10 +89,11 @@ def infer_offsets(observations: DataFrame, anchors: DataFrame, max_rounds: int =
     handed on to its rows. It ends with the first round that changes neither a row nor an entity. Ties go to the
     least id.
 
-    The rounds carry narrow rows without an offset only. A row that is open could not use what was known a round
-    before, so it meets what the last round resolved and nothing else; sums an entity go on from round to round.
-    Rows that only a consensus can reach (without place or start, and without text) stay out of the rounds as one
-    weight an entity. Each round writes its open rows and the entities once; the wide columns are joined at the end.
+    The rounds read narrow rows without an offset, and write what they resolve. A row that is open could not use what
+    was known a round before, so it meets what the last round resolved and nothing else; sums an entity go on from
+    round to round. The open rows are written again when an eighth of them is resolved. Rows that only a consensus can
+    reach (without place or start, and without text) stay out of the rounds as one weight an entity. The wide columns
+    are joined at the end.
     """
     columns = observations.columns
     for c, kind in (("source", "string"), ("source_score", "double"), ("devalue", "double")):
@@ -97,8 +101,8 @@ def infer_offsets(observations: DataFrame, anchors: DataFrame, max_rounds: int =
             observations = observations.withColumn(c, F.lit(None if kind == "string" else 1.0 if c == "source_score" else 0.0).cast(kind))
     dim = anchors.select("type", F.col("anchor_type").alias("own_type"), F.col("anchor_name").alias("own_name"))
     candles = anchors.select(F.col("anchor_type").alias("__at"), F.col("anchor_name").alias("__an")).distinct()
-    rel = relative_offset(F.col("relative"))
-    rows = observations.select("id", "place", "type", "name", "start", F.col("source_score").cast("double").alias("score"), F.coalesce("devalue", F.lit(0.0)).alias("devalue"), rel.alias("__rel"))
+    rows = observations.select("id", "place", "type", "name", "start", F.col("source_score").cast("double").alias("score"), F.coalesce("devalue", F.lit(0.0)).alias("devalue"), "relative")
+    rows = parse_distinct(rows, "relative", relative_offset, "__rel").drop("relative")
     rows = rows.select("*", F.col("__rel.name").alias("rel_name"), F.col("__rel.type").alias("rel_type"), F.col("__rel.days").alias("rel_days")).drop("__rel").join(dim, "type", "left")
     every = candles.select(F.col("__at").alias("type"), F.col("__an").alias("name"), F.lit(True).alias("is_candle"))
     rows = rows.join(every, ["type", "name"], "left")  # an anchor of some type, though perhaps not of its own
@@ -115,39 +119,58 @@ def infer_offsets(observations: DataFrame, anchors: DataFrame, max_rounds: int =
     nothing = [F.lit(0.0).alias("sum_wx"), F.lit(0.0).alias("sum_w"), *[F.lit(None).cast("int").alias(c) for c in ("entity_offset", "first_offset", "first_round", "last_round")]]
     entities = materialized(rows.groupBy("type", "name", "own_type", "own_name").agg(F.coalesce(idle, F.lit(0.0)).alias("idle_w")).select("*", *nothing))
     resolved = [rows.filter(~open_)]
-    fresh, pushed, left = resolved[0], resolved[0], rows.filter(open_ & F.col("active"))
+    fresh = pushed = resolved[0]
+    # read by every step: kept in columns, from the written rows where an executor is lost
+    left = rows.filter(open_ & F.col("active")).drop("calc").persist()
+    n_left, gone, n_gone = left.count(), [], 0
+    n_fresh, found = fresh.count(), 0
 
     for r in range(1, max_rounds + 1):
         # A: against the anchor at the place, else against the best row that is tied to it
-        turn = _meet(left, _place_candidates(fresh), timed, ["place", "own_type", "own_name"])
-        a = _calc(F.col("start") - F.col("x.start") + F.col("x.offset"), F.col("x.t"), F.col("x.n"), F.when(F.col("x.prior") == 0, float(r)).otherwise(r + 0.1), F.when(F.col("x.prior") == 0, f"round {r}: from the anchor at the place").otherwise(f"round {r}: from a tied row at the place"))
-        turn = turn.withColumn("calc", F.when(F.col("x").isNotNull(), a)).drop("x")
+        own = F.when(F.col("x.prior") == 0, F.lit(True)).otherwise(F.lit(False))
+        said = F.when(own, f"round {r}: from the anchor at the place").otherwise(f"round {r}: from a tied row at the place")
+        calc = _calc(F.col("start") - F.col("x.start") + F.col("x.offset"), F.col("x.t"), F.col("x.n"), F.when(own, float(r)).otherwise(r + 0.1), said)
+        candidates = _sent(_place_candidates(fresh), 2 * n_fresh)
+        a = materialized(_without(left.filter(timed).join(candidates, ["place", "own_type", "own_name"]).withColumn("calc", calc).drop("x"), gone, n_gone))
+        n_a = a.count()
         # B: rows of the place with the same reference
-        same = fresh.unionByName(turn.filter(~open_)).filter(F.col("place").isNotNull() & F.col("rel_days").isNotNull())
+        same = fresh.unionByName(a).filter(F.col("place").isNotNull() & F.col("rel_days").isNotNull())
         same = same.groupBy("place", "rel_name", _text("rel_type").alias("rel_key")).agg(F.min(F.struct("calc.round", "id", "calc.offset", "rel_days", F.col("calc.anchor_type").alias("t"), F.col("calc.anchor_name").alias("n"))).alias("x"))
-        turn = _meet(turn.withColumn("rel_key", _text("rel_type")), same, open_ & F.col("place").isNotNull() & F.col("rel_days").isNotNull(), ["place", "rel_name", "rel_key"])
-        b = _calc(F.col("x.offset") + F.col("rel_days") - F.col("x.rel_days"), F.col("x.t"), F.col("x.n"), float(r), f"relative-to-relative: round {r}")
-        turn = turn.withColumn("calc", F.coalesce("calc", F.when(F.col("x").isNotNull(), b))).drop("x", "rel_key")
+        calc = _calc(F.col("x.offset") + F.col("rel_days") - F.col("x.rel_days"), F.col("x.t"), F.col("x.n"), float(r), f"relative-to-relative: round {r}")
+        texts = left.filter(F.col("rel_days").isNotNull())
+        b = texts.filter(F.col("place").isNotNull()).withColumn("rel_key", _text("rel_type")).join(_sent(same, n_fresh + n_a), ["place", "rel_name", "rel_key"]).withColumn("calc", calc).drop("x", "rel_key")
         # C: the entity that the text refers to
         known = entities.filter(F.col("last_round") == r - 1).select(F.col("type").alias("ref_type"), F.col("name").alias("rel_name"), F.struct(F.col("entity_offset").alias("offset"), F.col("own_type").alias("t"), F.col("own_name").alias("n")).alias("x"))
-        turn = _meet(turn.withColumn("ref_type", named), known, open_ & F.col("rel_days").isNotNull(), ["ref_type", "rel_name"])
-        c = _calc(F.col("x.offset") + F.col("rel_days"), F.col("x.t"), F.col("x.n"), r + 0.95, f"round {r}: from the entity's consensus")
-        turn = materialized(turn.withColumn("calc", F.coalesce("calc", F.when(F.col("x").isNotNull(), c))).drop("x", "ref_type"))
-        new = turn.filter(~open_)
+        calc = _calc(F.col("x.offset") + F.col("rel_days"), F.col("x.t"), F.col("x.n"), r + 0.95, f"round {r}: from the entity's consensus")
+        c = texts.withColumn("ref_type", named).join(_sent(known, found), ["ref_type", "rel_name"]).withColumn("calc", calc).drop("x", "ref_type")
+        # a row that both reach takes the first
+        steps = reduce(DataFrame.unionByName, [h.select(F.col("id").alias("key"), F.struct(F.lit(k).alias("step"), *left.columns, "calc").alias("h")) for k, h in enumerate((b, c))])
+        referred = steps.groupBy("key").agg(F.min_by("h", "h.step").alias("h")).select(*[F.col(f"h.{c}").alias(c) for c in (*left.columns, "calc")])
+        referred = materialized(_without(referred, [*gone, a], n_gone + n_a))
+        new, n_new = a.unionByName(referred), n_a + referred.count()
         # D: consensus of the rows tied to the type's own anchor, where one of them is new
         members = pushed.select("*", F.lit(r == 1).alias("now")).unionByName(new.select("*", F.lit(True).alias("now"))).filter((F.col("calc.anchor_type") == F.col("own_type")) & (F.col("calc.anchor_name") == F.col("own_name")))
         weight = round_weight(F.col("score"), F.col("calc.round"), F.col("devalue"))
         gained = members.groupBy("type", "name").agg(F.sum(F.col("calc.offset") * weight).alias("wx"), F.sum(weight).alias("w"), F.max("now").alias("now"))
         entities = materialized(_consensus(entities.join(gained, ["type", "name"], "left"), r))
+        found = entities.filter(F.col("last_round") == r).count()
         handed = entities.filter(F.col("last_round") == r).select("type", "name", F.col("entity_offset").alias("new"))
-        after = turn.filter(open_).join(handed, ["type", "name"], "left")
-        pushed = after.filter(F.col("new").isNotNull()).withColumn("calc", _calc(F.col("new"), F.col("own_type"), F.col("own_name"), r + 0.9, f"round {r}: weighted consensus")).drop("new")
-        left = after.filter(F.col("new").isNull()).drop("new")
+        calc = _calc(F.col("new"), F.col("own_type"), F.col("own_name"), r + 0.9, f"round {r}: weighted consensus")
+        pushed = left.join(_sent(handed, found), ["type", "name"]).withColumn("calc", calc).drop("new")
+        pushed = materialized(_without(pushed, [*gone, new], n_gone + n_new)) if found else pushed.limit(0)
+        n_fresh = n_new + (pushed.count() if found else 0)
         resolved += [new, pushed]
         fresh = new.unionByName(pushed)
-        changed = turn.agg(F.count("calc"), F.count("*")).first()
-        if changed[0] == changed[1] or not (changed[0] or handed.head(1)):
+        if not n_new and not found:
             break
+        gone, n_gone = [*gone, new, pushed], n_gone + n_fresh
+        if n_gone == n_left:
+            break
+        if 8 * n_gone > n_left:
+            before, left = left, materialized(_without(left, gone, n_gone)).persist()
+            n_left, gone, n_gone = left.count(), [], 0
+            before.unpersist()
+    left.unpersist()
     late = rows.filter(open_ & ~F.col("active")).select("id", "type", "name").join(entities.filter(F.col("first_round").isNotNull()), ["type", "name"])
     said = F.concat(F.lit("round "), F.col("first_round").cast("string"), F.lit(": weighted consensus"))
     late = late.select("id", _calc(F.col("first_offset"), F.col("own_type"), F.col("own_name"), F.col("first_round") + 0.9, said).alias("calc"))
@@ -160,11 +183,16 @@ def infer_offsets(observations: DataFrame, anchors: DataFrame, max_rounds: int =
     return full.select(*[c for c in columns if c not in CALC], *CALC), found.select("type", "name", "entity_offset", "anchor_type", "anchor_name", "entity_explanation", "entity_round")
 
 
-def _meet(rows: DataFrame, found: DataFrame, able: Column, keys: list[str]) -> DataFrame:
-    """Add ``x`` of ``found`` by the keys to the rows that are ``able``. The others go by their ids, not all to the
-    task of the null key."""
-    spread = F.when(able, F.lit(0).cast("long")).otherwise(F.xxhash64("id").bitwiseOR(F.lit(1)))
-    return rows.withColumn("__s", spread).join(found.select(*keys, "x", F.lit(0).cast("long").alias("__s")), [*keys, "__s"], "left").drop("__s")
+def _sent(rows: DataFrame, count: int) -> DataFrame:
+    """To be sent to all tasks, if the count is small."""
+    return F.broadcast(rows) if count <= SENT_ROWS else rows
+
+
+def _without(rows: DataFrame, others: list[DataFrame], count: int) -> DataFrame:
+    """The rows whose ids none of the others has, which are ``count`` together."""
+    if not others:
+        return rows
+    return rows.join(_sent(reduce(DataFrame.unionByName, [o.select("id") for o in others]), count), "id", "left_anti")
 
 
 def _text(c: str) -> Column:

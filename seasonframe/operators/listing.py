@@ -35,7 +35,7 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def sample_one(df: DataFrame, seed: int | None = None, row_id: str | None = None) -> DataFrame:
     """One random row; with a seed and an id the same one whatever the partitions."""
     if seed is not None and row_id is not None:
-        return df.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id).limit(1)
+        return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")).cast("binary")), row_id).limit(1)
     return df.orderBy(F.rand(seed)).limit(1)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = ("notoriety", "type_then_name", "name_then_type", "patent_expiration", "harvest_time")
@@ -61,20 +61,27 @@ def build_trigram_index(entities: DataFrame, key: str, field: str) -> DataFrame:
     return entities.select(F.explode(grams).alias("trigram"), key)
 
 
-def write_trigram_index(index: DataFrame, table: str, buckets: int = 64) -> None:
-    """Replace the index table, bucketed by trigram."""
-    index.write.mode("overwrite").bucketBy(buckets, "trigram").sortBy("trigram").saveAsTable(table)
+def write_trigram_index(index: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """Replace the index table, bucketed by trigram; below ``path``, if one is given."""
+    writer = index.write.mode("overwrite").bucketBy(buckets, "trigram").sortBy("trigram")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
 def search_index(queries: DataFrame, index: DataFrame, entities: DataFrame, key: str, field: str, query: str = "query", word: str = "word") -> DataFrame:
-    """(query, key) of a table of (query, word): the words' trigrams meet the index, and hits are verified.
+    """(query, key) of a table of (query, word): each word's rarest trigrams meet the index, and hits are verified.
 
-    A key needs all trigrams of the word; only such candidates are joined with their text.
+    The index is counted for the trigrams that are asked for; a word with one that it lacks has no hit. A key needs
+    the two rarest of a word; only such candidates are joined with their text.
     """
     low = F.lower(F.col(word))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda k: F.substr(low, k, F.lit(3))))
-    asked = queries.filter(F.length(word) >= 3).select(query, word, F.size(grams).alias("__n"), F.explode(grams).alias("trigram"))
-    met = asked.join(index, "trigram").groupBy(query, word, key).agg(F.count("*").alias("__met"), F.first("__n").alias("__n")).filter(F.col("__met") == F.col("__n"))
+    asked = queries.filter(F.length(word) >= 3).select(query, word, F.explode(grams).alias("trigram"))
+    sizes = index.join(asked.select("trigram").distinct(), "trigram", "left_semi").groupBy("trigram").agg(F.count("*").alias("__size"))
+    sized = asked.join(sizes, "trigram", "left").withColumn("__size", F.coalesce("__size", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy(query, word).orderBy("__size", "trigram"))
+    rarest = sized.withColumn("__k", rank).filter((F.col("__k") <= 2) & (F.col("__size") > 0))
+    rarest = rarest.withColumn("__n", F.count("*").over(Window.partitionBy(query, word)))
+    met = rarest.join(index, "trigram").groupBy(query, word, key).agg(F.count("*").alias("__met"), F.first("__n").alias("__n")).filter(F.col("__met") == F.col("__n"))
     return met.join(entities.select(key, F.col(field).alias("__text")), key).filter(F.lower("__text").contains(F.lower(F.col(word)))).select(query, key).distinct()
 
 

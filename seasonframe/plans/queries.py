@@ -6,44 +6,17 @@ a supplier and part, with the earliest day of the year.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims, fields, timetext
+from ..lineage import shared_folder
 from ..operators import align, asof, changes, chartprep, geo, infer, listing, quality, resolve, score, search
 from ..sources import documents as source
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-@dataclass(frozen=True)
-class Star:
-    """The tables of a folder, read when asked for."""
-
-    spark: SparkSession
-    folder: str
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
-            raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Register a query, with its SQL if there is one."""
-
-    def register(f: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: f(Star(spark, folder))
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import Star, query
 
 def observed(t: Star) -> DataFrame:
     """(place, part, start): the earliest day of the year of each supplier and part."""
@@ -80,7 +53,8 @@ def points(t: Star) -> DataFrame:
 
 @query("SELECT o_orderkey, CAST(dayofyear(make_date(2020, month(o_orderdate), day(o_orderdate))) AS INTEGER) AS day FROM orders")
 def day_parse(t: Star) -> DataFrame:
-    return t.orders.select("o_orderkey", timetext.day_of_year(F.date_format("o_orderdate", "MMMM d")).alias("day"))
+    rows = t.orders.select("o_orderkey", F.date_format("o_orderdate", "MMMM d").alias("text"))
+    return timetext.parse_distinct(rows, "text", timetext.day_of_year, "day").select("o_orderkey", "day")
 
 
 @query("""
@@ -95,21 +69,36 @@ def day_range_forms(t: Star) -> DataFrame:
         F.when(k == 0, F.concat(F.lit("early "), month)).when(k == 1, F.concat(F.lit("mid "), month)).when(k == 2, F.concat(F.lit("late "), month)).when(k == 3, month)
         .when(k == 4, F.concat(F.date_format("o_orderdate", "MMM"), F.lit(" 5-9"))).otherwise(F.date_format("o_orderdate", "M/d"))
     )
-    return t.orders.select("o_orderkey", timetext.day_range(text).alias("r")).select("o_orderkey", "r.parse_type", F.col("r.start").alias("start_day"), F.col("r.end").alias("end_day"))
+    rows = timetext.parse_distinct(t.orders.select("o_orderkey", text.alias("text")), "text", timetext.day_range, "r")
+    return rows.select("o_orderkey", "r.parse_type", F.col("r.start").alias("start_day"), F.col("r.end").alias("end_day"))
 
 
 @query("""
-WITH m AS (SELECT o_orderkey, CAST(dayofyear(make_date(2020, month(o_orderdate), 1)) - 1 AS INTEGER) AS s FROM orders)
-SELECT o_orderkey, s + 10 AS start_day, s + 20 AS end_day, 345 AS start_day_2, 355 AS end_day_2 FROM m""")
+WITH m AS (SELECT o_orderkey, CAST(dayofyear(make_date(2020, month(o_orderdate), 1)) - 1 AS INTEGER) AS s, CAST(dayofyear(make_date(2020, CAST((month(o_orderdate) + 4) % 12 + 1 AS INTEGER), 1)) - 1 AS INTEGER) AS s2, CAST(dayofyear(make_date(2020, month(o_orderdate), day(o_orderdate))) AS INTEGER) AS d FROM orders)
+SELECT o_orderkey, CASE WHEN d % 2 = 0 THEN s + 10 ELSE d END AS start_day, CASE WHEN d % 2 = 0 THEN s + 20 END AS end_day, CASE WHEN d % 2 = 0 THEN s2 + 10 END AS start_day_2, CASE WHEN d % 2 = 0 THEN s2 + 20 END AS end_day_2 FROM m""")
 def two_seasons(t: Star) -> DataFrame:
-    r = t.orders.select("o_orderkey", timetext.two_season(F.concat(F.date_format("o_orderdate", "MMM"), F.lit("/Dec"))).alias("r"))
+    """Two months around a slash; a slash within a date parts nothing."""
+    day = F.dayofyear(F.make_date(F.lit(2020), F.month("o_orderdate"), F.dayofmonth("o_orderdate")))
+    two = F.concat(F.date_format("o_orderdate", "MMM"), F.lit("/"), F.date_format(F.make_date(F.lit(2020), (F.month("o_orderdate") + 4) % 12 + 1, F.lit(1)), "MMMM"))
+    rows = t.orders.select("o_orderkey", F.when(day % 2 == 0, two).otherwise(F.date_format("o_orderdate", "M/d")).alias("text"))
+    r = timetext.parse_distinct(rows, "text", timetext.two_season, "r")
     return r.select("o_orderkey", *[F.col(f"r.{a}").alias(b) for a, b in (("start", "start_day"), ("end", "end_day"), ("start_2", "start_day_2"), ("end_2", "end_day_2"))])
 
 
-@query("SELECT p_partkey, p_brand AS ref_name, p_size * 7 AS days FROM part")
+@query("SELECT p_partkey, p_brand AS ref_name, CASE WHEN p_size % 3 = 0 THEN p_type END AS ref_type, CASE WHEN p_size % 2 = 0 THEN p_size * 7 ELSE CAST(trunc(-(14 * p_size + 21) / 2.0) AS INTEGER) END AS days FROM part")
 def relative_parse(t: Star) -> DataFrame:
-    r = t.part.select("p_partkey", fields.relative_offset(F.concat("p_brand", F.lit(" +"), F.col("p_size").cast("string"), F.lit(" weeks"))).alias("r"))
-    return r.select("p_partkey", F.col("r.name").alias("ref_name"), F.col("r.days").alias("days"))
+    """Weeks, and ranges of weeks, whose mean is cut toward zero; some with the type of the reference."""
+    size = F.col("p_size")
+    ends = F.when(size % 2 == 0, F.concat(F.lit(" +"), size.cast("string"))).otherwise(F.concat(F.lit(" -"), size.cast("string"), F.lit(" to -"), (size + 3).cast("string")))
+    text = F.concat(F.when(size % 3 == 0, F.concat("p_type", F.lit(": "))).otherwise(""), F.col("p_brand"), ends, F.lit(" weeks"))
+    r = timetext.parse_distinct(t.part.select("p_partkey", text.alias("text")), "text", fields.relative_offset, "r")
+    return r.select("p_partkey", F.col("r.name").alias("ref_name"), F.col("r.type").alias("ref_type"), F.col("r.days").alias("days"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 'July ' || CAST(c_nationkey + 1 AS VARCHAR) WHEN c_mktsegment = 'BUILDING' THEN 'mid season' END AS label FROM customer")
+def harvest_label(t: Star) -> DataFrame:
+    time = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("July "), (F.col("c_nationkey") + 1).cast("string")))
+    return t.customer.select("c_custkey", timetext.harvest_label(time, F.when(F.col("c_mktsegment") == "BUILDING", "mid season")).alias("label"))
 
 
 @query("SELECT s_suppkey, s_name AS released_by, 1900 + s_nationkey AS year, true AS authoritative FROM supplier")
@@ -153,7 +142,7 @@ def search_key(t: Star) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, replace(p_name, ' ', ', ') || ' (tm)' AS label, replace(p_name, ' ', ' ') || ' (tm)' AS aka, lower(replace(p_name, ' ', '')) AS aka_key, p_name AS marketing_name FROM part""")
+SELECT p_partkey, replace(p_name, ' ', ', ') || ' (tm)' AS label, p_name || ' (tm)' AS aka, lower(replace(p_name, ' ', '')) AS aka_key, p_name AS marketing_name FROM part""")
 def alias_fields(t: Star) -> DataFrame:
     label = F.concat(F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(" (tm)"))
     r = t.part.select("p_partkey", label.alias("label"), fields.alias_fields(F.array(label)).alias("a"))
@@ -177,11 +166,21 @@ def tag_text_merge(t: Star) -> DataFrame:
     return resolve.merge_tags(texts, ["l_partkey"], text="text")
 
 
-@query("SELECT url, replace(url, ' ', '_') AS back, lower(url) AS low FROM pages WHERE url NOT LIKE '%\\_%' ESCAPE '\\'")
+@query(r"""
+SELECT url, array_to_string(list_transform(string_split(url, '/'), lambda s: url_encode(replace(s, ' ', '_'))), '/') AS slug, replace(url, '_', ' ') AS back, NOT contains(url, '_') AS survives FROM pages""")
 def slug_round_trip(t: Star) -> DataFrame:
-    """A path survives its slug."""
-    rows = t.pages.filter(~F.col("url").contains("_"))
-    return rows.select("url", fields.unslug(fields.slug(F.col("url"))).alias("back"), F.lower("url").alias("low"))
+    """A path survives its slug unless it has an underscore of its own."""
+    rows = t.pages.select("url", fields.slug(F.col("url")).alias("slug")).withColumn("back", fields.unslug(F.col("slug")))
+    return rows.withColumn("survives", F.col("back") == F.col("url"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type || '/' || p_brand || '/' ELSE p_type || ' ' || p_brand || '/' END AS path, CASE WHEN p_size % 2 = 0 THEN p_name END AS filename FROM part""")
+def source_paths(t: Star) -> DataFrame:
+    """Folder and name of a document's file, whatever its slashes; a folder alone has no name."""
+    file = F.concat(F.lit(".\\data\\references\\"), "p_type", F.lit("\\"), "p_brand", F.lit("/"), "p_name", F.lit(".json5"))
+    text = F.when(F.col("p_size") % 2 == 0, file).otherwise(F.concat(F.lit("./../references/"), "p_type", F.lit(" "), "p_brand"))
+    return t.part.select("p_partkey", fields.split_source_path(text).alias("s")).select("p_partkey", "s.path", "s.filename")
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '(no harvest time)' WHEN c_custkey % 2 = 0 THEN '+' || CAST(c_custkey AS VARCHAR) ELSE '-' || CAST(c_custkey AS VARCHAR) END AS label FROM customer")
@@ -263,14 +262,16 @@ def unknown_source_types(t: Star) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT p_partkey, p_size, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = 1 GROUP BY 1, 2)
-SELECT p_partkey, round(CAST((CASE WHEN p_size % 5 = 0 THEN 1.0 ELSE p_size END) * (CASE WHEN p_size <= 30 THEN 1.0 WHEN p_size <= 40 THEN 0.9 ELSE 0.85 END)
+WITH n AS (SELECT p_partkey, p_size, p_brand, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = 1 GROUP BY 1, 2, 3)
+SELECT p_partkey, (CASE WHEN p_size % 5 = 0 THEN '1.0 (no collection)' ELSE p_size || ' (' || p_brand || ')' END) || (CASE WHEN p_size <= 30 THEN ' *1 (<=30 years old)' WHEN p_size <= 40 THEN ' *0.9 (>30 years old)' ELSE ' *0.85 (>40 years old)' END)
+  || (CASE WHEN n >= 6 THEN ' *1.3' WHEN n = 5 THEN ' *1.2' WHEN n = 4 THEN ' *1.1' WHEN n = 3 THEN ' *1' WHEN n = 2 THEN ' *0.9' ELSE ' *0.8' END) || ' (' || n || ' references)' || (CASE WHEN p_partkey % 3 = 0 THEN ' *1.2 (uspp)' ELSE ' *1.0 (no uspp number)' END) AS explanation,
+  round(CAST((CASE WHEN p_size % 5 = 0 THEN 1.0 ELSE p_size END) * (CASE WHEN p_size <= 30 THEN 1.0 WHEN p_size <= 40 THEN 0.9 ELSE 0.85 END)
   * (CASE WHEN n >= 6 THEN 1.3 WHEN n = 5 THEN 1.2 WHEN n = 4 THEN 1.1 WHEN n = 3 THEN 1.0 WHEN n = 2 THEN 0.9 ELSE 0.8 END) * (CASE WHEN p_partkey % 3 = 0 THEN 1.2 ELSE 1.0 END) AS DOUBLE), 6) AS score FROM n""")
 def entity_score(t: Star) -> DataFrame:
     counts = t.lineitem.filter("l_linenumber = 1").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
     rows = t.part.join(counts, "p_partkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     s = score.entity_score(F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double")), F.col("p_brand"), F.lit(2000) - F.col("p_size"), F.col("n"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey")), 2000)
-    return rows.select("p_partkey", F.round(s["score"], 6).alias("score"))
+    return rows.select("p_partkey", s["explanation"].alias("explanation"), F.round(s["score"], 6).alias("score"))
 
 
 @query("SELECT n_nationkey, coalesce(r_name, n_name) AS full_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND 'R' || r_regionkey = 'R' || (n_nationkey % 7)")
@@ -333,18 +334,20 @@ def missing_references(t: Star) -> DataFrame:
     return resolve.missing_references(t.documents, ["doc_id"], t.labels)
 
 
-@query("SELECT p_partkey, p_name || '.jpg' AS path FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+@query("SELECT p_partkey, p_name || '.jpg' AS path FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity < 10)")
 def orphans(t: Star) -> DataFrame:
+    """Files of parts of which no small quantity was returned."""
     files = t.part.select("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit(".jpg.dvc")).alias("file"), F.concat("p_name", F.lit(".jpg")).alias("path"))
-    known = t.lineitem.select(F.col("l_partkey").cast("string").alias("key"))
+    known = t.lineitem.filter("l_returnflag = 'R' and l_quantity < 10").select(F.col("l_partkey").cast("string").alias("key"))
     return listing.orphan_artifacts(files, known, "file", "key").select("p_partkey", "path")
 
 
 @query("""
-SELECT c_custkey, c_name AS address FROM customer c WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+SELECT c_custkey, c_name AS address FROM customer c WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 300000)""")
 def artifact_candidates(t: Star) -> DataFrame:
+    """Flagged sources without a file: files were made of large urgent orders."""
     sources = t.customer.select("c_custkey", F.col("c_custkey").cast("string").alias("path"), F.when(F.col("c_mktsegment") == "BUILDING", "website").alias("thumbnail"), F.concat("c_name", F.lit(" seen 2020")).alias("url"))
-    made = t.orders.select(F.concat(F.col("o_custkey").cast("string"), F.lit(".jpg")).alias("path"))
+    made = t.orders.filter("o_orderpriority = '1-URGENT' and o_totalprice > 300000").select(F.concat(F.col("o_custkey").cast("string"), F.lit(".jpg")).alias("path"))
     return listing.artifact_candidates(sources, made).select("c_custkey", "address")
 
 
@@ -378,11 +381,12 @@ def nested_json(t: Star) -> DataFrame:
 
 
 @query("""
-SELECT r_name, count(n_nationkey) AS n_children, min(n_name) AS first_child FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 1 GROUP BY 1""")
+SELECT r_name, count(n_nationkey) AS n_children, coalesce(string_agg(n_name || ':' || n_nationkey, ',' ORDER BY n_name, n_nationkey), '') AS children FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 1 GROUP BY 1""")
 def with_children(t: Star) -> DataFrame:
     nations = t.nation.filter("n_nationkey % 2 = 1").withColumnRenamed("n_regionkey", "r_regionkey")
     nested = resolve.with_children(t.region, {"nations": (nations, ["n_name", "n_nationkey"])}, ["r_regionkey"])
-    return nested.select("r_name", F.size("nations").cast("bigint").alias("n_children"), F.get("nations", F.lit(0))["n_name"].alias("first_child"))
+    names = F.transform("nations", lambda n: F.concat(n["n_name"], F.lit(":"), n["n_nationkey"].cast("string")))
+    return nested.select("r_name", F.size("nations").cast("bigint").alias("n_children"), F.array_join(names, ",").alias("children"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0 AND p_type IS NOT NULL")
@@ -432,8 +436,7 @@ def consensus_offset(t: Star) -> DataFrame:
 
 def _inference_sql(rounds: int) -> str:
     """The inference unrolled: each round's four steps as tables that follow from each other."""
-    kept = "id, place, type, name, part, start, rel_name, rel_days, anchor, score"
-    calc = "off, a_type, a_name, rnd"
+    kept = "id, place, type, name, part, start, rel_type, rel_name, rel_days, anchor, score"
 
     def step(name: str, before: str, off: str, kind: str, anchor: str, rnd: str, joins: str) -> str:
         new = lambda c, v: f"CASE WHEN s.off IS NULL AND ({off}) IS NOT NULL THEN {v} ELSE s.{c} END AS {c}"
@@ -441,11 +444,14 @@ def _inference_sql(rounds: int) -> str:
         return f"{name} AS MATERIALIZED (SELECT {columns}, {new('off', off)}, {new('a_type', kind)}, {new('a_name', anchor)}, {new('rnd', rnd)} FROM {before} s {joins})"
 
     tables = [f"""{TYPED},
-base AS (SELECT id, place, typed.type, CAST(part AS VARCHAR) AS name, part, CASE WHEN part % 5 <> 0 THEN start END AS start, CASE WHEN part % 5 = 0 THEN CAST(part + 1 AS VARCHAR) END AS rel_name,
-  CASE WHEN part % 5 = 0 THEN part % 9 END AS rel_days, CAST(anchor AS VARCHAR) AS anchor, s_nationkey + 1.0 AS score FROM typed JOIN anchors USING (type) JOIN supplier ON s_suppkey = place),
-s0 AS MATERIALIZED (SELECT {kept}, CASE WHEN rel_name = anchor THEN rel_days WHEN name = anchor THEN 0 END AS off, CASE WHEN rel_name = anchor OR name = anchor THEN type END AS a_type,
-  CASE WHEN rel_name = anchor OR name = anchor THEN anchor END AS a_name, CASE WHEN rel_name = anchor OR name = anchor THEN CAST(0 AS DOUBLE) END AS rnd FROM base),
-e0 AS (SELECT DISTINCT type, name, CAST(NULL AS BIGINT) AS eo FROM base)"""]
+texts AS (SELECT p_partkey AS part, CASE WHEN p_size % 3 = 0 THEN other_type END AS rel_type, CAST(other AS VARCHAR) AS rel_name, p_size AS rel_days FROM part
+  LEFT JOIN (SELECT p_partkey AS other, p_type AS other_type FROM part) ON other = p_partkey + 1 WHERE p_size % 4 <= 1),
+base AS (SELECT id, place, typed.type, CAST(part AS VARCHAR) AS name, part, CASE WHEN rel_days IS NULL OR rel_name IS NULL THEN start END AS start, rel_type, rel_name, CASE WHEN rel_name IS NOT NULL THEN rel_days END AS rel_days,
+  CAST(anchor AS VARCHAR) AS anchor, s_nationkey + 1.0 AS score FROM typed JOIN anchors USING (type) JOIN supplier ON s_suppkey = place LEFT JOIN texts USING (part)),
+s0 AS MATERIALIZED (SELECT id, place, b.type, name, part, start, rel_type, rel_name, rel_days, b.anchor, score, CASE WHEN r.anchor IS NOT NULL THEN rel_days WHEN name = b.anchor THEN 0 END AS off, CASE WHEN r.anchor IS NOT NULL THEN r.type WHEN name = b.anchor THEN b.type END AS a_type,
+  CASE WHEN r.anchor IS NOT NULL THEN rel_name WHEN name = b.anchor THEN b.anchor END AS a_name, CASE WHEN r.anchor IS NOT NULL OR name = b.anchor THEN CAST(0 AS DOUBLE) END AS rnd
+  FROM base b LEFT JOIN anchors r ON r.type = coalesce(rel_type, b.type) AND CAST(r.anchor AS VARCHAR) = rel_name),
+e0 AS (SELECT DISTINCT type, name, anchor, CAST(NULL AS BIGINT) AS eo FROM base)"""]
     for r in range(1, rounds + 1):
         last, entities = f"s{r - 1}", f"e{r - 1}"
         tables += [
@@ -454,23 +460,30 @@ e0 AS (SELECT DISTINCT type, name, CAST(NULL AS BIGINT) AS eo FROM base)"""]
                 f"a{r}", last, "s.start - coalesce(x.start - x.off, y.y_start - y.y_off)", "coalesce(x.a_type, s.type)", "coalesce(x.a_name, s.anchor)", f"CASE WHEN x.off IS NOT NULL THEN {r} ELSE {r}.1 END",
                 f"LEFT JOIN {last} x ON x.place = s.place AND x.type = s.type AND x.name = s.anchor AND x.start IS NOT NULL AND x.off IS NOT NULL LEFT JOIN y{r} y ON y.place = s.place AND y.a_type = s.type AND y.a_name = s.anchor",
             ),
-            f"z{r} AS (SELECT place, rel_name, off - rel_days AS z_off, a_type, a_name FROM a{r} WHERE off IS NOT NULL AND rel_days IS NOT NULL QUALIFY row_number() OVER (PARTITION BY place, rel_name ORDER BY rnd, id) = 1)",
-            step(f"b{r}", f"a{r}", "z.z_off + s.rel_days", "z.a_type", "z.a_name", f"{r}", f"LEFT JOIN z{r} z ON z.place = s.place AND z.rel_name = s.rel_name"),
-            step(f"c{r}", f"b{r}", "e.eo + s.rel_days", "s.type", "s.anchor", f"{r}.95", f"LEFT JOIN {entities} e ON e.type = s.type AND e.name = s.rel_name"),
+            f"z{r} AS (SELECT place, rel_type, rel_name, off - rel_days AS z_off, a_type, a_name FROM a{r} WHERE off IS NOT NULL AND rel_days IS NOT NULL QUALIFY row_number() OVER (PARTITION BY place, rel_type, rel_name ORDER BY rnd, id) = 1)",
+            step(f"b{r}", f"a{r}", "z.z_off + s.rel_days", "z.a_type", "z.a_name", f"{r}", f"LEFT JOIN z{r} z ON z.place = s.place AND z.rel_name = s.rel_name AND z.rel_type IS NOT DISTINCT FROM s.rel_type"),
+            step(f"c{r}", f"b{r}", "e.eo + s.rel_days", "e.type", "e.anchor", f"{r}.95", f"LEFT JOIN {entities} e ON e.type = coalesce(s.rel_type, s.type) AND e.name = s.rel_name"),
             f"n{r} AS (SELECT type, name, CAST(round(sum(off * score * pow(2.0, -rnd)) / sum(score * pow(2.0, -rnd))) AS BIGINT) AS new FROM c{r} WHERE off IS NOT NULL AND a_type = type AND a_name = anchor GROUP BY 1, 2 HAVING {r} = 1 OR max(rnd) >= {r})",
-            f"e{r} AS (SELECT e.type, e.name, coalesce(n.new, e.eo) AS eo FROM {entities} e LEFT JOIN n{r} n ON n.type = e.type AND n.name = e.name)",
+            f"e{r} AS (SELECT e.type, e.name, e.anchor, coalesce(n.new, e.eo) AS eo FROM {entities} e LEFT JOIN n{r} n ON n.type = e.type AND n.name = e.name)",
             step(f"s{r}", f"c{r}", "n.new", "s.type", "s.anchor", f"{r}.9", f"LEFT JOIN n{r} n ON n.type = s.type AND n.name = s.name"),
         ]
-    return f"WITH {', '.join(tables)} SELECT id, place, part, CAST(off AS INTEGER) AS day_offset, a_name AS anchor_name, rnd AS round_no FROM s{rounds}"
+    return f"WITH {', '.join(tables)} SELECT id, place, part, CAST(off AS INTEGER) AS day_offset, a_type AS anchor_type, a_name AS anchor_name, rnd AS round_no FROM s{rounds}"
 
 
-@query(_inference_sql(3))
-def infer_offsets(t: Star) -> DataFrame:
-    """Three rounds; texts refer a fifth of the parts to another part."""
-    text = F.when(F.col("part") % 5 == 0, F.concat((F.col("part") + 1).cast("string"), F.lit(" +"), (F.col("part") % 9).cast("string")))
-    rows = typed(t).withColumn("relative", text).withColumn("start", F.when(F.col("part") % 5 != 0, F.col("start")))
+def _referring(t: Star) -> DataFrame:
+    """Observations where half of the parts have, in place of a start, a text that refers to the next part."""
+    following = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_partkey").alias("other"), F.col("p_type").alias("other_type"))
+    prefix = F.when(F.col("p_size") % 3 == 0, F.concat("other_type", F.lit(": "))).otherwise("")
+    texts = t.part.filter("p_size % 4 <= 1").join(following, "p_partkey").select(F.col("p_partkey").alias("part"), F.concat(prefix, F.col("other").cast("string"), F.lit(" +"), F.col("p_size").cast("string")).alias("relative"))
+    rows = typed(t).join(texts, "part", "left").withColumn("start", F.when(F.col("relative").isNull(), F.col("start")))
     weights = t.supplier.select(F.col("s_suppkey").alias("place"), (F.col("s_nationkey") + 1).cast("double").alias("source_score"))
-    return infer.infer_offsets(rows.join(weights, "place"), part_anchors(t), max_rounds=3)[0].select("id", "place", "part", F.col("offset").alias("day_offset"), "anchor_name", F.col("round").alias("round_no"))
+    return rows.join(weights, "place")
+
+
+@query(_inference_sql(10))
+def infer_offsets(t: Star) -> DataFrame:
+    """To the end; texts refer half of the parts to another part, some to one of another type."""
+    return infer.infer_offsets(_referring(t), part_anchors(t))[0].select("id", "place", "part", F.col("offset").alias("day_offset"), "anchor_type", "anchor_name", F.col("round").alias("round_no"))
 
 
 @query(f"""
@@ -481,13 +494,59 @@ def anchor_means(t: Star) -> DataFrame:
     return align.anchor_pairs(align.place_anchor_means(rows, part_anchors(t))).select("type_1", "type_2", "n_places", F.round("mean_difference", 6).alias("mean_difference"))
 
 
-@query()
+def _alignment_sql(levels: int = 3, passes: int = 10) -> str:
+    """The spread of days unrolled: outwards from the seed level by level, then the averaging passes."""
+    mean = "sum((d.day + e.diff) * e.n) / sum(e.n)"
+    tables = [
+        f"{TYPED}",
+        "m AS (SELECT place, type, CAST(part AS VARCHAR) AS name, avg(start) AS day FROM typed JOIN anchors USING (type) WHERE part = anchor GROUP BY ALL)",
+        "p AS (SELECT x.type AS t1, x.name AS n1, y.type AS t2, y.name AS n2, count(*) AS n, avg(y.day - x.day) AS diff FROM m x JOIN m y ON x.place = y.place AND (x.type, x.name) < (y.type, y.name) GROUP BY ALL)",
+        "e AS (SELECT t2 AS t, n2 AS a, t1 AS ft, n1 AS fa, diff, n FROM p UNION ALL SELECT t1, n1, t2, n2, -diff, n FROM p)",
+        "seed AS (SELECT t, a FROM e GROUP BY t, a ORDER BY sum(n) DESC, t, a LIMIT 1)",
+        "l0 AS (SELECT t, a, CAST(0 AS DOUBLE) AS day FROM seed)",
+    ]
+    for k in range(1, levels + 1):
+        tables.append(f"l{k} AS (SELECT * FROM l{k - 1} UNION ALL SELECT e.t, e.a, {mean} FROM e JOIN l{k - 1} d ON d.t = e.ft AND d.a = e.fa WHERE NOT EXISTS (SELECT 1 FROM l{k - 1} x WHERE x.t = e.t AND x.a = e.a) GROUP BY e.t, e.a)")
+    tables.append(f"q0 AS (SELECT * FROM l{levels})")
+    for k in range(1, passes + 1):
+        tables.append(f"q{k} AS (SELECT o.t, o.a, CASE WHEN (o.t, o.a) = (SELECT (t, a) FROM seed) THEN 0 ELSE (any_value(o.day) + {mean}) / 2 END AS day FROM q{k - 1} o JOIN e ON e.t = o.t AND e.a = o.a JOIN q{k - 1} d ON d.t = e.ft AND d.a = e.fa GROUP BY o.t, o.a)")
+    return f"WITH {', '.join(tables)} SELECT t AS type, a AS name, CAST(trunc(day) - (SELECT trunc(min(day)) FROM q{passes}) AS INTEGER) AS day FROM q{passes}"
+
+
+@query(_alignment_sql())
 def align_anchors(t: Star) -> DataFrame:
-    """Days of the part types' anchors: every part with a size over 40 is an anchor of its own type here."""
+    """Days of the types' anchors, the least part of each, by the suppliers that hold several of them."""
     rows = typed(t).withColumn("offset", F.lit(0))
     return align.align_anchors(rows, part_anchors(t)).select("type", "name", "day")
 
 
+@query("SELECT DISTINCT p_type AS anchor_type, CAST(min(p_partkey) AS VARCHAR) AS anchor_name FROM part GROUP BY p_type")
+def anchor_set(t: Star) -> DataFrame:
+    return dims.anchor_set(part_anchors(t))
+
+
+_ASOF_BY = """
+marks AS (SELECT o_custkey AS c, o_orderdate AS mark, max(o_totalprice) AS price FROM orders GROUP BY 1, 2), low AS (SELECT c, arg_min(price, mark) AS p FROM marks GROUP BY 1),
+e AS (SELECT event_id, user_id AS c, TIMESTAMP '1992-01-01' + to_days(CAST(event_id % 2600 AS INTEGER)) AS moment FROM events)"""
+
+
+@query(f"WITH {_ASOF_BY} SELECT event_id, coalesce(price, p) AS price FROM e ASOF LEFT JOIN marks m ON m.c = e.c AND e.moment >= m.mark LEFT JOIN low ON low.c = e.c")
+def asof_by(t: Star) -> DataFrame:
+    """Breakpoints of each customer: merged by one sort of customers and times."""
+    marks = t.orders.groupBy(F.col("o_custkey").alias("c"), F.col("o_orderdate").cast("timestamp").alias("at")).agg(F.max("o_totalprice").alias("price"))
+    rows = t.events.select("event_id", F.col("user_id").alias("c"), F.timestamp_add("DAY", (F.col("event_id") % 2600).cast("int"), F.lit("1992-01-01").cast("timestamp")).alias("at"))
+    return asof.asof_lookup(rows, "at", marks, "at", "price", "price", by=["c"]).select("event_id", "price")
+
+
+@query("""
+WITH marks AS (SELECT s_suppkey * 50 AS mark, s_name AS v FROM supplier WHERE s_acctbal > 0), low AS (SELECT arg_min(v, mark) AS p FROM marks)
+SELECT o_orderkey, coalesce(v, p) AS v FROM orders ASOF LEFT JOIN marks ON o_orderkey >= mark, low""")
+def asof_intervals(t: Star) -> DataFrame:
+    """As many breakpoints as there are suppliers with a balance."""
+    marks = t.supplier.filter("s_acctbal > 0").select((F.col("s_suppkey") * 50).alias("mark"), F.col("s_name").alias("v"))
+    return asof.asof_lookup(t.orders.select("o_orderkey"), "o_orderkey", marks, "mark", "v", "v")
+
+
 # --- search
 
 
@@ -505,6 +564,41 @@ def trigram_index_search(t: Star) -> DataFrame:
     return search.search_index(asked, search.build_trigram_index(t.part, "p_partkey", "p_name"), t.part, "p_partkey", "p_name")
 
 
+@query("""
+WITH q AS (SELECT n_nationkey AS query, lower(substr(n_name, 1, 4)) AS word FROM nation)
+SELECT DISTINCT query, c_custkey FROM (SELECT c_custkey, c_mktsegment || ' ' || n_name AS text FROM customer JOIN nation ON n_nationkey = c_nationkey) JOIN q ON contains(lower(text), word)""")
+def rebuild_trigram_index(t: Star) -> DataFrame:
+    """The index is written as a table, bucketed by trigram, and the queries read that table."""
+    people = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws(" ", "c_mktsegment", "n_name").alias("text"))
+    name = f"trigrams_{uuid.uuid4().hex}"
+    search.write_trigram_index(search.build_trigram_index(people, "c_custkey", "text"), name, path=f"{shared_folder(t.spark)}/{name}")
+    asked = t.nation.select(F.col("n_nationkey").alias("query"), F.lower(F.substring("n_name", 1, 4)).alias("word"))
+    return search.search_index(asked, t.spark.table(name), people, "c_custkey", "text")
+
+
+@query("SELECT p_partkey, (CAST(contains(p_name, 'red') AS INTEGER) + CAST(contains(p_name, 'ed ') AS INTEGER) + CAST(contains(p_name, 'd w') AS INTEGER)) / 3.0::DOUBLE AS rank FROM part")
+def rank_by_trigrams(t: Star) -> DataFrame:
+    return search.rank_by_trigrams(t.part, "Red w", "p_name").select("p_partkey", "rank")
+
+
+def _orders_sql() -> str:
+    keys = {"notoriety": "p_retailprice", "type_then_name": "p_type {0}, p_name", "name_then_type": "p_name {0}, p_type", "patent_expiration": "p_size", "harvest_time": "p_size"}
+    parts = []
+    for by, key in keys.items():
+        for direction in ("asc", "desc"):
+            where = " WHERE p_size IS NOT NULL" if by in ("patent_expiration", "harvest_time") else ""
+            parts.append(f"SELECT * FROM (SELECT '{by} {direction}' AS sorted, p_partkey FROM part{where} ORDER BY {key.format(direction)} {direction}, p_partkey LIMIT 25 OFFSET 25)")
+    return " UNION ALL ".join(parts)
+
+
+@query(_orders_sql())
+def entity_orders(t: Star) -> DataFrame:
+    """The second page in every order and direction."""
+    columns = {"notoriety": "p_retailprice", "type": "p_type", "name": "p_name", "patent_expiration": "p_size", "harvest_time": "p_size"}
+    pages = [search.search(t.part, None, order_by=by, order=d, page=2, per_page=25, columns=columns, row_id="p_partkey").rows.select(F.lit(f"{by} {d}").alias("sorted"), "p_partkey") for by in search.ORDERS for d in ("asc", "desc")]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed') OR contains(lower(text), 'license')")
 def document_search(t: Star) -> DataFrame:
     return search.trigram_match(t.documents, ["licensed", "license"], ["text"]).select("doc_id")
@@ -537,15 +631,12 @@ def autocomplete(t: Star) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 2 WHEN p_name LIKE '% %' THEN 3 ELSE 1 END AS n_words, CASE WHEN p_type = 'ECONOMY' THEN 'ECONOMY' END AS type
-FROM part WHERE (p_type = 'ECONOMY' AND p_name NOT LIKE '% %') OR p_type <> 'ECONOMY'""")
+SELECT p_partkey, replace(p_name, ' ', '|') || CASE WHEN p_type = 'ECONOMY' THEN '|Plus|' || replace(p_name, ' ', '') || 'Plus' WHEN contains(p_name, ' ') THEN '|' || replace(p_name, ' ', '') ELSE '' END AS words, CASE WHEN p_type = 'ECONOMY' THEN 'ECONOMY' END AS type FROM part""")
 def search_terms(t: Star) -> DataFrame:
     """A table of queries: the last word may be a type; run-together words are added."""
-    single = ~F.col("p_name").contains(" ")
-    rows = t.part.filter((F.col("p_type") != "ECONOMY") | single)
     text = F.when(F.col("p_type") == "ECONOMY", F.concat("p_name", F.lit(" Plus economy!"))).otherwise(F.col("p_name"))
-    found = rows.select("p_partkey", search.search_terms_column(text, ["ECONOMY"]).alias("s"))
-    return found.select("p_partkey", (F.size("s.words") - F.when(F.col("s.type").isNotNull(), 1).otherwise(0)).alias("n_words"), "s.type")
+    found = t.part.select("p_partkey", search.search_terms_column(text, ["ECONOMY"]).alias("s"))
+    return found.select("p_partkey", F.array_join("s.words", "|").alias("words"), "s.type")
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_type = 'ECONOMY' AND p_size >= 5 AND p_size <= 20 AND p_name IS NOT NULL")
@@ -553,6 +644,27 @@ def filter_entities(t: Star) -> DataFrame:
     return search.filter_entities(t.part, equal={"p_type": "ECONOMY", "p_brand": None}, at_least={"p_size": 5}, at_most={"p_size": 20}, present={"p_name": True}).select("p_partkey", "p_size")
 
 
+@query("SELECT p_partkey FROM part LEFT JOIN (SELECT DISTINCT l_partkey, 1 AS returned FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 5) ON l_partkey = p_partkey WHERE returned IS NULL AND p_size <= 25")
+def filter_absent(t: Star) -> DataFrame:
+    """Absence of a value; a null fails a bound."""
+    returned = t.lineitem.filter("l_returnflag = 'R' and l_quantity < 5").select(F.col("l_partkey").alias("p_partkey"), F.lit(1).alias("returned")).distinct()
+    rows = t.part.join(returned, "p_partkey", "left").withColumn("known_size", F.when(F.col("p_size") > 0, F.col("p_size")))
+    return search.filter_entities(rows, at_most={"known_size": 25}, at_least={"p_size": None}, present={"returned": False, "p_name": None}).select("p_partkey")
+
+
+@query(f"""
+WITH {POINTS}, near AS (SELECT c_custkey FROM points JOIN customer USING (c_custkey) WHERE c_mktsegment <> 'BUILDING' AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(lat - 10) / 2), 2) + cos(radians(10)) * cos(radians(lat)) * pow(sin(radians(lon - 20) / 2), 2)))) <= 2500)
+SELECT p_partkey, p_retailprice FROM part WHERE contains(p_name, 'red') AND p_size >= 10 AND EXISTS (SELECT 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN near ON c_custkey = o_custkey WHERE l_partkey = p_partkey) ORDER BY p_retailprice DESC, p_partkey LIMIT 30""")
+def search_nearby(t: Star) -> DataFrame:
+    """Text hits, filters and what was seen near a point, without places that are not for nearby searches."""
+    places = points(t).join(t.customer.select("c_custkey", (F.col("c_mktsegment") == "BUILDING").alias("ignore_for_nearby_searches")), "c_custkey")
+    near = geo.places_near(geo.nearby_places(places), 10.0, 20.0, 2500, exact=True).select(F.col("c_custkey").alias("place_id"))
+    seen = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("place_id")), "l_orderkey")
+    hits = geo.entities_near(t.part.select("p_partkey"), seen, near, entity_id="p_partkey")
+    found = search.search(t.part, "red", per_page=30, near=hits, fields=["p_name"], columns={"notoriety": "p_retailprice"}, row_id="p_partkey", at_least={"p_size": 10})
+    return found.rows.select("p_partkey", "p_retailprice")
+
+
 # --- geography
 
 
@@ -603,6 +715,14 @@ def grid_cluster(t: Star) -> DataFrame:
     return geo.grid_cluster(points(t), 4).select("cell_x", "cell_y", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+@query(f"""
+WITH {POINTS}, c AS (SELECT c_custkey, CAST(floor((lon + 180) / 360 * (2 * 256 / 75.0)) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * (2 * 256 / 75.0)) AS BIGINT) AS y FROM points WHERE abs(lat) < 85)
+SELECT c_custkey FROM c WHERE x = 3 AND y = 3 ORDER BY c_custkey LIMIT 5 OFFSET 5""")
+def cluster_leaves(t: Star) -> DataFrame:
+    """The second page of the points of one cell."""
+    return geo.cluster_leaves(points(t), (3, 3), 1, page=1, row_id="c_custkey").select("c_custkey")
+
+
 @query(f"""
 WITH {POINTS} SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN CASE WHEN lat IS NULL THEN 'zip code not found' END WHEN s_suppkey % 4 = 1 THEN NULL WHEN s_suppkey % 4 = 2 THEN 'lat/lon wrong number of elements' ELSE 'lat/lon didn''t parse' END AS geo_error,
   CASE WHEN s_suppkey % 4 = 0 THEN lat WHEN s_suppkey % 4 = 1 THEN 45.5 END AS latitude
@@ -634,6 +754,13 @@ def directory_listing(t: Star) -> DataFrame:
     return listing.directory_listing(rows, "http://")[1]
 
 
+@query("SELECT page_id, url FROM pages WHERE url = (SELECT min(url) FROM pages)")
+def directory_documents(t: Star) -> DataFrame:
+    """The documents exactly at a path: here that of the first address."""
+    path = t.pages.agg(F.min("url")).first()[0] or ""
+    return listing.directory_listing(t.pages, path, "url")[0].select("page_id", "url")
+
+
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 10")
 def recent_sources(t: Star) -> DataFrame:
     return listing.recent(t.events, "ts", 10, ["event_id"]).select("event_id", "ts")
@@ -672,7 +799,7 @@ def type_list(t: Star) -> DataFrame:
     return listing.type_list(groups).select("group_name", "name")
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 1")
 def sample_one(t: Star) -> DataFrame:
     return listing.sample_one(t.documents.select("doc_id", "lang"), 7, "doc_id")
 
@@ -717,6 +844,42 @@ def chart_relative(t: Star) -> DataFrame:
     return chartprep.chart_relative(charted(t), offsets, ["place"]).select("id", "x", "width", "sequence", "chunk")
 
 
+_UNCHARTED = f"""{_CHART}, {_OFFSETS}, i AS (SELECT *, CASE WHEN part % 7 = 0 THEN NULL ELSE part % 3 END AS anchor FROM items),
+a AS (SELECT place, type, anchor FROM i WHERE anchor IS NOT NULL GROUP BY ALL), n AS (SELECT place, count(*) AS anchors FROM a GROUP BY 1),
+u AS (SELECT i.id, i.place, CASE WHEN i.anchor IS NULL THEN 'no time' WHEN n.anchors > 1 AND o.day IS NULL THEN 'unknown anchor' END AS uncharted FROM i LEFT JOIN n ON n.place = i.place LEFT JOIN offsets o ON o.type = i.type AND o.name = i.anchor)"""
+
+
+def _relative_with_uncharted(t: Star) -> DataFrame:
+    kinds = t.part.select(F.col("p_type").alias("type")).distinct().select("type", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    offsets = kinds.select("type", F.col("k").cast("string").alias("name"), (F.ascii("type") % 13 + F.col("k") * 2).alias("day"))
+    rows = charted(t).withColumn("anchor_name", F.when(F.col("part") % 7 != 0, F.col("anchor_name")))
+    return chartprep.chart_relative(rows, offsets, ["place"], keep_uncharted=True)
+
+
+@query(f"WITH {_UNCHARTED} SELECT id, uncharted FROM u")
+def chart_uncharted(t: Star) -> DataFrame:
+    """Every row of a relative chart, with the reason why it is not on it."""
+    return _relative_with_uncharted(t).select("id", "uncharted")
+
+
+@query(f"WITH {_UNCHARTED} SELECT place, count(*) FILTER (WHERE uncharted IS NULL) AS n_charted, count(*) FILTER (WHERE uncharted = 'no time') AS n_without_time, count(*) FILTER (WHERE uncharted = 'unknown anchor') AS n_unknown_anchor FROM u GROUP BY 1")
+def uncharted_counts(t: Star) -> DataFrame:
+    return chartprep.uncharted_counts(_relative_with_uncharted(t), ["place"])
+
+
+@query(f"WITH {_CHART} SELECT id, CASE WHEN part % 9 = 0 THEN 'no time' END AS uncharted, CASE WHEN part % 9 <> 0 THEN start END AS x FROM items")
+def chart_absolute_uncharted(t: Star) -> DataFrame:
+    rows = charted(t).withColumn("start", F.when(F.col("part") % 9 != 0, F.col("start")))
+    return chartprep.chart_absolute(rows, ["place"], keep_uncharted=True).select("id", "uncharted", "x")
+
+
+@query(f"WITH {_CHART} SELECT place, count(*) FILTER (WHERE off <> 0) AS n FROM items GROUP BY 1")
+def chartable_items(t: Star) -> DataFrame:
+    """Rows with an offset other than 0."""
+    able = chartprep.chartable_relative(F.col("offset"), F.col("anchor_name"), F.col("anchor_type"), drop_zero=True)
+    return charted(t).groupBy("place").agg(F.count_if(able).alias("n"))
+
+
 @query(f"WITH {OBSERVED} SELECT place, part, CAST((row_number() OVER (PARTITION BY place ORDER BY start, part) - 1) // 40 AS INTEGER) AS chunk FROM observed")
 def sequence_chunks(t: Star) -> DataFrame:
     return chartprep.sequence_chunks(observed(t), ["place"], [F.col("start"), F.col("part")]).select("place", "part", "chunk")
@@ -765,12 +928,15 @@ _CHANGED = "CASE WHEN event_type = 'error' THEN true ELSE false END"
 
 
 @query(f"""
-WITH c AS (SELECT user_id AS id, event_id AS seq, {_CHANGED} AS deleted, value, user_id % 5 AS actor, CASE WHEN event_type = 'signup' THEN 1 END AS pub FROM events),
+WITH c AS (SELECT user_id AS id, event_id AS seq, {_CHANGED} AS deleted, value, user_id % 5 AS actor, CASE WHEN event_type = 'signup' THEN 1 END AS pub FROM events WHERE event_type <> 'purchase'),
 ok AS (SELECT c.*, row_number() OVER (PARTITION BY c.id ORDER BY seq DESC) AS r FROM c JOIN customer ON c_custkey = c.id WHERE pub IS NULL AND actor = c_nationkey % 5)
-SELECT c_custkey, CASE WHEN ok.id IS NOT NULL THEN ok.value ELSE c_acctbal END AS c_acctbal FROM customer LEFT JOIN ok ON ok.id = c_custkey AND r = 1 WHERE NOT coalesce(ok.deleted, false)""")
+SELECT c_custkey, CASE WHEN ok.id IS NOT NULL THEN ok.value ELSE c_acctbal END AS c_acctbal FROM customer LEFT JOIN ok ON ok.id = c_custkey AND r = 1 WHERE NOT coalesce(ok.deleted, false)
+UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY event_id), value FROM events WHERE event_type = 'purchase'""")
 def apply_changes(t: Star) -> DataFrame:
+    """Purchases insert, errors delete, sign-ups are refused, the rest updates."""
+    kind = F.col("event_type")
     rows = t.customer.select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).cast("bigint").alias("owner"), F.col("c_acctbal").alias("value"))
-    log = t.events.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("deleted"), "value", (F.col("user_id") % 5).alias("actor"), (F.col("user_id") % 5).alias("owner"), F.when(F.col("event_type") == "signup", 1).alias("collection_id"))
+    log = t.events.select(F.when(kind != "purchase", F.col("user_id")).alias("id"), F.col("event_id").alias("seq"), (kind == "error").alias("deleted"), "value", (F.col("user_id") % 5).alias("actor"), (F.col("user_id") % 5).alias("owner"), F.when(kind == "signup", 1).alias("collection_id"))
     kept, _ = changes.apply_changes(rows, log, guard="collection_id")
     return kept.select(F.col("id").alias("c_custkey"), F.col("value").alias("c_acctbal"))
 

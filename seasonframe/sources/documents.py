@@ -47,12 +47,12 @@ def read_texts(spark: SparkSession, folder: str, pattern: str = "*.json5") -> Da
     return rows.select(file.alias("file"), normalize_json5(F.col("value")).alias("text"))
 
 
-def read_documents(spark: SparkSession, folder: str, schema: str = PUBLICATION) -> tuple[DataFrame, DataFrame]:
-    """(documents, quarantine). Documents have ``path``, ``filename`` and the fields; ids follow the sorted file names.
+def read_documents(spark: SparkSession, folder: str, schema: str = PUBLICATION, pattern: str = "*.json5") -> tuple[DataFrame, DataFrame]:
+    """(documents, quarantine), one document a file. Documents have ``path``, ``filename`` and the fields; ids follow the sorted file names.
 
     Numbering sorts the files' names only, of which there is one a document.
     """
-    texts = read_texts(spark, folder)
+    texts = read_texts(spark, folder, pattern)
     parsed = texts.select("file", F.from_json("text", schema, {**_RELAXED, "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
     corrupt = F.col("d").isNull() | F.col("d._corrupt").isNotNull()
     good = parsed.filter(~corrupt)
@@ -99,22 +99,30 @@ def read_gazetteer(spark: SparkSession, path: str, least_rows: int | None = None
     return out
 
 
-def read_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Curated entities: arrays by type, the type being the file's name but in ``Oddball`` files, which name it."""
-    texts = read_texts(spark, folder)
-    name = split_source_path(F.col("file"))["filename"]
-    rows = texts.select(name.alias("file_type"), F.explode(F.from_json("text", f"array<{ENTITY}>", _RELAXED)).alias("e"))
-    return rows.select(F.when(F.col("file_type").startswith("Oddball"), F.col("e.type")).otherwise(F.col("file_type")).alias("type"), *[F.col(f"e.{c}").alias(c) for c in ("name", "description", "AKA", "patent", "released", "s_allele")])
+def _read_arrays(spark: SparkSession, folder: str, schema: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """((file, e), quarantine): the elements of each file's array; files that are no such array are kept apart."""
+    texts = read_texts(spark, folder, pattern).withColumn("__a", F.from_json("text", schema, _RELAXED))
+    return texts.select("file", F.explode("__a").alias("e")), texts.filter(F.col("__a").isNull()).select("file", "text")
 
 
-def read_types(spark: SparkSession, path: str) -> DataFrame:
-    """(group_name, name, name_alphabetical, latin_name)"""
-    rows = read_texts(spark, path).select(F.explode(F.from_json("text", TYPES, _RELAXED)).alias("g"))
-    return rows.select("g.group_name", F.explode("g.types").alias("t")).select("group_name", "t.*")
+def read_entities(spark: SparkSession, folder: str, pattern: str = "*.json5", kind: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(curated entities, quarantine): arrays by type, the type being the file's name (or ``kind``, of the column
+    ``file``) but in ``Oddball`` files, which name it."""
+    rows, bad = _read_arrays(spark, folder, f"array<{ENTITY}>", pattern)
+    rows = rows.withColumn("file_type", split_source_path(F.col("file"))["filename"] if kind is None else kind)
+    return rows.select(F.when(F.col("file_type").startswith("Oddball"), F.col("e.type")).otherwise(F.col("file_type")).alias("type"), *[F.col(f"e.{c}").alias(c) for c in ("name", "description", "AKA", "patent", "released", "s_allele")]), bad
 
 
-def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    return read_texts(spark, path).select(F.explode(F.from_json("text", FACTS, _RELAXED)).alias("f")).select("f.*")
+def read_types(spark: SparkSession, path: str, pattern: str = "*.json5") -> tuple[DataFrame, DataFrame]:
+    """((group_name, name, name_alphabetical, latin_name), quarantine)"""
+    rows, bad = _read_arrays(spark, path, TYPES, pattern)
+    return rows.select("e.group_name", F.explode("e.types").alias("t")).select("group_name", "t.*"), bad
+
+
+def read_facts(spark: SparkSession, path: str, pattern: str = "*.json5") -> tuple[DataFrame, DataFrame]:
+    """((contributor, fact, reference), quarantine)"""
+    rows, bad = _read_arrays(spark, path, FACTS, pattern)
+    return rows.select("e.*"), bad
 
 
 def write_json_result(df: DataFrame, path: str, by: str = "day") -> None:

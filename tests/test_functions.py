@@ -152,6 +152,6 @@ def test_geography(spark):
 
 
 def test_dimensions(spark):
-    assert (dims.anchors(spark).count(), dims.anchor_set(spark).count(), dims.source_scores(spark).count(), dims.patent_years(spark).count()) == (21, 18, 17, 91)
+    assert (dims.anchors(spark).count(), dims.anchor_set(dims.anchors(spark)).count(), dims.source_scores(spark).count(), dims.patent_years(spark).count()) == (21, 18, 17, 91)
     months = dims.month_grid(spark).orderBy("month").collect()
     assert len(months) == 12 and months[2]["start"] == 60 and months[11]["end"] == 366

@@ -51,18 +51,17 @@ def test_alignment(spark):
     assert align.align_anchors(df.limit(0), dims.anchors(spark)).count() == 0
 
 
-def test_asof(spark):
+def test_asof(spark, monkeypatch):
     keys = spark.createDataFrame([(1,), (4969,), (4970,), (4971,), (33333,), (0,), (None,)], "n int")
     assert [r[0] for r in keys.select(asof.patent_year(F.col("n"))).collect()] == [1931, 1982, 1983, 1983, 2021, 1931, None]
     marks = spark.createDataFrame([(10, "a"), (20, "b")], "k int, v string")
     rows = spark.createDataFrame([(5,), (10,), (19,), (25,), (None,)], "k int")
     want = {5: "a", 10: "a", 19: "a", 25: "b", None: None}
     assert {r["k"]: r["o"] for r in asof.asof_lookup(rows, "k", marks, "k", "v", "o").collect()} == want
-    limit, asof.ARRAY_LIMIT = asof.ARRAY_LIMIT, 1
-    try:
+    for tree, intervals in ((1, 1000), (1, 1)):
+        monkeypatch.setattr(asof, "TREE_LIMIT", tree)
+        monkeypatch.setattr(asof, "INTERVAL_LIMIT", intervals)
         assert {r["k"]: r["o"] for r in asof.asof_lookup(rows, "k", marks, "k", "v", "o").collect()} == want
-    finally:
-        asof.ARRAY_LIMIT = limit
     grouped = spark.createDataFrame([("x", 10, 1), ("x", 20, 2), ("y", 15, 3)], "g string, k int, v int")
     asked = spark.createDataFrame([("x", 12), ("y", 1), ("z", 5)], "g string, k int")
     assert {r["g"]: r["o"] for r in asof.asof_lookup(asked, "k", grouped, "k", "v", "o", by=["g"]).collect()} == {"x": 1, "y": 3, "z": None}
@@ -127,6 +126,11 @@ def test_changes(spark):
         [(1, 7, 7, "A", 1, False), (1, 7, 7, "AA", 2, False), (2, 7, 7, None, 3, True), (3, 7, 7, "stolen", 4, False), (None, 7, 7, "new", 5, False), (3, 8, 7, "forged", 6, False)],
         "id int, owner int, actor int, v string, seq int, deleted boolean",
     )
+    more = [(None, 7, 7, f"n{k}", 100 - k // 2, None) for k in range(40)]
+    for parts in (1, 7):
+        kept, _ = changes.apply_changes(rows, log.unionByName(spark.createDataFrame(more, log.schema)).repartition(parts), sequence="seq")
+        new = {r["id"]: r["v"] for r in kept.collect() if r["id"] > 3}
+        assert new == {4: "new"} | {5 + k: m[3] for k, m in enumerate(sorted(more, key=lambda m: (m[4], m[3])))}
     kept, rejected = changes.apply_changes(rows, log)
     assert sorted((r["id"], r["owner"], r["v"]) for r in kept.collect()) == [(1, 7, "AA"), (3, 8, "c"), (4, 7, "new")]
     assert sorted(r["seq"] for r in rejected.collect()) == [4, 6]

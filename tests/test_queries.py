@@ -2,7 +2,8 @@
 
 import pytest
 
-from seasonframe.plans.queries import ORACLES, QUERIES
+from seasonframe.plans import queries, source_queries  # noqa: F401
+from seasonframe.plans.registry import ORACLES, QUERIES
 
 from .oracle import connect, duckdb_rows, spark_rows
 

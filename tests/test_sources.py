@@ -51,12 +51,12 @@ def test_documents(spark, tree):
 
 
 def test_entities_types_and_facts(spark, tree, tmp_path):
-    found = {(r["type"], r["name"]) for r in S.read_entities(spark, str(tree / "curated")).collect()}
+    found = {(r["type"], r["name"]) for r in S.read_entities(spark, str(tree / "curated"))[0].collect()}
     assert found == {("Peach", "Redhaven"), ("Peach", "Unseen"), ("Quince", "Quince X")}
     (tmp_path / "types.json5").write_text('[{group_name: "G", types: [{name: "Euro Pear", name_alphabetical: "Pear, Euro"}, {name: "Plum"}, {name: "Apple"}]}]')
     (tmp_path / "facts.json5").write_text('[{contributor: "c", fact: "f", reference: "r"},]')
-    types = S.read_types(spark, str(tmp_path / "types.json5"))
-    assert types.count() == 3 and S.read_facts(spark, str(tmp_path / "facts.json5")).first()["fact"] == "f"
+    types, _ = S.read_types(spark, str(tmp_path / "types.json5"))
+    assert types.count() == 3 and S.read_facts(spark, str(tmp_path / "facts.json5"))[0].first()["fact"] == "f"
     groups = types.groupBy("group_name").agg(F.collect_list(F.struct("name", "name_alphabetical")).alias("types"))
     assert [r["name"] for r in listing.type_list(groups).collect()] == ["Apple", "Euro Pear", "Plum"]
 
