@@ -21,8 +21,30 @@ from .common import map_columns
 
 #: White space of the Unicode standard (fixed values).
 _SPACE = "\t-\r \x85\xa0  -     　"
+#: Letters and digits of the ``regex`` package that the library's older tables don't know: other signs (fixed values).
+_NEWER = (
+    "0558 058B-058C 088F 0C5C 0CDC 1C89 208F 209D-209F A7CB-A7CC A7CE-A7CF A7D2 A7D4 A7DA A7DC-A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10D50-10D65 10EC5-10EC7 10ED9-10EEE 11B0A "
+    "11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 "
+    "1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+#: Signs that the library's older tables take for bases when they compose: marks, and one part of a pair (fixed values).
+_BASES = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 "
+    "1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+#: Lower case that the library's newer tables add: code points, or first, last and the distance (fixed values).
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LOWER |= {c: c + by for first, last, by in ((0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)) for c in range(first, last + 1)}
+
+
+def _signs(ranges: str) -> str:
+    """Ranges of code points as the inside of a pattern's set."""
+    return "".join("-".join(f"\\U{int(c, 16):08X}" for c in r.split("-")) for r in ranges.split())
+
+
+_OTHER = _signs(_NEWER)
 #: Word forms of the word-end vocabulary (fixed pattern).
-_FORMS = rf" |'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
+_FORMS = rf"(?V1) |'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_OTHER}]]+|[\p{{N}}--[{_OTHER}]]|[[^{_SPACE}\p{{L}}\p{{N}}][{_OTHER}]]+"
 #: str.split() would take these for white space.
 _CONTROL = "[\x1c-\x1f]"
 _CACHE = 400_000
@@ -77,6 +99,7 @@ class Encoder:
         both = np.concatenate([self.inner, self.final])
         self.table = self._find(np.repeat(both, 512), np.tile(both, 512)).reshape(512, 512).astype(np.int32)
         self.forms = regex.compile(_FORMS)
+        self.bases, self.newer_capitals = re.compile(f"([{_signs(_BASES)}])"), re.compile("[" + "".join(map(chr, _LOWER)) + "]")
         self.control, self.spaces = re.compile(_CONTROL), re.compile(f"[{_SPACE}]+")
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
@@ -138,7 +161,9 @@ class Encoder:
         # all at once: nothing composes or matches over a space, and a lone space marks each chunk's end
         text = " ".join(chunks)
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = "".join(unicodedata.normalize("NFC", part) for part in self.bases.split(text))
+            if self.newer_capitals.search(text):
+                text = text.translate(_LOWER)
         # lower case character by character: no final sigma
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         found = self.forms.findall(text)

@@ -254,6 +254,27 @@ def test_bpe_on_odd_texts():
         assert encoder.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("form", ["a{0}b1 {0}", "e{0}\u0301x{0}{0}", "1{0}!{0}2"])
+def test_bpe_on_every_code_point(form):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoder = bpe.Encoder(word_vocabulary())
+    texts = [form.format(chr(c)) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        for text, ids, want in zip(part, encoder.encode(part), library.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids, ascii(text)
+
+
+def test_bpe_on_pairs_that_compose():
+    import unicodedata
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoder = bpe.Encoder(word_vocabulary())
+    texts = [unicodedata.normalize("NFD", chr(c)) + "\u0327\u08d3\u0301" for c in range(0x110000) if unicodedata.decomposition(chr(c))]
+    for text, ids, want in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, ascii(text)
+
+
 # --- 5: quality
 
 
