@@ -16,11 +16,12 @@ of the item; words are compared in lower case and without ASCII punctuation.
 
 Defined results: null and empty texts have no match; items that are null or have fewer than ``min_words`` words
 are not searched for; of several passages of one item in a document the one with the fewest edits, then the first,
-is reported; repeated rows, and rows with a null key, are each reported; empty tables give an empty result.
+is reported; repeated rows and items, and rows with a null key, are each reported; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -301,65 +302,74 @@ def _search(index: EditIndex, texts: list[str | None]) -> list[tuple[int, int, i
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", max_edits: float = 0.2, block_bytes: int = 4 << 20, **options) -> DataFrame:
+def _indexes(texts: DataFrame, block_bytes: int, pass_blocks: int, options: dict) -> Iterator[list[tuple[EditIndex, list[str]]]]:
+    """The distinct item texts (column ``t``) in blocks of about ``block_bytes``, ``pass_blocks`` of them at a time."""
+    texts = texts.filter(F.col("t").isNotNull()).distinct()
+    blocks = (texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes + 1
+    block = F.pmod(F.xxhash64("t"), F.lit(blocks))
+    for start in range(0, blocks, pass_blocks):
+        indexes = []
+        for b in range(start, min(start + pass_blocks, blocks)):
+            items = sorted(r["t"] for r in texts.filter(block == b).collect())
+            indexes.append((EditIndex(items, **options), [hashlib.sha1(t.encode("utf-8", "surrogatepass")).hexdigest() for t in items]))
+        yield indexes
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20, pass_blocks: int = 8, **options) -> DataFrame:
     """One row for each document and item found in it: the keys, ``edits``, ``item_words``, and the passage's
-    ``start`` and ``end`` in characters.
+    ``start`` and ``end`` in characters. A document key with the name of another output is called
+    ``document_`` and that name; ``options``: see ``EditIndex``.
 
-    Items are sent to every task in blocks of about ``block_bytes`` of text; a benchmark of more bytes is searched
-    for block by block, each over all documents.
+    Distinct item texts are sent to every task in blocks of about ``block_bytes``, ``pass_blocks`` of them for one
+    pass over the documents. Items with equal texts meet their text's matches afterwards, by its SHA-1.
     """
-    items = benchmark.filter(quoted(item_text).isNotNull()).select(quoted(item_key).alias("k"), quoted(item_text).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = total // block_bytes + 1
-    rows = docs.select(quoted(key), quoted(text))
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, benchmark.schema[item_key].dataType), *T._parse_datatype_string("edits int, item_words int, start int, end int").fields])
+    items = benchmark.select(quoted(item_key).alias("k"), quoted(item_text).alias("t"))
+    rows = docs.select(quoted(key).alias("k"), quoted(text).alias("t"))
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("item", T.StringType()), *T._parse_datatype_string("edits int, item_words int, start int, end int").fields])
     result = None
-    for b in range(blocks):
-        block = sorted(items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect(), key=lambda r: (r["t"], r["k"] is None, r["k"]))
-        index = EditIndex([r["t"] for r in block], max_edits, **options)
-        shared = docs.sparkSession.sparkContext.broadcast((index, [r["k"] for r in block]))
-        found = rows.mapInArrow(_searcher(shared, key, item_key, schema), schema)
+    for indexes in _indexes(items.select("t"), block_bytes, pass_blocks, options):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+        found = rows.mapInArrow(_searcher(shared, schema), schema)
         result = found if result is None else result.unionByName(found)
-    return result
+    named = items.filter(F.col("t").isNotNull()).select(F.col("k").alias("__item"), F.sha1(F.col("t").cast("binary")).alias("item"))
+    rest = ["edits", "item_words", "start", "end"]
+    name = f"document_{key}" if key.lower() in (item_key.lower(), *rest) else key
+    return result.join(named, "item").select(F.col("k").alias(name), F.col("__item").alias(item_key), *rest)
 
 
-def _searcher(shared, key: str, item_key: str, schema: T.StructType):
+def _searcher(shared, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        index, keys = shared.value
         made = to_arrow_schema(schema)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                found = _search(index, batch.column(1).to_pylist())
-                if found:
-                    row, item, *rest = zip(*found, strict=True)
-                    columns = [batch.column(0).take(pa.array(row)), pa.array([keys[i] for i in item], made.field(1).type)]
-                    yield pa.RecordBatch.from_arrays(columns + [pa.array(c, pa.int32()) for c in rest], names=made.names)
+                texts = batch.column(1).to_pylist()
+                for index, digests in shared.value:
+                    found = _search(index, texts)
+                    if found:
+                        row, item, *rest = zip(*found, strict=True)
+                        columns = [batch.column(0).take(pa.array(row)), pa.array([digests[i] for i in item])]
+                        yield pa.RecordBatch.from_arrays(columns + [pa.array(c, pa.int32()) for c in rest], names=made.names)
 
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_text: str = "text", block_bytes: int = 4 << 20, pass_blocks: int = 8, **options) -> DataFrame:
     """The rows without any match; a row is judged by its own text, whatever its key.
 
     Texts are not shuffled: rows pass through the search and those with a match stay behind.
     """
-    items = benchmark.filter(quoted(options.get("item_text", "text")).isNotNull()).select(quoted(options.pop("item_text", "text")).alias("t"))
-    block_bytes = options.pop("block_bytes", 4 << 20)
-    blocks = (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes + 1
-    for b in range(blocks):
-        texts = sorted(r["t"] for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect())
-        shared = docs.sparkSession.sparkContext.broadcast(EditIndex(texts, **options))
-        docs = filter_rows(docs, text, _cleaner(shared))
+    for indexes in _indexes(benchmark.select(quoted(item_text).alias("t")), block_bytes, pass_blocks, options):
+        docs = filter_rows(docs, text, _cleaner(docs.sparkSession.sparkContext.broadcast([i for i, _ in indexes])))
     return docs
 
 
 def _cleaner(shared):
     def make():
         def clean(texts: list[str | None]) -> list[bool]:
-            dirty = {f[0] for f in _search(shared.value, texts)}
+            dirty = {f[0] for index in shared.value for f in _search(index, texts)}
             return [k not in dirty for k in range(len(texts))]
 
         return clean
