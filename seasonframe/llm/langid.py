@@ -1,7 +1,8 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary of sample text. A text is compressed against every one, and
-the language whose dictionary makes it smallest wins; the margin to the runner-up tells how sure that is.
+Each language has a zstandard raw-content dictionary of sample text. A text, in lower case, is encoded block by block
+against every one, and the language whose dictionary makes it smallest altogether wins; the margin to the runner-up
+tells how sure that is. Blocks are encoded apart, so that a long text meets the dictionary all along, not itself.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and is rejected; with no learned
 language every text is. Ties go to the language with more training documents, then by name, with score 0.
@@ -20,10 +21,8 @@ from .common import filter_rows, map_columns, quoted
 
 UNKNOWN = "und"
 OUTPUTS = "lang_pred string, score double, margin double, rejected boolean"
-#: Letters of ASCII and all bytes of longer UTF-8 sequences stay; the rest separates words.
-_WORDS = bytes(c if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Shorter word lists are matched from four bytes on, longer ones from five.
-_SHORT = 256
+#: Bytes that are encoded at one time.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -33,8 +32,8 @@ class LanguageProfiles:
     samples: dict[str, bytes]
 
 
-def _words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_WORDS).split()
+def _bytes(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
 
 
 def learn_languages(
@@ -44,17 +43,15 @@ def learn_languages(
     key: str = "doc_id",
     trainable: Column | None = None,
     docs_per_language: int = 300,
-    chars_per_doc: int = 600,
-    dictionary_bytes: int = 65536,
+    dictionary_bytes: int = 1 << 18,
     max_languages: int = 500,
 ) -> LanguageProfiles:
-    """Learn from a bounded sample: about ``docs_per_language`` rows a language, a passage of ``chars_per_doc`` characters
-    of each.
+    """Learn from a bounded sample: whole rows of about ``dictionary_bytes`` a language.
 
-    Rows are drawn by a hash of key and text with a rate set by the language's count, the passage's place in the whole
-    text by another, and equal ones count once, so
-    the driver holds at most about languages x docs_per_language x chars_per_doc characters, whatever the size of
-    ``docs``. The key serves the draw alone.
+    About ``docs_per_language`` rows a language are drawn by a hash of key and text, with a rate set by the language's
+    count. Of these, in the order of the hash, each one that still fits into ``dictionary_bytes`` is taken, with its
+    whole text; equal ones count once. So dictionaries are of like size, and the driver holds languages x
+    ``dictionary_bytes`` at most, whatever the size of ``docs``. The key serves the draw alone.
     """
     rows = docs.filter(quoted(lang).isNotNull() & quoted(text).isNotNull())
     if trainable is not None:
@@ -67,38 +64,38 @@ def learn_languages(
     whole = 1 << 40
     cuts = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(whole, whole * docs_per_language // n + 1))])
     drawn = F.pmod(F.xxhash64(*[quoted(c) for c in (key, text) if c in docs.columns]), F.lit(whole))
-    begin = F.pmod(F.xxhash64(quoted(text), F.lit("passage")), F.greatest(F.length(quoted(text)) - chars_per_doc + 1, F.lit(1))) + 1
-    sample = rows.filter(drawn < cuts[quoted(lang)]).select(quoted(lang).alias("k"), quoted(text).substr(begin.cast("int"), F.lit(chars_per_doc)).alias("t"), drawn.alias("h")).distinct()
-    buffers: dict[str, bytearray] = {k: bytearray() for k in sorted(counts, key=lambda k: (-counts[k], k))}
-    for r in sorted(sample.collect(), key=lambda r: (r["h"], r["t"])):
-        if len(buffers[r["k"]]) < dictionary_bytes:
-            buffers[r["k"]] += b" " + b" ".join(_words(r["t"]))
-    return LanguageProfiles({k: bytes(b[:dictionary_bytes]) + b" " for k, b in buffers.items()})
+    sample = rows.select(quoted(lang).alias("k"), drawn.alias("h"), F.octet_length(quoted(text)).alias("n"), quoted(text).alias("t")).filter(F.col("h") < cuts[F.col("k")])
+    room = dict.fromkeys(counts, dictionary_bytes)
+    taken = []
+    for k, h, n in sorted(tuple(r) for r in sample.select("k", "h", "n").distinct().collect()):
+        if n <= room[k]:
+            room[k] -= n
+            taken.append((k, h))
+    chosen = docs.sparkSession.createDataFrame(taken, f"k {docs.schema[lang].dataType.simpleString()}, h long")
+    buffers: dict[str, list[bytes]] = {k: [] for k in sorted(counts, key=lambda k: (-counts[k], k))}
+    for r in sorted(sample.join(F.broadcast(chosen), ["k", "h"]).select("k", "h", "t").distinct().collect()):
+        buffers[r["k"]].append(_bytes(r["t"]))
+    return LanguageProfiles({k: b"\n".join(b) for k, b in buffers.items()})
 
 
 def _classifier(profiles: LanguageProfiles, min_margin: float):
     import zstandard as z
 
     names = list(profiles.samples)
-
-    def compressors(min_match: int) -> list:
-        made = []
-        for sample in profiles.samples.values():
-            dictionary = z.ZstdCompressionDict(sample, dict_type=z.DICT_TYPE_RAWCONTENT)
-            parameters = z.ZstdCompressionParameters.from_level(-1, min_match=min_match, target_length=1, write_content_size=False, write_dict_id=False)
-            dictionary.precompute_compress(compression_params=parameters)
-            made.append(z.ZstdCompressor(dict_data=dictionary, compression_params=parameters))
-        return made
-
-    short, long = compressors(4), compressors(5)
+    encoders = []
+    for sample in profiles.samples.values():
+        # a dictionary that is empty, or too short for the format, is a blank
+        dictionary = z.ZstdCompressionDict(sample if len(sample) >= 8 else b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
+        parameters = z.ZstdCompressionParameters.from_level(-1, min_match=5, target_length=1, hash_log=18, window_log=20, write_content_size=False, write_dict_id=False)
+        dictionary.precompute_compress(compression_params=parameters)
+        encoders.append(z.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress)
 
     def one(text: str | None) -> tuple[str, float, float, bool]:
-        # each word counts once: repeats would be matched within the text, whatever its language
-        words = b" ".join(dict.fromkeys(_words(text))) if text and names else b""
-        if not words or not any(map(str.isalpha, text)):
+        if not text or not names or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0, True
-        words = b" " + words + b" "
-        sizes = [len(c.compress(words)) for c in (short if len(words) < _SHORT else long)]
+        data = _bytes(text)
+        blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+        sizes = [sum(map(len, map(encode, blocks))) for encode in encoders]
         first = min(range(len(sizes)), key=sizes.__getitem__)
         second = min((s for k, s in enumerate(sizes) if k != first), default=None)
         margin = 1.0 if second is None else (second - sizes[first]) / second
