@@ -1,8 +1,9 @@
 """Main text of HTML pages: gradient-boosted trees over DOM nodes, decoded along the tree.
 
-A page becomes a tree of block elements. Each node is described by its tag, the words in its class, id and role,
+A page becomes a tree of block elements. Each node is described by its tag, the tokens of its class, id and role and
 those of its ancestors, its depth and place among siblings, and the text, link and sentence density of its
-subtree. Boosted trees give each node the probability that its subtree holds main text. The labels are then chosen
+subtree. Tokens are hashed; what a token says, its log-odds of main text, is learned with the trees, which see the
+least and the greatest of a node's own tokens and of its ancestors'; an unseen token says nothing. Boosted trees give each node the probability that its subtree holds main text. The labels are then chosen
 together, for the greatest likelihood under one rule: below a node that is dropped nothing is kept.
 
 The trees learn from pages of the module's own page maker, whose number is the bound of the training sample; no
@@ -18,6 +19,7 @@ from __future__ import annotations
 import functools
 import html as _html
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,28 +41,15 @@ _VOID = set("area base br col embed hr img input link meta source track wbr".spl
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "ul", "li", "nav", "aside", "header", "footer", "form", "table", "td", "blockquote", "pre", "figure", "head", "body", "html", "dl", "select", "button", "dialog"]
 _LIKE = {"h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ol": "ul", "th": "td", "tr": "table", "tbody": "table", "thead": "table", "dt": "li", "dd": "li", "figcaption": "figure", "menu": "nav", "fieldset": "form", "input": "form", "textarea": "form", "option": "select", "title": "head"}
-#: Words in class, id or role that speak for a kind of block.
-_KINDS = {
-    "content": "content article post entry story body main text prose page blog news",
-    "nav": "nav menu navigation breadcrumb breadcrumbs tabs pagination pager toc links skip",
-    "header": "header masthead topbar banner top brand logo",
-    "footer": "footer foot bottom copyright colophon legal",
-    "side": "sidebar side aside rail widget widgets related recommended popular trending archive tags",
-    "ad": "ad ads advert advertisement adverts sponsor sponsored promo promoted promotion",
-    "comment": "comment comments commentlist reply replies respond discussion disqus responses reader",
-    "notice": "cookie cookies consent notice gdpr popup modal overlay alert newsletter subscribe subscription paywall",
-    "form": "form search login signup register contact",
-    "share": "share sharing social follow print tools toolbar meta buttons",
-}
-_KIND_OF = {w: k for k, words in enumerate(_KINDS.values()) for w in words.split()}
-_BAD = [k for k, name in enumerate(_KINDS) if name != "content"]
+#: Tokens are numbered by a hash of so many bits.
+_TOKEN_BITS = 18
 _BAD_TAGS = {"nav", "aside", "footer", "form", "head", "select", "button", "dialog"}
 
 
 @dataclass
 class _Node:
     tag: str
-    kinds: frozenset[int]
+    tokens: frozenset[int]
     parent: int
     depth: int
     own: int = 0
@@ -75,6 +64,11 @@ class Page:
     pieces: list[tuple[int, str]] = field(default_factory=list)  # node and text, in page order; breaks are spaces
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _token(word: str) -> int:
+    return zlib.crc32(word.encode()) & ((1 << _TOKEN_BITS) - 1)
+
+
 def parse_page(source: str) -> Page:
     page = Page()
     nodes, pieces = page.nodes, page.pieces
@@ -146,20 +140,32 @@ def parse_page(source: str) -> Page:
                 del stack[k:]
             elif above in ("ul", "ol", "dl", "table", "tbody", "select", "div", "article", "section", "main", "td"):
                 break
-        kinds = frozenset(_KIND_OF[w] for a in _ATTRIBUTE.findall(m[3]) for w in _TOKENS.findall("".join(a).lower()) if w in _KIND_OF) if "=" in m[3] else frozenset()
-        nodes.append(_Node(tag, kinds, stack[-1], min(nodes[stack[-1]].depth + 1, 255)))
+        tokens = frozenset(_token(w) for a in _ATTRIBUTE.findall(m[3]) for w in _TOKENS.findall("".join(a).lower())) if "=" in m[3] else frozenset()
+        nodes.append(_Node(tag, tokens, stack[-1], min(nodes[stack[-1]].depth + 1, 255)))
         if tag not in _VOID:
             stack.append(len(nodes) - 1)
     say(source[at:])
     return page
 
 
-_N_KINDS = len(_KINDS)
-N_FEATURES = len(_TAGS) + 2 * _N_KINDS + 24
+N_FEATURES = len(_TAGS) + 28
+
 
+def token_odds(pages: list[Page], labels: list[np.ndarray]) -> dict[int, float]:
+    """For each hashed token seen, the log-odds that a node with it holds main text, less those of all nodes."""
+    seen = np.zeros((2, 1 << _TOKEN_BITS))
+    for page, label in zip(pages, labels, strict=True):
+        for v, y in zip(page.nodes, label.tolist(), strict=True):
+            seen[int(y), list(v.tokens)] += 1
+    share = np.mean(np.concatenate(labels)) if labels else 0.5
+    prior = 2.0
+    odds = np.log((seen[1] + prior * share) / (seen[0] + prior * (1 - share))) - np.log(share / (1 - share))
+    known = np.flatnonzero(seen.sum(axis=0))
+    return dict(zip(known.tolist(), odds[known].tolist(), strict=True))
 
-def node_features(page: Page) -> np.ndarray:
-    """One row a node."""
+
+def node_features(page: Page, odds: dict[int, float]) -> np.ndarray:
+    """One row a node; ``odds``: what each token says."""
     nodes = page.nodes
     n = len(nodes)
     out = np.zeros((n, N_FEATURES))
@@ -176,27 +182,28 @@ def node_features(page: Page) -> np.ndarray:
         same[v.parent, v.tag] = same.get((v.parent, v.tag), 0) + 1
     tag_at = {t: k for k, t in enumerate(_TAGS)}
     base = len(_TAGS)
-    inherited = np.zeros((n, _N_KINDS))
+    low, high = [0.0] * n, [0.0] * n  # least and greatest odds of the node's tokens and none
+    above_low, above_high = [0.0] * n, [0.0] * n
     bad_tag = np.zeros(n)
     in_article = np.zeros(n)
     for k, v in enumerate(nodes):
         t = tag_at.get(_LIKE.get(v.tag, v.tag))
         if t is not None:
             out[k, t] = 1
-        for kind in v.kinds:
-            out[k, base + kind] = 1
+        if v.tokens:
+            said = [odds.get(t, 0.0) for t in v.tokens]
+            low[k], high[k] = min(0.0, *said), max(0.0, *said)
         if k:
             p = v.parent
-            inherited[k] = np.maximum(inherited[p], out[p, base : base + _N_KINDS])
+            above_low[k], above_high[k] = min(above_low[p], low[p]), max(above_high[p], high[p])
             bad_tag[k] = max(bad_tag[p], nodes[p].tag in _BAD_TAGS)
             in_article[k] = max(in_article[p], nodes[p].tag in ("article", "main"))
             place = seen[p] = seen.get(p, -1) + 1
             out[k, -1] = place / max(1, children[p] - 1)
             out[k, -2] = np.log1p(children[p])
             out[k, -3] = same[p, v.tag] / max(1, children[p])
-    out[:, base + _N_KINDS : base + 2 * _N_KINDS] = inherited
+    low, high = np.array(low), np.array(high)
     text, page_text = total[:, 0], max(1.0, total[0, 0])
-    at = base + 2 * _N_KINDS
     columns = (
         [v.depth for v in nodes],
         np.log1p(own[:, 0]),
@@ -216,12 +223,16 @@ def node_features(page: Page) -> np.ndarray:
         in_article,
         text[parent] / page_text,
         np.log1p(children),
-        inherited[:, _BAD].max(axis=1),
-        out[:, [base + k for k in _BAD]].max(axis=1),
+        low,
+        high,
+        above_low,
+        above_high,
+        low[parent],
+        high[parent],
         np.minimum(own[:, 2], 5),
     )
     for k, c in enumerate(columns):
-        out[:, at + k] = c
+        out[:, base + k] = c
     return out
 
 
@@ -234,10 +245,14 @@ class BoostedTrees:
     cut: np.ndarray  # bins up to this go left
     leaf: np.ndarray  # (trees, leaves)
     base: float
+    odds: dict[int, float]  # of the hashed tokens
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, k]) for k, e in enumerate(self.edges)], axis=1)
 
+    def features(self, page: Page) -> np.ndarray:
+        return node_features(page, self.odds)
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         b = self.bins(x)
         rows = np.arange(len(b))
@@ -250,12 +265,13 @@ class BoostedTrees:
         return total
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.25, n_bins: int = 24) -> BoostedTrees:
+def fit_trees(x: np.ndarray, y: np.ndarray, odds: dict[int, float], trees: int = 50, depth: int = 4, rate: float = 0.25, n_bins: int = 24) -> BoostedTrees:
     """Logistic boosting with second-order leaf values, level by level on feature histograms."""
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, n_bins)[1:-1])) for k in range(x.shape[1])]
+    # most nodes have 0 in most columns: bins go by the others
+    edges = [np.unique(np.append(0.0, np.quantile(v[v != 0], np.linspace(0, 1, n_bins)[1:-1]) if v.any() else [])) for v in x.T]
     width = max(map(len, edges))
     edges = np.stack([np.append(e, np.full(width - len(e), np.inf)) for e in edges])
-    model = BoostedTrees(edges, np.empty(0), np.empty(0), np.empty(0), 0.0)
+    model = BoostedTrees(edges, np.empty(0), np.empty(0), np.empty(0), 0.0, odds)
     b = model.bins(x)
     n, f = b.shape
     bins = width + 1
@@ -289,7 +305,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rat
         features.append(feature)
         cuts.append(cut)
         leaves.append(leaf)
-    return BoostedTrees(edges, np.array(features), np.array(cuts), np.array(leaves), base)
+    return BoostedTrees(edges, np.array(features), np.array(cuts), np.array(leaves), base, odds)
 
 
 def decode(parent: np.ndarray, logit: np.ndarray) -> np.ndarray:
@@ -342,15 +358,15 @@ class _Maker:
 
         short = self.sentences(int(self.rng.integers(1, 4)))
         options = {
-            "ad": lambda: box(self.named("div", ["ad", "ads", "ad-slot", "advert", "advertisement", "sponsored", "promo-box", "banner-ad"]), short),
-            "nav": lambda: box(self.pick(["nav", "nav", self.named("div", ["menu", "nav", "navbar", "main-menu", "breadcrumbs", "breadcrumb"]), self.named("ul", ["menu", "nav-links"])]), self.links()),
-            "header": lambda: box(self.pick(["header", self.named("div", ["header", "masthead", "site-header", "topbar"])]), self.pick([f"<h1>{self.words(1, 4)}</h1>", f"<p>{self.words(2, 8)}</p>", self.words(1, 5)]) + self.pick(["", self.links()])),
-            "side": lambda: box(self.pick(["aside", self.named("div", ["sidebar", "widget", "related", "side-bar", "related-posts", "widget-area"]), self.named("section", ["related", "recommended"])]), f"<h3>{self.words(1, 3)}</h3>" + self.pick([self.links(), f"<p>{short}</p>"])),
-            "footer": lambda: box(self.pick(["footer", "footer", self.named("div", ["footer", "site-footer", "copyright", "page-footer"])]), "&copy; " + self.pick([short, self.links(), f"<p>{short}</p>"])),
-            "notice": lambda: box(self.pick([self.named("div", ["cookie-notice", "cookie-banner", "consent", "notice", "newsletter", "popup", "modal", "gdpr", "alert"]), "dialog"]), self.pick([short, f"<p>{short}</p><button>{self.words(1, 2)}</button>"])),
-            "form": lambda: box(self.pick(["form", "form action='/s'", self.named("div", ["search-form", "login", "signup-form", "subscribe"])]), f"<label>{self.words(1, 4)}</label><input type='text'><button>{self.words(1, 2)}</button>" + self.pick(["", f"<p>{self.words(3, 12)}</p>"])),
-            "share": lambda: box(self.named("div", ["share", "social", "share-buttons", "social-links"]), self.links()),
-            "comments": lambda: box(self.pick([self.named("section", ["comments", "comment-list", "responses"]), self.named("div", ["comments", "disqus_thread", "comment-section", "reader-comments"]), self.named("ol", ["commentlist", "comments"])]), f"<h3>{self.words(1, 3)}</h3>" + "".join(self.pick(["<div class='comment'><p>{}</p></div>", "<li class='comment'>{}</li>", "<p>{}</p>", "<article class='comment'><p>{}</p></article>"]).format(self.sentences(int(self.rng.integers(1, 6)))) for _ in range(int(self.rng.integers(1, 6))))),
+            "ad": lambda: box(self.named("div", ["ad", "ads", "ad-slot", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo-box", "promoted", "promotion", "banner-ad"]), short),
+            "nav": lambda: box(self.pick(["nav", "nav", self.named("div", ["menu", "nav", "navbar", "navigation", "main-menu", "breadcrumbs", "breadcrumb", "tabs", "pagination", "pager", "toc", "skip-links"]), self.named("ul", ["menu", "nav-links"])]), self.links()),
+            "header": lambda: box(self.pick(["header", self.named("div", ["header", "masthead", "site-header", "topbar", "top", "banner", "brand", "logo"])]), self.pick([f"<h1>{self.words(1, 4)}</h1>", f"<p>{self.words(2, 8)}</p>", self.words(1, 5)]) + self.pick(["", self.links()])),
+            "side": lambda: box(self.pick(["aside", self.named("div", ["sidebar", "widget", "widgets", "related", "side-bar", "rail", "related-posts", "widget-area", "recommended", "popular", "trending", "archive", "tags", "aside"]), self.named("section", ["related", "recommended"])]), f"<h3>{self.words(1, 3)}</h3>" + self.pick([self.links(), f"<p>{short}</p>"])),
+            "footer": lambda: box(self.pick(["footer", "footer", self.named("div", ["footer", "foot", "bottom", "site-footer", "copyright", "page-footer", "colophon", "legal"])]), "&copy; " + self.pick([short, self.links(), f"<p>{short}</p>"])),
+            "notice": lambda: box(self.pick([self.named("div", ["cookie-notice", "cookie-banner", "cookies", "consent", "notice", "newsletter", "popup", "modal", "overlay", "gdpr", "alert", "subscription", "paywall"]), "dialog"]), self.pick([short, f"<p>{short}</p><button>{self.words(1, 2)}</button>"])),
+            "form": lambda: box(self.pick(["form", "form action='/s'", self.named("div", ["search-form", "search", "form", "login", "signup-form", "register", "contact-form", "subscribe"])]), f"<label>{self.words(1, 4)}</label><input type='text'><button>{self.words(1, 2)}</button>" + self.pick(["", f"<p>{self.words(3, 12)}</p>"])),
+            "share": lambda: box(self.named("div", ["share", "sharing", "social", "share-buttons", "social-links", "follow", "print", "tools", "toolbar", "meta"]), self.links()),
+            "comments": lambda: box(self.pick([self.named("section", ["comments", "comment-list", "commentlist", "responses", "replies", "discussion"]), self.named("div", ["comments", "disqus_thread", "comment-section", "reader-comments"]), self.named("ol", ["commentlist", "comments"])]), f"<h3>{self.words(1, 3)}</h3>" + "".join(self.pick(["<div class='comment'><p>{}</p></div>", "<li class='comment'>{}</li>", "<p>{}</p>", "<article class='comment'><p>{}</p></article>"]).format(self.sentences(int(self.rng.integers(1, 6)))) for _ in range(int(self.rng.integers(1, 6))))),
         }
         names = {"top": ["nav", "header", "ad", "notice", "form", "nav"], "in": ["ad", "share", "notice", "form", "side", "ad"], "end": ["footer", "side", "comments", "nav", "ad", "share", "notice", "form", "comments"]}[where]
         return options[self.pick(names)]()
@@ -383,7 +399,7 @@ class _Maker:
         blocks += [self.main_block() for _ in range(int(rng.integers(1, 3 if rng.random() < 0.3 else 12)))]
         for _ in range(int(rng.integers(0, 3)) * (rng.random() < 0.5)):
             blocks.insert(int(rng.integers(0, len(blocks) + 1)), self.junk("in"))
-        opening = self.pick(["article", "article", "article", "main", self.named("div", ["content", "post", "entry-content", "article-body", "story", "main-content"]), self.named("section", ["content", "post-body", "story"]), "div"])
+        opening = self.pick(["article", "article", "article", "main", self.named("div", ["content", "post", "entry", "entry-content", "article", "article-body", "story", "main", "main-content", "text", "prose", "blog-post", "page-content", "news"]), self.named("section", ["content", "post-body", "story"]), "div"])
         body = f"<{opening}>" + "".join(map(mark, blocks)) + f"</{opening.split()[0]}>"
         if rng.random() < 0.25:
             body = f"<main>{body}</main>" if "main" not in opening else f"<div>{body}</div>"
@@ -399,7 +415,7 @@ class _Maker:
 def train_extractor(pages: int = 500, seed: int = 3) -> BoostedTrees:
     """Trees from ``pages`` made pages; the bound of the training sample."""
     maker = _Maker(seed)
-    x, y = [], []
+    made, labels = [], []
     for _ in range(pages):
         page = parse_page(maker.page())
         label = np.zeros(len(page.nodes), bool)
@@ -407,15 +423,16 @@ def train_extractor(pages: int = 500, seed: int = 3) -> BoostedTrees:
             label[node] |= "\x01" in text
         for k in range(len(label) - 1, 0, -1):
             label[page.nodes[k].parent] |= label[k]
-        x.append(node_features(page))
-        y.append(label)
-    return fit_trees(np.concatenate(x), np.concatenate(y).astype(float))
+        made.append(page)
+        labels.append(label)
+    odds = token_odds(made, labels)
+    return fit_trees(np.concatenate([node_features(p, odds) for p in made]), np.concatenate(labels).astype(float), odds)
 
 
 def _extract(pages: list[Page], model: BoostedTrees) -> list[str]:
     if not pages:
         return []
-    logit = model.logit(np.concatenate([node_features(p) for p in pages]))
+    logit = model.logit(np.concatenate([model.features(p) for p in pages]))
     out, at = [], 0
     for page in pages:
         n = len(page.nodes)
