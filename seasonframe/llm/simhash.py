@@ -278,13 +278,40 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that with the smallest key; of several with it, that with the smallest text hash."""
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", filter_bits: int = 28) -> DataFrame:
+    """One row of each component: that with the smallest key; of several with it, that with the smallest text hash; of
+    repeated rows with both alike, one.
+
+    Slim rows (key, text hash, root) decide. Rows of a key and hash to drop, or to keep once, are marked in a filter
+    of sixteen bits each, up to 2^``filter_bits`` (32 MB), which goes to all tasks: a row that it does not hold stays
+    where it is, and only the others are shuffled, with their texts, to meet the exact list. A full filter costs
+    shuffle, not rows.
+    """
+    names = docs.columns
+    docs = docs.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(names)])
+    key, text = (f"c{names.index(c)}" for c in (key, text))
     mark = F.xxhash64(F.coalesce(quoted(text), F.lit("")))
     found = near_duplicates(docs, key, text, {"__mark": mark})
-    best = found.groupBy("root").agg(F.min(F.struct(quoted(key).isNull().alias("no"), quoted(key).alias("k"), F.col("__mark").alias("m"))).alias("b"))
-    best = best.select(F.col("b.k").alias("__k"), F.col("b.m").alias("__m"))
-    kept = docs.withColumn("__mark", mark).join(best, quoted(key).eqNullSafe(F.col("__k")) & (F.col("__mark") == F.col("__m")), "left_semi")
-    columns = docs.columns
-    # repeated rows with one key and one text: one of them stays
-    return kept.dropDuplicates([key, "__mark"]).select(*[quoted(c) for c in columns])
+    order = F.struct(quoted(key).isNull().alias("no"), quoted(key).alias("k"), F.col("__mark").alias("m"))
+    groups = found.groupBy("root", quoted(key).alias("__k"), F.col("__mark").alias("__m")).agg(F.count("*").alias("n"), F.min(order).alias("o"))
+    best = groups.groupBy("root").agg(F.min("o").alias("b")).select(F.col("b.k").alias("__bk"), F.col("b.m").alias("__bm"))
+    # by key and hash, not by root: a component may hold a third of all rows
+    judged = groups.join(best, F.col("__k").eqNullSafe(F.col("__bk")) & (F.col("__m") == F.col("__bm")), "left").select("__k", "__m", F.col("__bm").isNotNull().alias("once"), "n")
+    listed = checkpointed(judged.filter(~F.col("once") | (F.col("n") > 1)).select("__k", "__m", "once"))
+    # the filter: rows of 4096 bytes, by the number of the block
+    bits = min(filter_bits, max(15, (16 * listed.count()).bit_length()))
+    place = lambda k, m: F.pmod(F.xxhash64(k, m), F.lit(1 << bits)) + 1
+    spots = listed.select(place(F.col("__k"), F.col("__m")).alias("p"))
+    blocks = spots.groupBy(F.bitmap_bucket_number("p").alias("__block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    rows = docs.withColumn("__mark", mark).withColumn("__p", place(quoted(key), F.col("__mark")))
+    rows = rows.withColumn("__block_of", F.bitmap_bucket_number("__p")).join(F.broadcast(blocks), F.col("__block_of") == F.col("__block"), "left")
+    bit = F.bitmap_bit_position("__p").cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(bit, 3) + 1, 1)), 16, 10).cast("int")
+    held = F.coalesce(F.expr("__byte >> (__bit & 7) & 1 = 1"), F.lit(False))
+    rows = rows.withColumn("__bit", bit).withColumn("__byte", byte).withColumn("__held", held)
+    sure = rows.filter(~F.col("__held")).select(*docs.columns)
+    asked = rows.filter("__held").select(*docs.columns, "__mark").join(listed, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__mark") == F.col("__m")), "left")
+    clear = asked.filter(F.col("once").isNull()).select(*docs.columns)
+    single = asked.filter("once").dropDuplicates([key, "__mark"]).select(*docs.columns)
+    out = sure.unionByName(clear).unionByName(single)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
