@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import materialized as checkpointed  # noqa: F401
+
 #: Rows that Python code holds as objects at one time.
 SLICE_ROWS = 256
 
@@ -19,22 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back, so that a lost executor costs no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; a local session that names none gets a temporary one.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

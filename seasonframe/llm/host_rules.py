@@ -96,18 +96,13 @@ def host_verdicts(counted: DataFrame, host: str, max_rate: float = 0.5) -> DataF
 def apply_quality_rules(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, max_rate: float = 0.5) -> DataFrame:
     """Add the counts, ``base_failed``, ``host_rate`` and ``kept`` to every row.
 
-    Where the text is not kept, the counts are written once and read twice (for the hosts, for the answer). Where
-    it is, texts are read twice rather than written or shuffled.
+    Texts are counted once: the counts, and the columns to keep, are written and read twice (for the hosts, for the
+    answer).
     """
     wanted = docs.columns if keep is None else keep
     used = list(dict.fromkeys([*wanted, host]))
-    counted = count_text_rules(docs, text, used).withColumn("base_failed", base_failed())
-    if text in used:
-        verdicts = host_verdicts(count_text_rules(docs, text, [host]).withColumn("base_failed", base_failed()), host, max_rate)
-    else:
-        counted = checkpointed(counted)
-        verdicts = host_verdicts(counted, host, max_rate)
-    verdicts = verdicts.select(F.col("host").alias("__host"), "host_rate", "host_passed")
+    counted = checkpointed(count_text_rules(docs, text, used).withColumn("base_failed", base_failed()))
+    verdicts = host_verdicts(counted, host, max_rate).select(F.col("host").alias("__host"), "host_rate", "host_passed")
     # a table of hosts is sent to every executor only where it is small; else the rows are shuffled by host
     if (verdicts.agg(F.sum(F.length("__host") + 32).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:
         verdicts = F.broadcast(verdicts)

@@ -558,3 +558,25 @@ def test_sizes_against_separate_calls(spark, words):
         best, other = sorted(sizes.values())
         assert sizes[got[k]["lang_pred"]] == best and abs(got[k]["margin"] - (other - best) / other) < 1e-12 and got[k]["rejected"] == (got[k]["margin"] < 0.01)
     assert np.mean([got[r[0]]["lang_pred"] == r[2] for r in rows]) >= 0.95
+
+
+# --- what is shuffled
+
+
+@pytest.mark.parametrize("bits", [27, 3])
+def test_dropping_near_duplicates_keeps_all_others(spark, prose, bits):
+    """With a filter that is nearly empty, and with one that is full."""
+    texts = [prose(30) for _ in range(40)]
+    rows = [(k, texts[k % 40] if k < 60 else prose(25), "en", "s", k) for k in range(90)]
+    rows += [(0, texts[0], "en", "s", 0), (0, texts[0], "de", "t", 1), (None, texts[1], "en", "s", 0), (None, "alone among all", "en", "s", 0), (None, "alone among all", "en", "s", 0), (7, prose(33), "en", "s", 7), (200, None, "en", "s", 0), (201, "", "en", "s", 0)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), filter_bits=bits).collect()
+    prints = [brute_fingerprint(r[1]) for r in rows]
+    roots = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    want = []
+    for root in set(roots):
+        members = [rows[k] for k in range(len(rows)) if roots[k] == root]
+        least = min(((r[0] is None, r[0] or 0) for r in members))
+        want.append((None if least[0] else least[1], {r[1] for r in members if (r[0] is None, r[0] or 0) == least}))
+    assert len(got) == len(want) and Counter(r["doc_id"] for r in got) == Counter(w[0] for w in want)
+    for r in got:
+        assert any(r["doc_id"] == k and r["text"] in t for k, t in want)
