@@ -243,10 +243,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
     """One row a match: the key, ``license``, ``template``, ``coverage`` (share of the template's words matched in
     order), ``matched_words``, ``edits``, and the span's ``start`` and ``end`` in characters.
 
-    Templates are parameters of the call and go to every task.
+    Templates are parameters of the call and go to every task. A document key with the name of another output is
+    called ``document_`` and that name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(TemplateIndex(templates or default_templates(), min_coverage))
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *T._parse_datatype_string("license string, template string, coverage double, matched_words int, edits int, start int, end int").fields])
+    outputs = ("license", "template", "coverage", "matched_words", "edits", "start", "end")
+    name = f"document_{key}" if key.lower() in outputs else key
+    schema = T.StructType([T.StructField(name, docs.schema[key].dataType), *T._parse_datatype_string("license string, template string, coverage double, matched_words int, edits int, start int, end int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -261,4 +264,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
                     columns = [batch.column(0).take(pa.array(row))] + [pa.array(c, f.type) for c, f in zip(rest, list(made)[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=made.names)
 
-    return docs.select(quoted(key), quoted(text)).mapInArrow(run, schema)
+    return docs.select(quoted(key).alias("k"), quoted(text).alias("t")).mapInArrow(run, schema)

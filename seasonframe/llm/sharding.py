@@ -8,6 +8,9 @@ Equal texts take the metadata of their first row (least key) and so have one pla
 key order the rows within a place. A group of copies is one contiguous run: it lies in one shard but where a cut
 falls, as it must for groups larger than a shard.
 
+What is coarse is placement alone: a text dimension is read by the seven bytes after the prefix that all its values
+share, so values alike in them are one step; a dimension has at most 2^bits - 1 steps beside null.
+
 Defined results: null metadata come first in their dimension; a null text has size 8 and the CRC of the empty
 text; rows with a null key come first among their copies; repeated rows take neighbouring slots; an empty table
 gives an empty one; columns of the input with an output's name give way to the output.
@@ -95,7 +98,10 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", tex
 
     def cell(k: int) -> Column:
         """0 for null, else the number of distinct cuts below the value, and one."""
-        below = [F.when(F.col(f"__n{k}") > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts[k] or []))[: cells - 2]]
+        distinct = sorted(set(cuts[k] or []))
+        if len(distinct) == cells - 1:  # one step is for nulls: the middle cut goes
+            del distinct[len(distinct) // 2]
+        below = [F.when(F.col(f"__n{k}") > F.lit(c), 1).otherwise(0) for c in distinct]
         return F.when(F.col(f"__n{k}").isNull(), 0).otherwise(sum(below, F.lit(1)))
 
     def place(*coordinates: pd.Series) -> pd.Series:
@@ -125,7 +131,15 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", tex
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", **options) -> None:
-    """Write the rows of ``docs`` below ``path``, one folder a shard; keys must be distinct and not null."""
-    shards = hilbert_shards(docs, key=key, **options).select(F.col(key).alias("__key"), "shard")
+    """Write the rows of ``docs`` below ``path``, one folder a shard, each file in the order of the slots.
+
+    Keys must be distinct and not null, which is checked. Texts are shuffled once to meet their shards by key, and
+    once more to be written in curve order.
+    """
+    shards = checkpointed(hilbert_shards(docs, key=key, **options).select(F.col(key).alias("__key"), "shard", F.col("slot").alias("__slot")))
+    wrong = shards.groupBy("__key").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("__key").isNull())
+    if wrong.head(1):
+        raise ValueError(f"{key} is null or repeated")
     rows = docs.drop("shard").join(shards, quoted(key) == F.col("__key")).drop("__key")
+    rows = rows.repartitionByRange("shard", "__slot").sortWithinPartitions("shard", "__slot").drop("__slot")
     rows.write.partitionBy("shard").mode("overwrite").parquet(path)
