@@ -2,12 +2,13 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seasonframe.llm import licenses, quality_model, sharding, toxicity
+from seasonframe.llm import decontam, licenses, quality_model, sharding, toxicity
 from seasonframe.llm.queries import QUERIES
 
 from .conftest import SCHEMA, rows_of
@@ -121,13 +122,42 @@ def test_hilbert_places_by_recursion(bits):
     assert got in ways
 
 
-def test_written_shards_refuse_keys_that_name_no_row(spark, tmp_path):
-    for ids in ([1, 1], [1, None]):
-        with pytest.raises(ValueError):
-            sharding.write_shards(spark.createDataFrame([(k, "t", "en", "s", 1) for k in ids], SCHEMA), str(tmp_path / "x"))
+def test_written_shards_keep_rows_of_null_and_repeated_keys(spark, edge_rows, tmp_path):
+    rows = [*edge_rows * 3, *[(None, "one text", "en", "s", 1)] * 90]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("slot", F.lit("x")).withColumn("Shard", F.lit("y")).repartition(5)
+    sharding.write_shards(docs, str(tmp_path / "x"), n_shards=7)
+    back = spark.read.parquet(str(tmp_path / "x"))
+    assert set(back.columns) == {"doc_id", "text", "lang", "source", "n_chars", "slot", "shard"}
+    assert Counter(tuple(r) for r in back.select("doc_id", "text", "lang", "source", "n_chars").collect()) == Counter(rows)
+    sizes = [r["count"] for r in back.groupBy("shard").count().collect()]
+    assert len(sizes) == 7 and max(sizes) - min(sizes) <= 1
+    wanted = Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in sharding.hilbert_shards(docs, 7).collect())
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    assert Counter(tuple(r) for r in back.select("doc_id", crc, "shard").collect()) == wanted
+
+
+def test_rows_alike_are_sorted_by_several_tasks(spark):
+    docs = spark.createDataFrame([(None, "one text", "en", "s", 1)] * 4000, SCHEMA)
+    placed = sharding._curve_places(docs, "doc_id", "text", ("source", "lang"), 5)
+    order = ["curve", "__text", "__key", "__tie"]
+    parts = placed.repartitionByRange(4, *order).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1
+    got = sharding.hilbert_shards(docs, 3).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s, n in enumerate((1334, 1333, 1333)) for k in range(n)]
 
 
 def test_licences_of_documents_keyed_by_an_outputs_name(spark):
     docs = spark.createDataFrame(rows_of(["Released under the MIT License."]), SCHEMA).withColumnRenamed("doc_id", "license")
     (r,) = licenses.scan_licenses(docs, key="license").collect()
     assert (r["document_license"], r["license"]) == (0, "MIT")
+
+
+def test_alignment_in_pieces_of_any_size(words, monkeypatch):
+    rng = random.Random(9)
+    items = [" ".join(rng.choices(words, k=n)) for n in (6, 15, 40, 900)]
+    texts = [" ".join([*rng.choices(words, k=30), *i.split()[1:], *rng.choices(words, k=30)]) for i in items for _ in range(3)]
+    index = decontam.EditIndex(items)
+    whole = decontam._search(index, texts)
+    assert {(r[0], r[1]) for r in whole} >= {(3 * k + j, k) for k in range(4) for j in range(3)}
+    monkeypatch.setattr(decontam, "_CELLS", 1000)
+    assert decontam._search(index, texts) == whole
