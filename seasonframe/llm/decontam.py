@@ -41,6 +41,7 @@ _SAMPLES = 3
 _GROWTH = 1.5
 _COPIES = 500
 _GRAM = 8
+_CELLS = 1 << 21
 
 
 def _words(text: str) -> list[bytes]:
@@ -233,7 +234,9 @@ class EditIndex:
             n = np.maximum(np.searchsorted(first, at + longest + slack, "left") - lo, 0)
             row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             at, k = np.repeat(at, n), np.repeat(k, n)
-            for part in (slice(p, p + 4096) for p in range(0, len(row), 4096)):
+            # a few million cells at one time, however long the items are
+            size = min(4096, max(1, _CELLS // (longest + 2 * slack)))
+            for part in (slice(p, p + size) for p in range(0, len(row), size)):
                 found.append(self._align(words, at[part], k[part], row[part], first, last, longest, slack))
         if not found:
             return tuple(np.empty(0, np.int64) for _ in range(5))
