@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, host_rules, html_extract, langid, licenses, quality_model, sharding, simhash, toxicity
+from . import bpe, centroids, decontam, host_rules, html_extract, langid, licenses, line_dedup, quality_model, sharding, simhash, toxicity
 from .common import checkpointed, read_table, remainder
 
 
@@ -68,6 +68,15 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(read_table(spark, sf_dir, "embeddings"))
+
+
 def word_vocabulary(path: str | None = None) -> bpe.Vocabulary:
     """The word-end vocabulary at ``path``; that of the installed public files, if None."""
     if path is None:
@@ -78,7 +87,7 @@ def word_vocabulary(path: str | None = None) -> bpe.Vocabulary:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash, op4_bpe, op5_quality, op6_sharding, op7_host_rules, op8_html, op9_licenses, op10_langid)
+    f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash, op4_bpe, op5_quality, op6_sharding, op7_host_rules, op8_html, op9_licenses, op10_langid, op12_line_dedup, op13_centroids)
 }
 
 _OP7 = r"""
@@ -100,5 +109,30 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce(host_rate <= 0.5, true) AS kept, round(host_rate, 6) AS host_rate
 FROM based LEFT JOIN judged ON judged.source = based.source"""
 
+_OP12 = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keyed AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+frequent AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT doc_id, pos, line, coalesce(doc_id <> keeper, false) AS dropped FROM keyed LEFT JOIN frequent USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
+
+
+def _op13() -> str:
+    """Five rounds and a last assignment, unrolled."""
+    steps = ["""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, q AS c FROM v QUALIFY cluster < 40)"]
+    for k in range(6):
+        square = "list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"a{k} AS (SELECT vec_id, q, cluster, d FROM (SELECT vec_id, q, cluster, {square} AS d FROM v, c{k}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1)")
+        steps.append(f"""m{k} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM
+(SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{k}) GROUP BY ALL) GROUP BY 1)""")
+        steps.append(f"c{k + 1} AS (SELECT c{k}.cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} ON m{k}.cluster = c{k}.cluster)")
+    return ",\n".join(steps) + """
+SELECT vec_id, CAST(a5.cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a5.cluster) AS BIGINT) AS cluster_inertia,
+CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a5 JOIN c5 ON c5.cluster = a5.cluster"""
+
+
 #: The other operators have no SQL: they are tested against brute force, round trips and held-out labels.
-ORACLES: dict[str, str] = {"op7_host_rules": _OP7}
+ORACLES: dict[str, str] = {"op7_host_rules": _OP7, "op12_line_dedup": _OP12, "op13_centroids": _op13()}
