@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, decontam, host_rules, html_extract, langid, licenses, line_dedup, quality_model, sharding, simhash, toxicity
+from . import bpe, centroids, collocations, decontam, host_rules, html_extract, langid, licenses, line_dedup, quality_model, sharding, simhash, toxicity
 from .common import checkpointed, read_table, remainder
 
 
@@ -68,6 +68,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's two thousand best collocations."""
+    return collocations.mine_collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -87,7 +92,7 @@ def word_vocabulary(path: str | None = None) -> bpe.Vocabulary:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash, op4_bpe, op5_quality, op6_sharding, op7_host_rules, op8_html, op9_licenses, op10_langid, op12_line_dedup, op13_centroids)
+    f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash, op4_bpe, op5_quality, op6_sharding, op7_host_rules, op8_html, op9_licenses, op10_langid, op11_collocations, op12_line_dedup, op13_centroids)
 }
 
 _OP7 = r"""
@@ -109,6 +114,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce(host_rate <= 0.5, true) AS kept, round(host_rate, 6) AS host_rate
 FROM based LEFT JOIN judged ON judged.source = based.source"""
 
+_OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, range(1, 6) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY 1),
+candidate AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cut AS (SELECT c.lang, c.phrase, a, n, j, one.f AS l, two.f AS r, (1000 * a * n) // (one.f * two.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidate) c JOIN total ON total.lang = c.lang
+  JOIN f one ON one.lang = c.lang AND one.phrase = array_to_string(w[1:j], ' ') JOIN f two ON two.lang = c.lang AND two.phrase = array_to_string(w[j + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+free AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM candidate c WHERE c.lang = b.lang AND len(c.w) > len(string_split(b.phrase, ' '))
+  AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 100 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM free QUALIFY rank <= 2000"""
+
 _OP12 = r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 keyed AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
@@ -135,4 +157,4 @@ CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS ce
 
 
 #: The other operators have no SQL: they are tested against brute force, round trips and held-out labels.
-ORACLES: dict[str, str] = {"op7_host_rules": _OP7, "op12_line_dedup": _OP12, "op13_centroids": _op13()}
+ORACLES: dict[str, str] = {"op7_host_rules": _OP7, "op11_collocations": _OP11, "op12_line_dedup": _OP12, "op13_centroids": _op13()}
