@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import shared_folder
-from .common import checkpointed, quoted
+from .common import SLICE_ROWS, checkpointed, quoted
 
 #: Bytes of text of one language that are looked at together.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Phrases that a task holds before it counts them.
-HELD = 1 << 21
+HELD = 1 << 20
 NEVER = 255
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SEPARATORS = ".,;:!?\n\x0b\x0c\r"
@@ -109,14 +109,16 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     """The words of all rows (lang, text), some texts of one language at a time; a longer text is a slice of its own."""
     held: dict[str, list[str]] = {}
     sizes: dict[str, int] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(lang, []).append(text)
-            sizes[lang] = sizes.get(lang, 0) + len(text) + 1
-            if sizes[lang] >= SLICE_BYTES or sum(sizes.values()) >= 4 * SLICE_BYTES:
-                largest = max(sizes, key=sizes.get)
-                yield Words(largest, held.pop(largest))
-                sizes.pop(largest)
+    for whole in batches:
+        for lo in range(0, whole.num_rows, SLICE_ROWS):
+            batch = whole.slice(lo, SLICE_ROWS)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(lang, []).append(text)
+                sizes[lang] = sizes.get(lang, 0) + len(text) + 1
+                if sizes[lang] >= SLICE_BYTES or sum(sizes.values()) >= 4 * SLICE_BYTES:
+                    largest = max(sizes, key=sizes.get)
+                    yield Words(largest, held.pop(largest))
+                    sizes.pop(largest)
     for lang, texts in held.items():
         yield Words(lang, texts)
 
@@ -190,12 +192,11 @@ def _reached(state: DataFrame, bits: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _phrases(rows: DataFrame, cells, longest, max_words: int) -> DataFrame:
+def _phrases(rows: DataFrame, cells, max_words: int) -> DataFrame:
     """(lang, phrase, size, n): how often each phrase that was reached stands in a task's texts; size 0: all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Cells = cells.value
-        last: Cells = longest.value
         found: dict[tuple, list] = {}
         totals: dict[str, int] = {}
 
@@ -225,14 +226,14 @@ def _phrases(rows: DataFrame, cells, longest, max_words: int) -> DataFrame:
                 if len(at):
                     add(words, 1, at, one[at], two[at])
                 for size, at, longer, _ in _extended(words, one, table, max_words):
-                    good = (last if size == max_words else table).step(longer) != NEVER
+                    good = table.step(longer) != NEVER
                     at, longer = at[good], longer[good]
                     if len(at):
                         other = two[at]
                         for k in range(1, size):
                             other = _joined(other, two[at + k])
                         add(words, size, at, longer, other)
-                if len(found) > HELD // 16:
+                if len(found) > HELD // 32:
                     yield out(list(found.values()))
                     found.clear()
             if found:
@@ -263,7 +264,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
     texts = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/texts")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(25, max(16, (size // 32).bit_length()))
-    cells, longest = Cells(bits), Cells(bits)
+    cells = Cells(bits)
     state = spark.createDataFrame([], "hash long, size int, until int, n long, reached boolean")
     step, last_reached = 0, -shards - 1
     while step < shards or last_reached >= step - shards:
@@ -277,19 +278,17 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
         merged = spark.read.schema(merged.schema).parquet(f"{folder}/step={step}")
         if step:
             _discard(spark, f"{folder}/step={step - 1}")
-        reached = _reached(merged.filter(F.col("now") & (F.col("size") < max_words)), bits)
-        if len(reached):
-            cells.reach(reached, step)
+        now = merged.filter("now")
+        cells.reach(_reached(now, bits), step)
+        if not now.filter(F.col("size") < max_words).isEmpty():
             last_reached = step
-        longest.reach(_reached(merged.filter(F.col("now") & (F.col("size") == max_words)), bits), step)
         # a full cycle is over: whatever was reached is in the cells
         state = merged.filter(F.col("until") > step).drop("now")
         step += 1
-    sent = [spark.sparkContext.broadcast(c) for c in (cells, longest)]
-    found = _phrases(texts.select("lang", "text"), *sent, max_words).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    sent = spark.sparkContext.broadcast(cells)
+    found = _phrases(texts.select("lang", "text"), sent, max_words).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
     found = checkpointed(found.filter((F.col("n") >= min_count) | (F.col("size") == 0)))
-    for b in sent:
-        b.destroy()
+    sent.destroy()
     _discard(spark, folder)
     return found
 
