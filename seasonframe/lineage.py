@@ -77,3 +77,16 @@ def number_within(df: DataFrame, group: list[str], order: list[Column], output:
     within = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p", *group).orderBy("__k"))).withColumnRenamed("__p", "__part")
     out = within.join(carried, reduce(lambda x, y: x & y, same, F.col("__part") == F.col("__p")), "left").withColumn(output, F.col("__n") + F.coalesce("__s", F.lit(0)))
     return out.select(*[c for c in df.columns if c != output], output)
+
+
+def written(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
+    """Written as Parquet to ``path``, which takes the place of what is there, and read back with the same types."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that the library wrote; one that isn't there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs of them are held by the driver.
-MAX_ANCHORS = 200
+from ..lineage import materialized, number_rows
+from .graph import components
 
 
 def place_anchor_means(observations: DataFrame, anchors: DataFrame, place: str = "place", kind: str = "type", name: str = "name", start: str = "start", offset: str = "offset") -> DataFrame:
@@ -28,38 +28,69 @@ def anchor_pairs(means: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.anchor_type").alias("type_1"), F.col("a.anchor_name").alias("name_1"), F.col("b.anchor_type").alias("type_2"), F.col("b.anchor_name").alias("name_2"), "n_places", "mean_difference")
 
 
-def align_anchors(observations: DataFrame, anchors: DataFrame, passes: int = 10, **columns) -> DataFrame:
-    """(type, name, day): each anchor's day after the earliest one, by the differences seen at shared places.
+def shared_places(means: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, anchor_type, anchor_name), (place, a, day, k)): anchors by number, in order, and their days at the places
+    that hold k of them, two at least."""
+    several = means.groupBy("place").agg(F.count("*").alias("k")).filter("k > 1")
+    means = means.join(several, "place")
+    nodes = materialized(number_rows(means.select("anchor_type", "anchor_name").distinct(), ["anchor_type", "anchor_name"], "a"))
+    return nodes, means.join(nodes, ["anchor_type", "anchor_name"]).select("place", "a", "day", "k")
 
-    Spark reduces the observations to one row a pair of anchors (at most ``MAX_ANCHORS`` anchors, checked first); the days
-    are then spread from the anchor with most shared places, each pass setting every anchor to the mean of what its
-    neighbours say, weighted by places. Anchors that share no place with the rest have none.
+
+def solve_days(rows: DataFrame, tolerance: float = 1e-12, max_steps: int = 1000) -> DataFrame:
+    """(a, x): the days that least-squares makes of (place, a, day, k), by conjugate gradients.
+
+    Every two anchors of a place say that their days differ as they do there. The sum of all these squares is, for each
+    place, k times the squares of what the anchors' days differ by from the place's mean; so no pair is ever
+    formed. The matrix's product with x is K(a) x(a) less the sum of x over the places of a: one sum by place and one by
+    anchor a step, both combined before they are shuffled. All components are solved at once; of each, days are
+    fixed but for their origin. The steps end at a residual of ``tolerance`` of the right side's length; if it isn't
+    reached, an error says how far they came.
+    """
+    rows = materialized(rows)
+    totals = rows.groupBy("place").agg(F.sum("day").alias("all"))
+    right = rows.join(totals, "place").groupBy("a").agg(F.sum("k").cast("double").alias("weight"), F.sum(F.col("k") - 1).cast("double").alias("own"), F.sum(F.col("k") * F.col("day") - F.col("all")).alias("r"))
+    state = materialized(right.select("a", "weight", "own", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("own")).alias("p")))
+    first = state.agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("r") * F.col("p")).alias("rz")).first()
+    goal, rr, rz = tolerance**2 * (first["rr"] or 0.0), first["rr"] or 0.0, first["rz"]
+    for _ in range(max_steps):
+        if rr <= goal:
+            return state.select("a", "x")
+        by_place = rows.join(state.select("a", "p"), "a").groupBy("place").agg(F.sum("p").alias("all"))
+        by_anchor = rows.join(by_place, "place").groupBy("a").agg(F.sum("all").alias("others"))
+        # the new direction's product with the matrix; its length along the direction decides how far to go
+        moved = materialized(state.join(by_anchor, "a").withColumn("q", F.col("weight") * F.col("p") - F.col("others")).drop("others"))
+        far = rz / moved.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        moved = moved.select("a", "weight", "own", "p", (F.col("x") + far * F.col("p")).alias("x"), (F.col("r") - far * F.col("q")).alias("r"))
+        sums = moved.agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("r") * F.col("r") / F.col("own")).alias("rz")).first()
+        state = moved.select("a", "weight", "own", "x", "r", (F.col("r") / F.col("own") + (sums["rz"] / rz) * F.col("p")).alias("p"))
+        rr, rz = sums["rr"], sums["rz"]
+    raise RuntimeError(f"residual {rr**0.5:g} after {max_steps} steps; {goal**0.5:g} was asked for")
+
+
+def align_anchors(observations: DataFrame, anchors: DataFrame, tolerance: float = 1e-12, max_steps: int = 1000, **columns) -> DataFrame:
+    """(type, name, day, component): each anchor's day after the earliest one of its component, in whole days, by the
+    differences seen at shared places.
+
+    Anchors that places connect are a component, named by the number of its first anchor in order of type and name;
+    days of two components can't be compared. The days are the least-squares solution over all pairs of anchors at a
+    place, each place counting once a pair. Anchors that share no place with another one have none. There may be any
+    number of anchors: nothing of them is gathered.
     """
-    spark = observations.sparkSession
-    schema = "type string, name string, day int"
-    if anchors.select("anchor_type", "anchor_name").distinct().count() > MAX_ANCHORS:
-        raise ValueError(f"more than {MAX_ANCHORS} anchors")
-    edges: dict[tuple, dict[tuple, tuple[float, int]]] = {}
-    for p in anchor_pairs(place_anchor_means(observations, anchors, **columns)).collect():
-        a, b = (p["type_1"], p["name_1"]), (p["type_2"], p["name_2"])
-        edges.setdefault(a, {})[b] = (-p["mean_difference"], p["n_places"])
-        edges.setdefault(b, {})[a] = (p["mean_difference"], p["n_places"])
-    if not edges:
-        return spark.createDataFrame([], schema)
-    seed = min(edges, key=lambda a: (-sum(n for _, n in edges[a].values()), a))
-    days = {seed: 0.0}
-    while True:  # outwards from the seed
-        reached = {a for a in edges if a not in days and any(b in days for b in edges[a])}
-        if not reached:
-            break
-        days |= {a: _mean_of_neighbours(a, edges, days) for a in sorted(reached)}
-    for _ in range(passes):
-        days = {a: 0.0 if a == seed else (days[a] + _mean_of_neighbours(a, edges, days)) / 2 for a in days}
-    least = int(min(days.values()))
-    rows = sorted((int(d) - least, *a) for a, d in days.items())
-    return spark.createDataFrame([(t, n, d) for d, t, n in rows], schema)
-
-
-def _mean_of_neighbours(a: tuple, edges: dict, days: dict) -> float:
-    said = [(days[b] + difference, n) for b, (difference, n) in edges[a].items() if b in days]
-    return sum(d * n for d, n in said) / sum(n for _, n in said)
+    nodes, rows = shared_places(place_anchor_means(observations, anchors, **columns))
+    rows = materialized(rows)
+    first = rows.groupBy("place").agg(F.min("a").alias("b"))
+    roots = components(rows.join(first, "place").select("a", "b").distinct())
+    days = solve_days(rows, tolerance, max_steps).join(roots.select(F.col("node").alias("a"), F.col("root").alias("component")), "a")
+    days = materialized(days)
+    least = days.groupBy("component").agg(F.min("x").alias("least"))
+    # a day that is whole but for rounding is whole
+    day = F.floor(F.col("x") - F.col("least") + 1e-6).cast("int")
+    return days.join(least, "component").join(nodes, "a").select(F.col("anchor_type").alias("type"), F.col("anchor_name").alias("name"), day.alias("day"), "component")
+
+
+def largest_component(days: DataFrame) -> DataFrame:
+    """(type, name, day) of the component with most anchors; of several, the one that is named first."""
+    sizes = days.groupBy("component").agg(F.count("*").alias("n"))
+    best = sizes.orderBy(F.desc("n"), "component").limit(1)
+    return days.join(F.broadcast(best.select("component")), "component", "left_semi").select("type", "name", "day")

@@ -90,7 +90,7 @@ def load(spark: SparkSession, references: str, curated: str | None = None, as_of
     entities = named.withColumn("s", score.entity_score(F.col("best_score"), F.col("source_name"), F.col("release_year"), F.col("n_references"), F.col("patent_number"), as_of_year)).select("*", F.col("s.score").alias("score"), F.col("s.explanation").alias("score_explanation")).drop("s")
     entities = source.number_rows(entities, ["type", "name"], "entity_id")
     inferred = resolve.attach_attributes(inferred, entities, ["type", "name"], ["entity_id", "marketing_name"])
-    days = align.align_anchors(inferred, dims.anchors(spark))
+    days = align.largest_component(align.align_anchors(inferred, dims.anchors(spark)))
     report = quality.quality_report([
         quality.missing(quarantine, "unreadable document", ["file"]),
         quality.missing(unknown, "unknown source type", ["type"]),

@@ -494,30 +494,36 @@ def anchor_means(t: Star) -> DataFrame:
     return align.anchor_pairs(align.place_anchor_means(rows, part_anchors(t))).select("type_1", "type_2", "n_places", F.round("mean_difference", 6).alias("mean_difference"))
 
 
-def _alignment_sql(levels: int = 3, passes: int = 10) -> str:
-    """The spread of days unrolled: outwards from the seed level by level, then the averaging passes."""
-    mean = "sum((d.day + e.diff) * e.n) / sum(e.n)"
-    tables = [
-        f"{TYPED}",
-        "m AS (SELECT place, type, CAST(part AS VARCHAR) AS name, avg(start) AS day FROM typed JOIN anchors USING (type) WHERE part = anchor GROUP BY ALL)",
-        "p AS (SELECT x.type AS t1, x.name AS n1, y.type AS t2, y.name AS n2, count(*) AS n, avg(y.day - x.day) AS diff FROM m x JOIN m y ON x.place = y.place AND (x.type, x.name) < (y.type, y.name) GROUP BY ALL)",
-        "e AS (SELECT t2 AS t, n2 AS a, t1 AS ft, n1 AS fa, diff, n FROM p UNION ALL SELECT t1, n1, t2, n2, -diff, n FROM p)",
-        "seed AS (SELECT t, a FROM e GROUP BY t, a ORDER BY sum(n) DESC, t, a LIMIT 1)",
-        "l0 AS (SELECT t, a, CAST(0 AS DOUBLE) AS day FROM seed)",
-    ]
-    for k in range(1, levels + 1):
-        tables.append(f"l{k} AS (SELECT * FROM l{k - 1} UNION ALL SELECT e.t, e.a, {mean} FROM e JOIN l{k - 1} d ON d.t = e.ft AND d.a = e.fa WHERE NOT EXISTS (SELECT 1 FROM l{k - 1} x WHERE x.t = e.t AND x.a = e.a) GROUP BY e.t, e.a)")
-    tables.append(f"q0 AS (SELECT * FROM l{levels})")
-    for k in range(1, passes + 1):
-        tables.append(f"q{k} AS (SELECT o.t, o.a, CASE WHEN (o.t, o.a) = (SELECT (t, a) FROM seed) THEN 0 ELSE (any_value(o.day) + {mean}) / 2 END AS day FROM q{k - 1} o JOIN e ON e.t = o.t AND e.a = o.a JOIN q{k - 1} d ON d.t = e.ft AND d.a = e.fa GROUP BY o.t, o.a)")
-    return f"WITH {', '.join(tables)} SELECT t AS type, a AS name, CAST(trunc(day) - (SELECT trunc(min(day)) FROM q{passes}) AS INTEGER) AS day FROM q{passes}"
-
-
-@query(_alignment_sql())
+def _alignment_sql(anchored: str, steps: int = 300) -> str:
+    """The least-squares days by averaging passes over all pairs, to the end; components by what is reached."""
+    return f"""
+WITH RECURSIVE {anchored},
+p AS (SELECT x.type AS t1, x.name AS n1, y.type AS t2, y.name AS n2, count(*) AS n, avg(y.day - x.day) AS diff FROM m x JOIN m y ON x.place = y.place AND (x.type, x.name) < (y.type, y.name) GROUP BY ALL),
+said AS (SELECT t2 AS t, n2 AS a, t1 AS ft, n1 AS fa, diff, n FROM p UNION ALL SELECT t1, n1, t2, n2, -diff, n FROM p),
+node AS (SELECT t, a, row_number() OVER (ORDER BY t, a) AS id FROM (SELECT DISTINCT t, a FROM said)),
+e AS MATERIALIZED (SELECT x.id, y.id AS f, diff, n FROM said JOIN node x USING (t, a) JOIN node y ON y.t = ft AND y.a = fa),
+reach(id, f) AS (SELECT id, f FROM e UNION SELECT r.id, e.f FROM reach r JOIN e ON e.id = r.f),
+parts AS (SELECT id, min(f) AS component FROM reach GROUP BY 1),
+pass(step, id, day) AS (SELECT 0, id, CAST(0 AS DOUBLE) FROM node UNION ALL
+  SELECT any_value(o.step) + 1, o.id, (any_value(o.day) + sum((d.day + e.diff) * e.n) / sum(e.n)) / 2 FROM pass o JOIN e ON e.id = o.id JOIN pass d ON d.id = e.f WHERE o.step < {steps} GROUP BY o.id),
+solved AS (SELECT * FROM pass WHERE step = {steps})
+SELECT t AS type, a AS name, CAST(floor(day - min(day) OVER (PARTITION BY component) + 1e-6) AS INTEGER) AS day, component FROM solved JOIN node USING (id) JOIN parts USING (id)"""
+
+
+@query(_alignment_sql(f"{TYPED}, m AS (SELECT place, type, CAST(part AS VARCHAR) AS name, avg(start) AS day FROM typed JOIN anchors USING (type) WHERE part = anchor GROUP BY ALL)"))
 def align_anchors(t: Star) -> DataFrame:
     """Days of the types' anchors, the least part of each, by the suppliers that hold several of them."""
     rows = typed(t).withColumn("offset", F.lit(0))
-    return align.align_anchors(rows, part_anchors(t)).select("type", "name", "day")
+    return align.align_anchors(rows, part_anchors(t))
+
+
+@query(_alignment_sql(f"""{OBSERVED}, sized AS (SELECT place, part, start FROM observed WHERE part % 4 = 0 AND place % 7 = part % 7),
+m AS (SELECT place, CAST(part % 7 AS VARCHAR) AS type, CAST(part AS VARCHAR) AS name, avg(start) AS day FROM sized GROUP BY ALL)"""))
+def align_many(t: Star) -> DataFrame:
+    """Every fourth part is an anchor, seen by suppliers of its own remainder only: hundreds of anchors, in components."""
+    rows = observed(t).filter((F.col("part") % 4 == 0) & (F.col("place") % 7 == F.col("part") % 7))
+    rows = rows.select("place", (F.col("part") % 7).cast("string").alias("type"), F.col("part").cast("string").alias("name"), "start", F.lit(0).alias("offset"))
+    return align.align_anchors(rows, rows.select(F.col("type").alias("anchor_type"), F.col("name").alias("anchor_name")))
 
 
 @query("SELECT DISTINCT p_type AS anchor_type, CAST(min(p_partkey) AS VARCHAR) AS anchor_name FROM part GROUP BY p_type")

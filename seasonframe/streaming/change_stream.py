@@ -1,35 +1,29 @@
-"""A stream of user changes against a versioned table."""
+"""A stream of user changes against a table of changes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import apply_changes
+from ..operators.change_table import ChangeTable
 
 
-def version_path(folder: str, version: int) -> str:
-    return f"{folder.rstrip('/')}/version={version}"
+def start_table(rows: DataFrame, folder: str, **names) -> ChangeTable:
+    """Write the rows that the stream finds; ``names`` as in ``change_table.Names``."""
+    return ChangeTable.create(rows, folder, **names)
 
 
-def start_table(rows: DataFrame, folder: str) -> None:
-    """Write the rows that the stream's first batch finds."""
-    rows.write.mode("overwrite").parquet(version_path(folder, 0))
+def apply_stream(changes: DataFrame, folder: str, checkpoint: str, once: bool = False, keep: int = 2) -> StreamingQuery:
+    """Apply each micro-batch to the table in ``folder``.
 
-
-def apply_stream(changes: DataFrame, folder: str, checkpoint: str, once: bool = False, **options) -> StreamingQuery:
-    """Apply each micro-batch of changes: batch n reads version n of the table and writes version n + 1.
-
-    A batch that is run again after a failure writes the same version again, so that every change takes effect
-    once. Rejected changes are kept beside the version that refused them.
+    Batch numbers play no part: a batch that is run again, after a failure or under a new checkpoint, finds its changes in
+    the table and changes nothing. The last ``keep`` versions stay readable.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
-        rows = batch.sparkSession.read.parquet(version_path(folder, n))
-        kept, rejected = apply_changes(rows, batch.persist(), **options)
-        kept.write.mode("overwrite").parquet(version_path(folder, n + 1))
-        rejected.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/rejected/batch={n}")
-        batch.unpersist()
+        table = ChangeTable(batch.sparkSession, folder)
+        table.apply(batch)
+        table.clear(keep)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
