@@ -81,9 +81,9 @@ class Words:
 
 
 def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The three cells of each hash."""
-    shift = np.uint64(64 - bits)
-    return [h >> shift, (h * np.uint64(FACTORS[0])) >> shift, (h * np.uint64(FACTORS[1])) >> shift]
+    """The three cells of each hash: bits at its top, in its middle and at its end."""
+    mask = np.uint64((1 << bits) - 1)
+    return [h >> np.uint64(64 - bits), (h >> np.uint64(20)) & mask, h & mask]
 
 
 class Cells:
@@ -177,19 +177,62 @@ def _scan(shard: DataFrame, cells, step: int, shards: int, max_words: int) -> Da
     return shard.mapInArrow(run, "hash long, size int, until int, n long")
 
 
-def _reached(state: DataFrame, bits: int) -> np.ndarray:
-    """The cells of the hashes of ``state``, as bitmaps of at most as many bits as there are cells."""
+def _reached(now: DataFrame, bits: int, max_words: int) -> tuple[np.ndarray, bool]:
+    """The cells (as in ``_places``) of hashes that were reached, as bitmaps of at most as many bits as there are cells;
+    and whether one of them can be a part of something longer."""
+    mask = F.lit((1 << bits) - 1)
+    h = F.col("hash")
+    places = F.array(F.shiftrightunsigned(h, 64 - bits), F.shiftrightunsigned(h, 20).bitwiseAND(mask), h.bitwiseAND(mask))
+    spots = now.select((F.col("size") < max_words).alias("part"), F.explode(places).alias("place")).withColumn("place", F.col("place") + 1)
+    blocks = spots.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"), F.bool_or("part").alias("part")).collect()
+    found = [np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")) + (r["block"] - 1) * 32768 for r in blocks]
+    return np.concatenate(found) if found else np.zeros(0, np.int64), any(r["part"] for r in blocks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                h = batch.column(0).to_numpy().view(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(h, bits)).astype(np.int64) + 1)], names=["place"])
 
-    spots = state.select("hash").mapInArrow(run, "place long")
-    blocks = spots.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
-    found = [np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")) + (r["block"] - 1) * 32768 for r in blocks]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+class Tally:
+    """Counts of phrases by two hashes; a phrase's text is read when it is first met."""
+
+    def __init__(self):
+        self.one, self.two, self.n, self.row = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        self.rows: list[tuple[str, str, int]] = []
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def add(self, words: Words, one: np.ndarray, two: np.ndarray, size: np.ndarray, at: np.ndarray) -> None:
+        order = np.argsort(one)
+        one, two, size, at = one[order], two[order], size[order], at[order]
+        new = one[1:] != one[:-1]
+        if (~new & (two[1:] != two[:-1])).any():  # equal first hashes of different phrases lie in any order
+            order = np.lexsort((two, one))
+            one, two, size, at = one[order], two[order], size[order], at[order]
+            new = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        first = np.flatnonzero(np.r_[True, new])
+        n = np.diff(np.r_[first, len(one)])
+        one, two, size, at = one[first], two[first], size[first], at[first]
+        place = np.searchsorted(self.one, one)
+        known = np.zeros(len(one), bool)
+        inside = place < len(self.one)
+        known[inside] = (self.one[place[inside]] == one[inside]) & (self.two[place[inside]] == two[inside])
+        self.n[place[known]] += n[known]  # each phrase once
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            start = len(self.rows)
+            self.rows += [(words.lang, words.phrase(k, s), s) for k, s in zip(at[fresh].tolist(), size[fresh].tolist(), strict=True)]
+            self.one, self.two, self.n = np.r_[self.one, one[fresh]], np.r_[self.two, two[fresh]], np.r_[self.n, n[fresh]]
+            self.row = np.r_[self.row, np.arange(start, len(self.rows))]
+            order = np.lexsort((self.two, self.one))
+            self.one, self.two, self.n, self.row = (x[order] for x in (self.one, self.two, self.n, self.row))
+
+    def batch(self) -> pa.RecordBatch:
+        lang, phrase, size = zip(*self.rows, strict=True)
+        n = np.empty(len(self.rows), np.int64)
+        n[self.row] = self.n
+        return _counts(lang, phrase, size, n)
+
+
+def _counts(lang, phrase, size, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "size", "n"])
 
 
 def _phrases(rows: DataFrame, cells, max_words: int) -> DataFrame:
@@ -197,25 +240,7 @@ def _phrases(rows: DataFrame, cells, max_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Cells = cells.value
-        found: dict[tuple, list] = {}
-        totals: dict[str, int] = {}
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            lang, phrase, size, n = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "size", "n"])
-
-        def add(words: Words, size: int, at: np.ndarray, h: np.ndarray, other: np.ndarray) -> None:
-            order = np.lexsort((other, h))
-            h, other, at = h[order], other[order], at[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (other[1:] != other[:-1])])
-            counts = np.diff(np.r_[first, len(h)])
-            for a, b, k, n in zip(h[first].tolist(), other[first].tolist(), at[first].tolist(), counts.tolist(), strict=True):
-                entry = found.get((a, b, size))
-                if entry is None:
-                    found[a, b, size] = [words.lang, words.phrase(k, size), size, n]
-                else:
-                    entry[3] += n
-
+        tally, totals = Tally(), {}
         with np.errstate(over="ignore"):
             for words in _slices(batches):
                 if not len(words):
@@ -223,23 +248,23 @@ def _phrases(rows: DataFrame, cells, max_words: int) -> DataFrame:
                 totals[words.lang] = totals.get(words.lang, 0) + len(words)
                 one, two = words.hashes(0), words.hashes(1)
                 at = np.flatnonzero(table.step(one) != NEVER)
-                if len(at):
-                    add(words, 1, at, one[at], two[at])
+                found = [(one[at], two[at], 1, at)]
                 for size, at, longer, _ in _extended(words, one, table, max_words):
                     good = table.step(longer) != NEVER
                     at, longer = at[good], longer[good]
-                    if len(at):
-                        other = two[at]
-                        for k in range(1, size):
-                            other = _joined(other, two[at + k])
-                        add(words, size, at, longer, other)
-                if len(found) > HELD // 32:
-                    yield out(list(found.values()))
-                    found.clear()
-            if found:
-                yield out(list(found.values()))
+                    other = two[at]
+                    for k in range(1, size):
+                        other = _joined(other, two[at + k])
+                    found.append((longer, other, size, at))
+                if sum(len(x[0]) for x in found):
+                    tally.add(words, np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), np.repeat([x[2] for x in found], [len(x[0]) for x in found]), np.concatenate([x[3] for x in found]))
+                if len(tally) > HELD // 4:
+                    yield tally.batch()
+                    tally = Tally()
+            if len(tally):
+                yield tally.batch()
             if totals:
-                yield out([(lang, "", 0, n) for lang, n in totals.items()])
+                yield _counts(list(totals), [""] * len(totals), [0] * len(totals), list(totals.values()))
 
     return rows.mapInArrow(run, "lang string, phrase string, size int, n long")
 
@@ -278,9 +303,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
         merged = spark.read.schema(merged.schema).parquet(f"{folder}/step={step}")
         if step:
             _discard(spark, f"{folder}/step={step - 1}")
-        now = merged.filter("now")
-        cells.reach(_reached(now, bits), step)
-        if not now.filter(F.col("size") < max_words).isEmpty():
+        reached, longer = _reached(merged.filter("now"), bits, max_words)
+        cells.reach(reached, step)
+        if longer:
             last_reached = step
         # a full cycle is over: whatever was reached is in the cells
         state = merged.filter(F.col("until") > step).drop("now")
