@@ -311,7 +311,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
         state = merged.filter(F.col("until") > step).drop("now")
         step += 1
     sent = spark.sparkContext.broadcast(cells)
-    found = _phrases(texts.select("lang", "text"), sent, max_words).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    # a task passes on each phrase once, whatever it reads: few and large tasks combine more
+    wide = texts.select("lang", "text").coalesce(2 * spark.sparkContext.defaultParallelism)
+    found = _phrases(wide, sent, max_words).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
     found = checkpointed(found.filter((F.col("n") >= min_count) | (F.col("size") == 0)))
     sent.destroy()
     _discard(spark, folder)
