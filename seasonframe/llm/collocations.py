@@ -32,7 +32,7 @@ from .common import SLICE_ROWS, checkpointed, quoted
 #: Bytes of text of one language that are looked at together.
 SLICE_BYTES = 1 << 20
 #: Phrases that a task holds before it counts them.
-HELD = 1 << 20
+HELD = 1 << 19
 NEVER = 255
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SEPARATORS = ".,;:!?\n\x0b\x0c\r"
@@ -258,7 +258,7 @@ def _phrases(rows: DataFrame, cells, max_words: int) -> DataFrame:
                     found.append((longer, other, size, at))
                 if sum(len(x[0]) for x in found):
                     tally.add(words, np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), np.repeat([x[2] for x in found], [len(x[0]) for x in found]), np.concatenate([x[3] for x in found]))
-                if len(tally) > HELD // 4:
+                if len(tally) > HELD // 2:
                     yield tally.batch()
                     tally = Tally()
             if len(tally):
@@ -288,7 +288,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
     rows.withColumn("shard", F.monotonically_increasing_id() % shards).write.partitionBy("shard").parquet(f"{folder}/texts")
     texts = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/texts")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(25, max(16, (size // 32).bit_length()))
+    bits = min(25, max(16, (size // 64).bit_length()))
     cells = Cells(bits)
     state = spark.createDataFrame([], "hash long, size int, until int, n long, reached boolean")
     step, last_reached = 0, -shards - 1
