@@ -1,11 +1,11 @@
 """Toxicity by subword bags.
 
-A word is the mean of the vectors of its character n-grams, a passage of a few words the mean of its words, and a
-linear softmax on it tells the classes apart; n-gram vectors and softmax are trained jointly in numpy. Misspelt
-or unseen words score through the n-grams that they share with seen ones. A document is as toxic as its most
-toxic passage: labels hold for documents, so training starts from random passages of labelled documents and goes
-on with the passage that each document scores highest. The passage score is turned into a probability by a
-logistic curve fitted on rows that were not used for the vectors.
+A word is the mean of the vectors of its character n-grams, a document the mean of its words, and a linear softmax on that
+mean times the number of words tells the classes apart; n-gram vectors and softmax are trained jointly in numpy, over the
+bags of whole documents. Misspelt or unseen words score through the n-grams that they share with seen ones. Only n-grams
+that stand clearly more or less often in one class than chance has it carry a vector: the others would learn
+their documents by heart. The document's logit is turned into a score by a logistic curve fitted on rows that were
+not used for the vectors, at a share of toxic rows of ``CURVE_SHARE``.
 
 Defined results: null and empty texts score 0; a training set that lacks a class gives that class's share to every
 text; repeated rows score alike; columns of the input with an output's name give way to the output.
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, quoted
 
-PASSAGE = 2
-STRIDE = 1
-BATCH = 64
+#: The share of toxic rows that the curve reckons with: a missed one costs more than a false alarm.
+CURVE_SHARE = 0.3
 _SIZES = (3, 4, 5, 6)
 _BITS = 18
-_CACHE = 400_000
+#: Bytes of words whose scores a task keeps.
+_CACHE_BYTES = 32 << 20
 
 
 def _ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,7 @@ def _split(text: str) -> list[bytes]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """One number a bucket (vector times softmax weights), the bias, and the logistic curve on the top passage."""
+    """One number a bucket (vector times softmax weights), and the logistic curve on a document's logit."""
 
     weights: np.ndarray
     bias: float
@@ -69,23 +69,15 @@ class ToxicityModel:
     offset: float
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
+        """Each word's share in the logit: the mean over its n-grams."""
         bucket, count = _ngrams(words)
         total = np.bincount(np.repeat(np.arange(len(words)), count), self.weights[bucket], minlength=len(words))
         return total / np.maximum(count, 1)
 
-
-def _passages(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the passages of a text of n words: every word lies in one at least."""
-    if n <= PASSAGE:
-        return np.zeros(1, np.int64), np.full(1, n)
-    lo = np.append(np.arange(0, n - PASSAGE, STRIDE), n - PASSAGE)
-    return lo, lo + PASSAGE
-
-
-def _passage_scores(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lo, hi = _passages(len(scores))
-    total = np.append(0.0, np.cumsum(scores))
-    return lo, hi, (total[hi] - total[lo]) / (hi - lo)
+    def probability(self, mean: float, n_words: int) -> float:
+        """The score of a document of n words with that mean of word scores."""
+        logit = n_words * mean + self.bias
+        return float(1 / (1 + np.exp(-np.clip(self.slope * logit + self.offset, -500, 500))))
 
 
 def _fit_curve(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -101,90 +93,81 @@ def _fit_curve(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
     return float(w[0] / scale), float(w[1] - w[0] * shift / scale)
 
 
-def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epochs: int = 16, rate: float = 0.5, seed: int = 7) -> ToxicityModel:
+def telling_ngrams(bucket: np.ndarray, count: np.ndarray, counts: np.ndarray, least: float, most: int) -> np.ndarray:
+    """The buckets of n-grams whose words stand in one class more often than chance, by ``least`` standard deviations; of
+    more than ``most``, those with the greatest deviation.
+
+    ``counts``: how often each word stands in the two classes.
+    """
+    owner = np.repeat(np.arange(len(count)), count)
+    pair = np.unique(owner * (1 << _BITS) + bucket)  # an n-gram counts once a word
+    word, gram = pair >> _BITS, pair & ((1 << _BITS) - 1)
+    seen = np.stack([np.bincount(gram, counts[c][word], minlength=1 << _BITS) for c in (0, 1)])
+    share = counts[1].sum() / counts.sum()
+    chance = seen.sum(axis=0) * share
+    far = np.abs(seen[1] - chance) / np.sqrt(chance * (1 - share) + 1e-9)
+    return np.sort(np.argsort(-far, kind="stable")[: min(most, int((far > least).sum()))])
+
+
+def _bags(docs: list[np.ndarray], bucket: np.ndarray, count: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Documents by n-grams: a document's mean over its words' means, times its number of words."""
+    at = np.flatnonzero(np.isin(bucket, grams))
+    word, gram = np.repeat(np.arange(len(count)), count)[at], np.searchsorted(grams, bucket[at])
+    first = np.searchsorted(word, np.arange(len(count) + 1))
+    out = np.zeros((len(docs), len(grams)), np.float32)
+    for k, doc in enumerate(docs):
+        w, times = np.unique(doc, return_counts=True)
+        n = first[w + 1] - first[w]
+        spot = np.repeat(first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[k] = np.bincount(gram[spot], np.repeat(times / count[w], n), minlength=len(grams))
+    return out
+
+
+def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epochs: int = 400, rate: float = 0.3, seed: int = 7, least: float = 6.0, most: int = 4096) -> ToxicityModel:
     """Train on whole sampled texts; ``prior`` is the share of label 1 among all labelled rows."""
     rng = np.random.default_rng(seed)
-    zero = np.zeros(1 << _BITS)
+    weights = np.zeros(1 << _BITS)
     ids: dict[bytes, int] = {}
     docs = [np.array([ids.setdefault(w, len(ids)) for w in _split(t)], np.int64) for t in texts]
     use = np.array([k for k, d in enumerate(docs) if len(d)], np.int64)
     if not len(use) or len(set(labels[use].tolist())) < 2:
-        return ToxicityModel(zero, 0.0, 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
+        return ToxicityModel(weights, 0.0, 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
     bucket, count = _ngrams(list(ids))
-    first = np.cumsum(count) - count
     held = rng.random(len(use)) < 0.25
     if len(set(labels[use[held]].tolist())) < 2 or len(set(labels[use[~held]].tolist())) < 2:
         held[:] = False
-    fit = use[~held]
-    vectors = rng.normal(0, 0.1, (1 << _BITS, dim))
-    soft = rng.normal(0, 0.1, (dim, 2))
-    bias = np.zeros(2)
-    seen_v, seen_s, seen_b = np.full(vectors.shape, 1e-6), np.full(soft.shape, 1e-6), np.full(2, 1e-6)
-
-    # n-grams of label-1 documents beyond chance point at the first passages to learn from
-    df = np.zeros((2, 1 << _BITS))
-    for k in fit:
-        word = np.unique(docs[k])
-        n = count[word]
-        grams = bucket[np.repeat(first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        df[int(labels[k]), np.unique(grams)] += 1
-    size = np.bincount(labels[fit], minlength=2).astype(float)[:, None]
-    pooled = df.sum(axis=0) / size.sum()
-    z = (df[1] / size[1] - df[0] / size[0]) / np.sqrt(pooled * (1 - pooled) * (1 / size).sum() + 1e-9)
-    told = np.maximum.reduceat(np.append(z[bucket], 0.0), first)
-
-    def word_scores() -> np.ndarray:
-        return np.add.reduceat(np.append((vectors @ (soft[:, 1] - soft[:, 0]))[bucket], 0.0), first) / np.maximum(count, 1)
-
-    for epoch in range(epochs):
-        picked = []
-        scores = word_scores() if epoch > 1 else None
-        for k in fit:
-            doc, label = docs[k], int(labels[k])
-            lo, hi = _passages(len(doc))
-            if scores is not None:
-                top = int(np.argmax(_passage_scores(scores[doc])[2]))
-            else:
-                top = min(max(int(np.argmax(told[doc])) // STRIDE - 1, 0), len(lo) - 1)
-            some = [top] if label else [top, *rng.integers(0, len(lo), 2)]
-            picked += [(doc[lo[j] : hi[j]], label) for j in some]
-        order = rng.permutation(len(picked))
-        for at in range(0, len(order), BATCH):
-            part = [picked[j] for j in order[at : at + BATCH]]
-            size = np.array([len(w) for w, _ in part])
-            y = np.array([label for _, label in part])
-            word, where = np.unique(np.concatenate([w for w, _ in part]), return_inverse=True)
-            # n-grams of the batch's distinct words
-            n = count[word]
-            spot = np.repeat(first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            of, grams = np.repeat(np.arange(len(word)), n), bucket[spot]
-            embed = np.stack([np.bincount(of, vectors[grams, d], minlength=len(word)) for d in range(dim)], axis=1) / np.maximum(n, 1)[:, None]
-            row = np.repeat(np.arange(len(part)), size)
-            mean = np.stack([np.bincount(row, embed[where, d], minlength=len(part)) for d in range(dim)], axis=1) / size[:, None]
-            logit = mean @ soft + bias
+    fit = ~held
+    y = labels[use].astype(np.int64)
+    counts = np.stack([np.bincount(np.concatenate([docs[k] for k in use[fit & (y == c)]]), minlength=len(ids)) for c in (0, 1)])
+    grams = telling_ngrams(bucket, count, counts, least, most)
+    soft, bias = rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
+    if len(grams):
+        bags = _bags([docs[k] for k in use], bucket, count, grams)[fit]
+        vectors = rng.normal(0, 0.1, (len(grams), dim))
+        values = [vectors, soft, bias]
+        seen = [np.full(v.shape, 1e-8) for v in values]
+        target = y[fit]
+        for _ in range(epochs):
+            bag = bags @ vectors.astype(np.float32)
+            logit = bag @ soft + bias
             p = np.exp(logit - logit.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            g_soft, g_bias, g_mean = mean.T @ p, p.sum(axis=0), p @ soft.T / size[:, None]
-            g_word = np.stack([np.bincount(where, g_mean[row, d], minlength=len(word)) for d in range(dim)], axis=1) / np.maximum(n, 1)[:, None]
-            used, where = np.unique(grams, return_inverse=True)
-            g_vec = np.stack([np.bincount(where, g_word[of, d], minlength=len(used)) for d in range(dim)], axis=1)
-            seen_v[used] += g_vec * g_vec
-            vectors[used] -= rate * g_vec / np.sqrt(seen_v[used])
-            for value, grad, seen in ((soft, g_soft, seen_s), (bias, g_bias, seen_b)):
-                seen += grad * grad
-                value -= 0.1 * rate * grad / np.sqrt(seen)
-    weights = vectors @ (soft[:, 1] - soft[:, 0])
-    scores = word_scores()
-    known = use[held] if held.any() else fit
-    top = np.array([_passage_scores(scores[docs[k]])[2].max() for k in known])
-    label = labels[known].astype(float)
-    # the sample holds both classes alike; the curve is weighted back to their shares
+            p[np.arange(len(target)), target] -= 1
+            p /= len(target)
+            grads = [bags.T @ (p @ soft.T).astype(np.float32), bag.T @ p, p.sum(axis=0)]
+            for value, grad, total in zip(values, grads, seen, strict=True):
+                total += grad.astype(float) ** 2
+                value -= rate * grad / np.sqrt(total)
+        weights[grams] = vectors @ (soft[:, 1] - soft[:, 0])
+    model = ToxicityModel(weights, float(bias[1] - bias[0]), 1.0, 0.0)
+    scores = model.word_scores(list(ids))
+    known = held if held.any() else fit
+    logit = np.array([scores[docs[k]].sum() for k in use[known]]) + model.bias
+    label = y[known].astype(float)
     share = label.mean()
-    weight = np.where(label > 0, prior / share, (1 - prior) / (1 - share))
-    slope, offset = _fit_curve(top, label, weight)
-    return ToxicityModel(weights, float(bias[1] - bias[0]), slope, offset)
+    weight = np.where(label > 0, CURVE_SHARE / share, (1 - CURVE_SHARE) / (1 - share))
+    slope, offset = _fit_curve(logit, label, weight)
+    return ToxicityModel(weights, model.bias, slope, offset)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1500, sample_bytes: int = 16 << 20) -> ToxicityModel:
@@ -229,22 +212,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     def make():
         model = shared.value
         cache: dict[bytes, float] = {}
+        held = 0
 
         def compute(texts):
-            nonlocal cache
+            nonlocal cache, held
             split = [_split(t) if t else [] for t in texts]
-            if len(cache) > _CACHE:
-                cache = {}
+            if held > _CACHE_BYTES:
+                cache, held = {}, 0
             new = [w for w in {w for ws in split for w in ws} if w not in cache]
             if new:
                 cache.update(zip(new, model.word_scores(new).tolist(), strict=True))
-            out = []
-            for words in split:
-                if not words:
-                    out.append(0.0)
-                    continue
-                top = _passage_scores(np.fromiter(map(cache.__getitem__, words), np.float64, len(words)))[2].max()
-                out.append(float(1 / (1 + np.exp(-np.clip(model.slope * top + model.offset, -500, 500)))))
+                held += sum(map(len, new)) + 100 * len(new)  # a word, its number and its place
+            out = [model.probability(sum(map(cache.__getitem__, words)) / len(words), len(words)) if words else 0.0 for words in split]
             return [out, [int(s >= threshold) for s in out]]
 
         return compute

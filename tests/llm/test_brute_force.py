@@ -1,5 +1,6 @@
 """Operators without SQL against plain reimplementations, and every query with the columns of its contract."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -24,7 +25,12 @@ COLUMNS = {
     "op10_langid": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op1_decontamination": {"doc_id": "bigint", "item_id": "bigint", "edits": "int"},
     "op9_licenses": {"doc_id": "bigint", "license": "string", "coverage": "double"},
+    "op11_collocations": {"lang": "string", "rank": "bigint", "phrase": "string", "a": "bigint", "l": "bigint", "r": "bigint", "n": "bigint", "score": "bigint"},
+    "op12_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
+    "op13_centroids": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
 }
+#: Enough labelled rows of each language.
+LARGER = "/root/testdata/sf0.1"
 HELD = {"op2_toxicity": (4, 2, 0.3), "op5_quality": (3, 1, 0.5), "op10_langid": (3, 1, None)}
 
 
@@ -34,7 +40,9 @@ def test_columns_of_the_contract(spark, sf_dir, name):
     kinds = dict(df.dtypes)
     assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
     rows = df.collect()
-    table, key = ("pages", "page_id") if name == "op8_html" else ("documents", "doc_id")
+    if name == "op11_collocations":
+        return
+    table, key = {"op8_html": ("pages", "page_id"), "op13_centroids": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
     ids = {r[key] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect()}
     if name in ("op1_decontamination", "op9_licenses"):
         assert {r[key] for r in rows} <= ids
@@ -47,13 +55,26 @@ def test_columns_of_the_contract(spark, sf_dir, name):
             assert threshold is None or r["predicted"] == int(r["score"] >= threshold)
 
 
-@pytest.mark.parametrize("name, label", [("op2_toxicity", "toxic"), ("op5_quality", "quality")])
-def test_held_out_labels(spark, sf_dir, name, label):
-    y = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    rows = [r for r in QUERIES[name](spark, sf_dir).collect() if r["doc_id"] in y]
+def test_held_out_quality(spark, sf_dir):
+    y = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op5_quality"](spark, sf_dir).collect() if r["doc_id"] in y]
     assert np.mean([r["predicted"] == y[r["doc_id"]] for r in rows]) >= 0.8
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs a larger table")
+def test_held_out_toxicity_of_each_language(spark):
+    """Of held-out rows: most toxic ones of every language are found, few clean ones are taken for them."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in QUERIES["op2_toxicity"](spark, LARGER).collect() if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    clean = [r["predicted"] for r in rows if labels[r["doc_id"]] == 0]
+    assert np.mean(clean) <= 0.02
+    for each in ("en", "fr", "de", "es"):
+        toxic = [r["predicted"] for r in rows if labels[r["doc_id"]] == 1 and lang[r["doc_id"]] == each]
+        found = [labels[r["doc_id"]] for r in rows if r["predicted"] and lang[r["doc_id"]] == each]
+        assert len(toxic) >= 10 and np.mean(toxic) >= 0.85 and np.mean(found) >= 0.7, each
+
+
 def test_quality_against_a_direct_solution(spark, prose):
     """The summed normal equations give the ridge regression that one matrix of all rows gives."""
     rng = random.Random(6)
@@ -77,7 +98,7 @@ def test_quality_against_a_direct_solution(spark, prose):
 
 
 def test_word_scores_by_loops():
-    """A word is the mean of its n-grams and itself, a passage the mean of its words, a document its greatest one."""
+    """A word is the mean of its n-grams and itself, a document's logit its words' mean times their number."""
     rng = np.random.default_rng(4)
     model = toxicity.ToxicityModel(rng.normal(size=1 << 18), 0.0, 1.3, -0.2)
     mask, full = (1 << 64) - 1, 1 << 18
@@ -95,8 +116,27 @@ def test_word_scores_by_loops():
 
     words = [b"a", b"toxic", b"verylongword", "é".encode()]
     assert np.allclose(model.word_scores(words), [word(w) for w in words])
-    lo, hi, scores = toxicity._passage_scores(model.word_scores(words))
-    assert np.allclose(scores, [np.mean([word(w) for w in words[k : k + 2]]) for k in range(3)]) and (hi - lo == 2).all()
+    logit = 3 * np.mean([word(w) for w in words]) + 0.5
+    assert np.isclose(toxicity.ToxicityModel(model.weights, 0.5, 1.3, -0.2).probability(float(np.mean(model.word_scores(words))), 3), 1 / (1 + np.exp(-(1.3 * logit - 0.2))))
+
+
+def test_bags_and_telling_ngrams_by_loops():
+    rng = random.Random(5)
+    words = [b"zorkish", b"zorkling", b"house", b"garden", b"tree", b"river", b"stone"]
+    docs = [np.array([rng.randrange(2, 7) for _ in range(rng.randint(1, 60))] + [0, 1] * (k % 2)) for k in range(80)]
+    bucket, count = toxicity._ngrams(words)
+    first = np.cumsum(count) - count
+    counts = np.stack([sum(np.bincount(d, minlength=7) for d in docs[c::2]) for c in (0, 1)])
+    grams = toxicity.telling_ngrams(bucket, count, counts, 5.0, 10_000)
+    own = lambda k: bucket[first[k] : first[k] + count[k]]
+    assert set(own(0)) | set(own(1)) <= set(grams) and len(toxicity.telling_ngrams(bucket, count, counts, 5.0, 3)) == 3
+    bags = toxicity._bags(docs, bucket, count, grams)
+    for d, bag in zip(docs, bags, strict=True):
+        want = np.zeros(1 << 18)
+        for w in d:
+            for b in own(w):
+                want[b] += 1 / count[w]
+        assert np.allclose(bag, want[grams], atol=1e-4)
 
 
 def hilbert_by_recursion(x, y, bits):

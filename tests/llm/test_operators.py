@@ -177,12 +177,6 @@ def test_training_reads_whole_texts(spark, words):
     assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) >= 0.9
 
 
-def test_passages_hold_every_word():
-    for n in range(1, 60):
-        lo, hi = toxicity._passages(n)
-        assert set().union(*(range(a, b) for a, b in zip(lo, hi))) == set(range(n))
-
-
 # --- 3: near-duplicates
 
 
