@@ -9,8 +9,9 @@ together, for the greatest likelihood under one rule: below a node that is dropp
 The trees learn from pages of the module's own page maker, whose number is the bound of the training sample; no
 row of the corpus is read for training.
 
-Defined results: a null or empty page and a page without main text give the empty text; an unclosed element ends
-with its parent, an unclosed comment, script or tag swallows the rest of the page; repeated rows are extracted
+Defined results: a null or empty page and a page without main text give the empty text; a page without a wrapper, or
+of bare text, is its own article; an unclosed element ends with its parent; an unclosed comment or script swallows the
+rest of the page, a tag that the page's end cuts is dropped, a quote that is never closed opens no value; repeated rows are extracted
 alike; columns of the input with an output's name give way to the output.
 """
 
@@ -27,7 +28,11 @@ from pyspark.sql import DataFrame
 
 from .common import map_columns
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: A comment ends as browsers end it, ``<!-->`` at once; what is no tag after ``</`` is a comment too.
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))"
+#: A quote opens a value only after ``=``, and only if it is closed; the end of the page ends a tag.
+_TAG = r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*)(?:>|\Z)"
+_TOKEN = re.compile(f"{_COMMENT}|{_TAG}", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKENS = re.compile(r"[a-z]+")
 _HIDDEN = {"script", "style", "template", "svg", "iframe"}
@@ -386,6 +391,23 @@ class _Maker:
             return "<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(3)) + "</table>", True
         return self.pick(["<pre>{}</pre>", "<figure><figcaption>{}</figcaption></figure>"]).format(self.words(3, 20)), True
 
+    def bare(self, mark) -> str:
+        """A page without a wrapper: text, a few blocks, or a table of columns."""
+        text = lambda: f"\x01{self.sentences(int(self.rng.integers(1, 9)))}"
+        blocks = lambda: "".join(mark(self.main_block()) for _ in range(int(self.rng.integers(1, 6))))
+        side = lambda: self.junk(self.pick(["top", "end"]))[0] if self.rng.random() < 0.4 else ""
+        shapes = {
+            "text": text,
+            "broken": lambda: "<br>".join(text() for _ in range(3)),
+            "paragraph": lambda: f"<p>{text()}</p>",
+            "blocks": lambda: side() + blocks() + side(),
+            "mixed": lambda: text() + blocks() + text(),
+            "columns": lambda: f"<table><tr><td>{self.links()}</td><td>{blocks()}</td></tr></table>",
+            "cells": lambda: "<table>" + "".join(f"<tr><td>{text()}</td><td>{text()}</td></tr>" for _ in range(3)) + "</table>",
+        }
+        page = shapes[self.pick(list(shapes))]()
+        return self.pick(["{}", "{}", "<body>{}</body>", "<html><body>{}</body></html>", "<!doctype html><title>x</title>{}"]).replace("{}", page)
+
     def page(self) -> str:
         """Kept blocks stand between the control characters 1 and 2, which no tag hides."""
         rng = self.rng
@@ -394,6 +416,8 @@ class _Maker:
         def mark(block: tuple[str, bool]) -> str:
             return re.sub(r">([^<]+)", lambda m: f">\x01{m[1]}" if m[1].strip() else m[0], block[0]) if block[1] else block[0]
 
+        if rng.random() < 0.05:
+            return self.bare(mark)
         title = self.words(1, 9)
         blocks = [(self.pick([f"<h1>{title}</h1>", f"<h1 class='title'>{title}</h1>", f"<header><h1>{title}</h1></header>", f"<h2>{title}</h2>"]), True)] if rng.random() < 0.85 else []
         blocks += [self.main_block() for _ in range(int(rng.integers(1, 3 if rng.random() < 0.3 else 12)))]
@@ -401,7 +425,9 @@ class _Maker:
             blocks.insert(int(rng.integers(0, len(blocks) + 1)), self.junk("in"))
         opening = self.pick(["article", "article", "article", "main", self.named("div", ["content", "post", "entry", "entry-content", "article", "article-body", "story", "main", "main-content", "text", "prose", "blog-post", "page-content", "news"]), self.named("section", ["content", "post-body", "story"]), "div"])
         body = f"<{opening}>" + "".join(map(mark, blocks)) + f"</{opening.split()[0]}>"
-        if rng.random() < 0.25:
+        if rng.random() < 0.06:  # blocks that nothing holds together
+            body = "".join(map(mark, blocks))
+        elif rng.random() < 0.25:
             body = f"<main>{body}</main>" if "main" not in opening else f"<div>{body}</div>"
         top = "".join(mark(self.junk("top")) for _ in range(int(rng.integers(0, 5))))
         end = "".join(mark(self.junk("end")) for _ in range(int(rng.integers(0, 5))))
