@@ -14,6 +14,7 @@ text; repeated rows score alike; columns of the input with an output's name give
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,27 +94,40 @@ def _fit_curve(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
     return float(w[0] / scale), float(w[1] - w[0] * shift / scale)
 
 
-def telling_ngrams(bucket: np.ndarray, count: np.ndarray, counts: np.ndarray, least: float, most: int) -> np.ndarray:
+def _ngrams_in_parts(words: list[bytes], part: int = 10_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first word, buckets, counts) of some words at a time: n-grams take far more memory than their words."""
+    for at in range(0, len(words), part):
+        yield (at, *_ngrams(words[at : at + part]))
+
+
+def telling_ngrams(words: list[bytes], counts: np.ndarray, least: float, most: int) -> np.ndarray:
     """The buckets of n-grams whose words stand in one class more often than chance, by ``least`` standard deviations; of
     more than ``most``, those with the greatest deviation.
 
     ``counts``: how often each word stands in the two classes.
     """
-    owner = np.repeat(np.arange(len(count)), count)
-    pair = np.unique(owner * (1 << _BITS) + bucket)  # an n-gram counts once a word
-    word, gram = pair >> _BITS, pair & ((1 << _BITS) - 1)
-    seen = np.stack([np.bincount(gram, counts[c][word], minlength=1 << _BITS) for c in (0, 1)])
+    seen = np.zeros((2, 1 << _BITS))
+    for at, bucket, count in _ngrams_in_parts(words):
+        for c in (0, 1):
+            seen[c] += np.bincount(bucket, np.repeat(counts[c][at : at + len(count)], count), minlength=1 << _BITS)
     share = counts[1].sum() / counts.sum()
     chance = seen.sum(axis=0) * share
     far = np.abs(seen[1] - chance) / np.sqrt(chance * (1 - share) + 1e-9)
     return np.sort(np.argsort(-far, kind="stable")[: min(most, int((far > least).sum()))])
 
 
-def _bags(docs: list[np.ndarray], bucket: np.ndarray, count: np.ndarray, grams: np.ndarray) -> np.ndarray:
+def _bags(docs: list[np.ndarray], words: list[bytes], grams: np.ndarray) -> np.ndarray:
     """Documents by n-grams: a document's mean over its words' means, times its number of words."""
-    at = np.flatnonzero(np.isin(bucket, grams))
-    word, gram = np.repeat(np.arange(len(count)), count)[at], np.searchsorted(grams, bucket[at])
-    first = np.searchsorted(word, np.arange(len(count) + 1))
+    column = np.full(1 << _BITS, -1, np.int32)
+    column[grams] = np.arange(len(grams))
+    owners, grams_of, counts = [], [], []
+    for at, bucket, count in _ngrams_in_parts(words):
+        here = column[bucket]
+        owners.append(np.repeat(np.arange(at, at + len(count)), count)[here >= 0])
+        grams_of.append(here[here >= 0])
+        counts.append(count)
+    word, gram, count = np.concatenate(owners), np.concatenate(grams_of), np.concatenate(counts)
+    first = np.searchsorted(word, np.arange(len(words) + 1))
     out = np.zeros((len(docs), len(grams)), np.float32)
     for k, doc in enumerate(docs):
         w, times = np.unique(doc, return_counts=True)
@@ -123,7 +137,7 @@ def _bags(docs: list[np.ndarray], bucket: np.ndarray, count: np.ndarray, grams:
     return out
 
 
-def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epochs: int = 400, rate: float = 0.3, seed: int = 7, least: float = 6.0, most: int = 4096) -> ToxicityModel:
+def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epochs: int = 400, rate: float = 0.3, seed: int = 7, least: float = 6.0, most: int = 2048) -> ToxicityModel:
     """Train on whole sampled texts; ``prior`` is the share of label 1 among all labelled rows."""
     rng = np.random.default_rng(seed)
     weights = np.zeros(1 << _BITS)
@@ -132,17 +146,17 @@ def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8,
     use = np.array([k for k, d in enumerate(docs) if len(d)], np.int64)
     if not len(use) or len(set(labels[use].tolist())) < 2:
         return ToxicityModel(weights, 0.0, 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    bucket, count = _ngrams(list(ids))
+    words = list(ids)
     held = rng.random(len(use)) < 0.25
     if len(set(labels[use[held]].tolist())) < 2 or len(set(labels[use[~held]].tolist())) < 2:
         held[:] = False
     fit = ~held
     y = labels[use].astype(np.int64)
     counts = np.stack([np.bincount(np.concatenate([docs[k] for k in use[fit & (y == c)]]), minlength=len(ids)) for c in (0, 1)])
-    grams = telling_ngrams(bucket, count, counts, least, most)
+    grams = telling_ngrams(words, counts, least, most)
     soft, bias = rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
     if len(grams):
-        bags = _bags([docs[k] for k in use], bucket, count, grams)[fit]
+        bags = _bags([docs[k] for k in use[fit]], words, grams)
         vectors = rng.normal(0, 0.1, (len(grams), dim))
         values = [vectors, soft, bias]
         seen = [np.full(v.shape, 1e-8) for v in values]
@@ -160,7 +174,7 @@ def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8,
                 value -= rate * grad / np.sqrt(total)
         weights[grams] = vectors @ (soft[:, 1] - soft[:, 0])
     model = ToxicityModel(weights, float(bias[1] - bias[0]), 1.0, 0.0)
-    scores = model.word_scores(list(ids))
+    scores = np.concatenate([model.word_scores(words[at : at + 10_000]) for at in range(0, len(words), 10_000)])
     known = held if held.any() else fit
     logit = np.array([scores[docs[k]].sum() for k in use[known]]) + model.bias
     label = y[known].astype(float)

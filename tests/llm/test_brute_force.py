@@ -127,10 +127,10 @@ def test_bags_and_telling_ngrams_by_loops():
     bucket, count = toxicity._ngrams(words)
     first = np.cumsum(count) - count
     counts = np.stack([sum(np.bincount(d, minlength=7) for d in docs[c::2]) for c in (0, 1)])
-    grams = toxicity.telling_ngrams(bucket, count, counts, 5.0, 10_000)
+    grams = toxicity.telling_ngrams(words, counts, 5.0, 10_000)
     own = lambda k: bucket[first[k] : first[k] + count[k]]
-    assert set(own(0)) | set(own(1)) <= set(grams) and len(toxicity.telling_ngrams(bucket, count, counts, 5.0, 3)) == 3
-    bags = toxicity._bags(docs, bucket, count, grams)
+    assert set(own(0)) | set(own(1)) <= set(grams) and len(toxicity.telling_ngrams(words, counts, 5.0, 3)) == 3
+    bags = toxicity._bags(docs, words, grams)
     for d, bag in zip(docs, bags, strict=True):
         want = np.zeros(1 << 18)
         for w in d:
