@@ -47,7 +47,10 @@ def asof_lookup(df: DataFrame, key: str, breakpoints: DataFrame, start: str, val
 
     A short table without groups is read to the driver, its count checked, and searched in each row. Another one is
     merged by one sort: rows and breakpoints go by ranges of group and key to the partitions, the last breakpoint of
-    each partition is carried to the next ones as one row a partition, so that no group has to fit in one task.
+    each partition is carried to the next ones as one row a partition, so that no group has to fit in one task. Rows with
+    a null in ``by`` are a group like any other, and take the breakpoints that have the null too.
+
+    Only a number of each row, its group and its key are sorted; the rows meet their value by that number.
     """
     kind = breakpoints.schema[value].dataType
     if not by:
@@ -61,29 +64,35 @@ def asof_lookup(df: DataFrame, key: str, breakpoints: DataFrame, start: str, val
             return _asof_intervals(df, key, rows, (breakpoints.schema[start].dataType, kind), output)
     by = by or []
     marks = breakpoints.filter(F.col(start).isNotNull()).select(*by, F.col(start).alias("__k"), F.col(value).alias("__v"), F.lit(0).alias("__side"))
-    rows = df.withColumn("__row", F.struct(*df.columns)).select(*by, F.col(key).alias("__k"), F.lit(None).cast(kind).alias("__v"), F.lit(1).alias("__side"), "__row")
-    both = marks.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)).unionByName(rows)
-    order = [*by, "__k", "__side"]
-    placed = materialized(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
-    mark = F.struct(*by, "__k", "__v")
+    names = [f"__g{k}" for k in range(len(by))]
+    groups = [F.col(c).alias(n) for c, n in zip(by, names, strict=True)]
+    # numbers have to be the same when rows are read again: written once
+    numbered = materialized(df.withColumn("__id", F.monotonically_increasing_id()))
+    rows = numbered.select(*groups, F.col(key).alias("__k"), F.lit(None).cast(kind).alias("__v"), F.lit(1).alias("__side"), "__id")
+    marks = marks.select(*groups, "__k", "__v", "__side", F.lit(None).cast("long").alias("__id"))
+    order = [*names, "__k", "__side"]
+    placed = materialized(marks.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
+    mark = F.struct(*names, "__k", "__v")
     last = placed.groupBy("__p").agg(F.max(F.when(F.col("__side") == 0, mark)).alias("__last"))
     before = last.select("__p", F.last("__last", ignorenulls=True).over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))  # one row a partition
-    within = Window.partitionBy("__p", *by).orderBy("__k", "__side")
+    within = Window.partitionBy("__p", *names).orderBy("__k", "__side")
     found = placed.withColumn("__f", F.last(F.when(F.col("__side") == 0, mark), ignorenulls=True).over(within)).filter("__side = 1").join(F.broadcast(before), "__p", "left")
-    mine = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__before.{c}") for c in by], F.col("__before").isNotNull())
+    mine = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__before.{n}")) for n in names], F.col("__before").isNotNull())
     found = found.withColumn("__f", F.coalesce("__f", F.when(mine, F.col("__before"))))
     # below the first breakpoint: the first one's value
     if by:
-        found = found.join(marks.groupBy(*by).agg(F.min(mark).alias("__first")), by, "left")
+        firsts = marks.groupBy(*[F.col(n).alias(f"{n}f") for n in names]).agg(F.min(mark).alias("__first"))
+        found = found.join(firsts, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}f")) for n in names]), "left")
     else:
         found = found.join(F.broadcast(marks.agg(F.min(mark).alias("__first"))))  # one row
     value_ = F.when(F.col("__k").isNotNull(), F.coalesce("__f", "__first")["__v"])
-    return found.select("__row.*", value_.alias(output))
+    out = numbered.join(found.select(F.col("__id").alias("__of"), value_.alias("__found")), F.col("__id") == F.col("__of"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != output], F.col("__found").alias(output))
 
 
 def patent_year(number: Column) -> Column:
     """Year of grant by patent number; 1931 below the first."""
-    return asof_tree(number.cast("int"), FIRST_PATENTS, [FIRST_PATENT_YEAR + k for k in range(len(FIRST_PATENTS))])
+    return asof_tree(number.cast("long"), FIRST_PATENTS, [FIRST_PATENT_YEAR + k for k in range(len(FIRST_PATENTS))])
 
 
 def fill_from_patent(df: DataFrame, number: str = "patent_number", year: str = "release_year", note: str = "release_note", expires: str = "patent_expires", estimated: str = "patent_estimated") -> DataFrame:

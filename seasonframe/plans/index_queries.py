@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import shared_folder
-from ..operators import change_table, paging
+from ..operators import cells, change_table, paging
+from .queries import POINTS, points
 from .registry import Star, query
 
 
@@ -61,3 +62,35 @@ def change_log(t: Star) -> DataFrame:
         table.apply(log.filter(F.floor(F.col("seq") * 4 / (last + 1)) == k))
     table.clear()
     return table.read().select("id", "value", "note")
+
+
+_KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - s.lon) / 2), 2))))"
+_ASKED = "asked AS (SELECT s_suppkey, ((s_suppkey * 53) % 1801) / 10.0 - 90 AS lat, ((s_suppkey * 97) % 3600) / 10.0 - 180 AS lon, 20.0 + (s_suppkey * 31) % 900 AS km FROM supplier)"
+
+
+def asked_points(t: Star) -> DataFrame:
+    """A spot and a radius for each supplier, poles included."""
+    k = F.col("s_suppkey")
+    return t.supplier.select("s_suppkey", (k * 53 % 1801 / 10.0 - 90).alias("lat"), (k * 97 % 3600 / 10.0 - 180).alias("lon"), (20.0 + k * 31 % 900).alias("km"))
+
+
+@query(f"WITH {POINTS}, {_ASKED} SELECT s_suppkey, c_custkey, round({_KM}, 6) AS distance FROM asked s, points p WHERE {_KM} <= s.km")
+def near_many(t: Star) -> DataFrame:
+    """All customers around all suppliers, by cells of the globe."""
+    met = cells.near_points(asked_points(t), points(t))
+    return met.select("point.s_suppkey", "place.c_custkey", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""
+WITH {POINTS}, {_ASKED}, d AS (SELECT *, km * 360 / 40075 AS dlat, CASE WHEN abs(lat) >= 90 THEN 0 ELSE km * 360 / 40075 * (90 - abs(lat)) / 90 END AS dlon FROM asked)
+SELECT s_suppkey, c_custkey FROM d s, points p WHERE abs(p.lat - s.lat) < dlat AND abs(((p.lon - s.lon + 180) % 360 + 360) % 360 - 180) < dlon""")
+def near_many_boxes(t: Star) -> DataFrame:
+    """As ``near_many``, by boxes of degrees that narrow to the poles."""
+    return cells.near_points(asked_points(t), points(t), exact=False).select("point.s_suppkey", "place.c_custkey")
+
+
+@query()
+def cluster_pyramid(t: Star) -> DataFrame:
+    """Customers on the map at zooms 0 to 8, past which they lie too far apart to meet; the rounds have no SQL."""
+    found = cells.cluster_pyramid(points(t), "c_custkey", "c_acctbal", max_zoom=8)
+    return found.select("zoom", "id", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "parent", F.array_join(F.transform("best", lambda b: b.cast("string")), ",").alias("best"))

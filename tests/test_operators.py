@@ -67,6 +67,23 @@ def test_asof(spark, monkeypatch):
     assert {r["g"]: r["o"] for r in asof.asof_lookup(asked, "k", grouped, "k", "v", "o", by=["g"]).collect()} == {"x": 1, "y": 3, "z": None}
 
 
+def test_asof_null_groups_on_several_ranges(spark):
+    """A null group is a group like any other, wherever its rows are cut; keys above 31 bits are keys."""
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        marks = spark.createDataFrame([(None, 10, "n"), ("x", 5, "x5"), ("x", 2000, "x2"), ("y", 1, "y")], "g string, k long, v string")
+        rows = [(g, k) for k in range(0, 4000, 2) for g in (None, None, "x", "z")]
+        df = spark.createDataFrame(rows, "g string, k long").repartition(4)
+        got = {(r["g"], r["k"]): r["o"] for r in asof.asof_lookup(df, "k", marks, "k", "v", "o", by=["g"]).collect()}
+        want = {(g, k): {None: "n", "x": "x5" if k < 2000 else "x2", "z": None}[g] for g, k in rows}
+        assert got == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    numbers = spark.createDataFrame([(1 << 40,), (4970,)], "n long")
+    assert [r[0] for r in numbers.select(asof.patent_year(F.col("n"))).collect()] == [2021, 1983]
+
+
 def test_scores(spark):
     s = spark.createDataFrame([("Extension Test",), ("unheard of",)], "t string")
     scored, unknown = score.score_sources(s, "t")
