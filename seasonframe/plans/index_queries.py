@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..lineage import shared_folder
-from ..operators import cells, change_table, paging
+from ..lineage import materialized, shared_folder
+from ..operators import cells, change_table, paging, ranking, search
 from .queries import POINTS, points
 from .registry import Star, query
 
@@ -94,3 +94,44 @@ def cluster_pyramid(t: Star) -> DataFrame:
     """Customers on the map at zooms 0 to 8, past which they lie too far apart to meet; the rounds have no SQL."""
     found = cells.cluster_pyramid(points(t), "c_custkey", "c_acctbal", max_zoom=8)
     return found.select("zoom", "id", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "parent", F.array_join(F.transform("best", lambda b: b.cast("string")), ",").alias("best"))
+
+
+@query(r"""
+WITH q AS (SELECT doc_id AS query, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM documents WHERE doc_id % 100 = 0),
+d AS (SELECT doc_id AS key, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+sums AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM d),
+p AS (SELECT key, len(w) AS length, term, count(*) AS tf FROM (SELECT key, w, unnest(w) AS term FROM d) GROUP BY key, length, term),
+t AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT query, key, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM (SELECT query, unnest(w) AS term FROM q) JOIN t USING (term) JOIN p USING (term), sums GROUP BY 1, 2)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank, key, score FROM s QUALIFY rank <= 10""")
+def ranked_search(t: Star) -> DataFrame:
+    """Every hundredth document as a query against all: the ten best of each by BM25."""
+    postings, terms = ranking.build_postings(t.documents, "doc_id", "text")
+    postings, terms = materialized(postings), materialized(terms)
+    asked = t.documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text")
+    found = ranking.bm25_top(asked, postings, terms, k=10, digits=6)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+_MANY = "q AS (SELECT s_suppkey AS query, lower(split_part(p_name, ' ', 1)) AS word, CASE WHEN s_suppkey % 2 = 0 THEN p_size - 8 END AS least, CASE WHEN s_suppkey % 3 = 0 THEN p_type END AS kind FROM supplier JOIN part ON p_partkey = s_suppkey)"
+
+
+@query(f"""
+WITH {_MANY}, h AS (SELECT query, p_partkey, p_retailprice, count(*) OVER (PARTITION BY query) AS total FROM q JOIN part ON length(word) >= 3 AND contains(lower(p_name), word) AND (least IS NULL OR p_size >= least) AND (kind IS NULL OR p_type = kind))
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY p_retailprice DESC, p_partkey) AS rank, p_partkey, total FROM h QUALIFY rank <= 20""")
+def search_many(t: Star) -> DataFrame:
+    """A query for each supplier, with filters of its own: the twenty dearest parts of each, in one job."""
+    rows = t.supplier.join(t.part, F.col("p_partkey") == F.col("s_suppkey"))
+    asked = rows.select(F.col("s_suppkey").alias("query"), F.lower(F.substring_index("p_name", " ", 1)).alias("word"), F.when(F.col("s_suppkey") % 2 == 0, F.col("p_size") - 8).alias("least"), F.when(F.col("s_suppkey") % 3 == 0, F.col("p_type")).alias("kind"))
+    hits = search.search_index(asked, search.build_trigram_index(t.part, "p_partkey", "p_name"), t.part, "p_partkey", "p_name")
+    parts = t.part.select("p_partkey", "p_retailprice", "p_size", "p_type")
+    found = ranking.search_many(asked, hits, parts, "p_partkey", [F.desc_nulls_last("p_retailprice"), F.asc("p_partkey")], 20, equal={"p_type": "kind"}, at_least={"p_size": "least"})
+    return found.select("query", F.col("rank").cast("bigint").alias("rank"), "p_partkey", "total")
+
+
+@query("""
+SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rank, c_custkey AS id FROM (SELECT substr(lower(c_name), 1, k) AS prefix, c_acctbal, c_custkey FROM customer, range(3, 21) r(k) WHERE length(c_name) >= k) QUALIFY rank <= 10""")
+def completions(t: Star) -> DataFrame:
+    """The ten best customers for every beginning of a name; all names begin alike."""
+    found = ranking.completions(t.customer, "c_name", "c_acctbal", "c_custkey", longest=20)
+    return found.select("prefix", F.col("rank").cast("bigint").alias("rank"), "id")
