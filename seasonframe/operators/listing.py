@@ -18,6 +18,24 @@ def directory_listing(df: DataFrame, folder: str, path: str = "path") -> tuple[D
     return df.filter(F.col(path) == folder), below.select(F.col(path).alias("folder")).distinct().orderBy("folder")
 
 
+def directory_tree(df: DataFrame, path: str = "path") -> DataFrame:
+    """(folder, parent, depth, n_here, n_below, n_folders) of every folder that a row is in or below, ``""`` the top.
+
+    Equal paths are counted before they are spread over the folders above them; a folder's page is then the rows of
+    which it is the parent. Paths end in ``/``; null ones are in no folder.
+    """
+    here = df.filter(F.col(path).isNotNull()).groupBy(F.col(path).alias("at")).agg(F.count("*").alias("n"))
+    steps = F.split("at", "/")
+    depth = F.size(steps) - 1
+    name = lambda k: F.when(k <= 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(steps, F.lit(1), F.greatest(k, F.lit(0))), "/"), F.lit("/")))
+    above = F.transform(F.sequence(F.lit(0), depth), lambda k: F.struct(name(k).alias("folder"), F.when(k > 0, name(k - 1)).alias("parent"), k.alias("depth")))
+    spread = here.select("at", "n", F.explode(above).alias("f")).select("at", "n", "f.*")
+    folders = spread.groupBy("folder", "parent", "depth").agg(F.sum(F.when(F.col("at") == F.col("folder"), F.col("n")).otherwise(0)).alias("n_here"), F.sum("n").alias("n_below"))
+    inside = folders.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("__of")).agg(F.count("*").alias("n_folders"))
+    joined = folders.join(inside, F.col("folder") == F.col("__of"), "left")
+    return joined.select("folder", "parent", "depth", "n_here", "n_below", F.coalesce("n_folders", F.lit(0)).alias("n_folders"))
+
+
 def recent(df: DataFrame, by: str, n: int = 10, tie: list[str] = ()) -> DataFrame:
     """The last rows by a time."""
     return df.orderBy(F.col(by).desc_nulls_last(), *tie).limit(n)

@@ -61,6 +61,24 @@ def build_trigram_index(entities: DataFrame, key: str, field: str) -> DataFrame:
     return entities.select(F.explode(grams).alias("trigram"), key)
 
 
+def index_changes(before: DataFrame, after: DataFrame, key: str, field: str) -> tuple[DataFrame, DataFrame]:
+    """(gained, lost): the (trigram, key) that rows have after a change and not before, and the other way round.
+
+    ``before`` and ``after`` are the changed rows alone; inserted ones are only in the second, deleted ones in the first.
+    """
+    old, new = build_trigram_index(before, key, field), build_trigram_index(after, key, field)
+    return new.join(old, ["trigram", key], "left_anti"), old.join(new, ["trigram", key], "left_anti")
+
+
+def merge_trigram_index(index: DataFrame, gained: DataFrame, lost: DataFrame, key: str) -> DataFrame:
+    """The index with what was gained and without what was lost: as a rebuild would make it, without reading any text.
+
+    What the index has already is not gained twice, so that a change may be merged again.
+    """
+    kept = index.join(lost.unionByName(gained), ["trigram", key], "left_anti")
+    return kept.unionByName(gained.select(*index.columns))
+
+
 def write_trigram_index(index: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
     """Replace the index table, bucketed by trigram; below ``path``, if one is given."""
     writer = index.write.mode("overwrite").bucketBy(buckets, "trigram").sortBy("trigram")

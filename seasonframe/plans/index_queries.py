@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import materialized, shared_folder
-from ..operators import cells, change_table, paging, ranking, search
+from ..operators import cells, change_table, listing, paging, ranking, search
 from .queries import POINTS, points
 from .registry import Star, query
 
@@ -135,3 +135,26 @@ def completions(t: Star) -> DataFrame:
     """The ten best customers for every beginning of a name; all names begin alike."""
     found = ranking.completions(t.customer, "c_name", "c_acctbal", "c_custkey", longest=20)
     return found.select("prefix", F.col("rank").cast("bigint").alias("rank"), "id")
+
+
+@query("""
+WITH h AS (SELECT regexp_replace(url, '[^/]*$', '') AS path, count(*) AS n FROM pages WHERE url IS NOT NULL GROUP BY 1),
+s AS (SELECT path, n, k AS depth, CASE WHEN k = 0 THEN '' ELSE array_to_string(string_split(path, '/')[1:k], '/') || '/' END AS folder, CASE WHEN k = 1 THEN '' WHEN k > 1 THEN array_to_string(string_split(path, '/')[1:k - 1], '/') || '/' END AS parent
+  FROM (SELECT path, n, unnest(range(0, len(string_split(path, '/')))) AS k FROM h)),
+f AS (SELECT folder, parent, depth, coalesce(sum(n) FILTER (WHERE path = folder), 0) AS n_here, sum(n) AS n_below FROM s GROUP BY ALL)
+SELECT f.folder, f.parent, CAST(f.depth AS INTEGER) AS depth, CAST(f.n_here AS BIGINT) AS n_here, CAST(f.n_below AS BIGINT) AS n_below, count(c.folder) AS n_folders FROM f LEFT JOIN f c ON c.parent = f.folder GROUP BY ALL""")
+def directory_tree(t: Star) -> DataFrame:
+    """All folders of all pages at once."""
+    return listing.directory_tree(t.pages.select(F.regexp_replace("url", "[^/]*$", "").alias("path")))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN lower(p_brand || ' ' || p_name) ELSE lower(p_name) END AS text FROM part WHERE p_partkey % 7 <> 0)
+SELECT DISTINCT substr(text, k, 3) AS trigram, p_partkey FROM n, range(1, 200) r(k) WHERE k <= length(text) - 2""")
+def update_trigram_index(t: Star) -> DataFrame:
+    """An index of all parts after a seventh of them is deleted and a fifth renamed: as a rebuild."""
+    rows = t.part.select("p_partkey", F.col("p_name").alias("text"), "p_brand")
+    gone, renamed = F.col("p_partkey") % 7 == 0, F.col("p_partkey") % 5 == 0
+    after = rows.filter(renamed & ~gone).withColumn("text", F.concat_ws(" ", "p_brand", "text"))
+    gained, lost = search.index_changes(rows.filter(gone | renamed), after, "p_partkey", "text")
+    return search.merge_trigram_index(search.build_trigram_index(rows, "p_partkey", "text"), gained, lost, "p_partkey")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions.fields import alias_fields, patent_info, release_info, search_key
 from ..functions.timetext import day_range, harvest_label, parse_distinct, two_season
+from ..lineage import materialized
 from ..operators import align, asof, infer, listing, quality, resolve, score
 from ..sources import documents as source
 
@@ -53,9 +54,12 @@ def load(spark: SparkSession, references: str, curated: str | None = None, as_of
     rows = parse_distinct(rows, "time", lambda t: F.struct(two_season(t, window).alias("times"), day_range(t, window)["parse_type"].alias("parse_type")), "t")
     rows = rows.select("*", "t.times.*", "t.parse_type").drop("t").withColumnRenamed("harvest_time_relative", "relative")
     rows = rows.withColumn("harvest_label", harvest_label(F.col("time"), F.col("harvest_time_unparsed")))
-    # one row a key: the first entry of a document counts
+    rows = materialized(rows)
+    docs.unpersist()
+    # one row a key: the first entry of a document counts, and the report names the others
     first = Window.partitionBy("source_id", "place_id", "name", "type").orderBy("entry", "place")
-    rows = rows.withColumn("n", F.row_number().over(first)).filter("n = 1 or place_id is null").drop("n")
+    every = rows
+    rows = materialized(rows.withColumn("n", F.row_number().over(first)).filter("n = 1 or place_id is null").drop("n"))
     observations = source.number_rows(rows, ["source_id", "entry", "name", "place"], "id").withColumnRenamed("place_id", "place_key")
     observations = observations.withColumn("place_text", F.col("place")).withColumn("place", F.col("place_key")).drop("place_key")
 
@@ -100,6 +104,8 @@ def load(spark: SparkSession, references: str, curated: str | None = None, as_of
         quality.missing(conflicts, "field conflict", ["type", "name", "field"]),
         quality.missing(resolve.alias_conflicts(entities.filter(F.col("aka_fts").isNotNull()), ["type"], "name_key", "aka_fts"), "alias conflict", ["type", "alias"]),
         quality.duplicate_keys(entities, ["type", "name_key"], "duplicate entity key"),
+        quality.duplicate_keys(every, ["source_id", "place_id", "name", "type"], "duplicate observation"),
+        quality.duplicate_keys(entities, ["patent_number"], "duplicate patent number"),
     ])
     summary = listing.table_counts({"sources": sources, "places": places, "entries": entries, "observations": inferred, "entities": entities})
     return Tables(sources, places, inferred, entities, days, conflicts, members, summary, report)
