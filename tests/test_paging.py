@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seasonframe import lineage
 from seasonframe.operators import paging
 
 SCHEMA = "id long, score double, due int, name string"
@@ -77,3 +78,16 @@ def test_reopened_and_odd(spark, rows, tmp_path):
     assert empty.count == 0 and empty.page(1, 10).rows.collect() == [] and empty.page(1, 10).last_page == 0
     paging.drop_rank_index(spark, folder)
     assert not (tmp_path / "rank").exists()
+
+
+def test_numbers_within_groups(spark):
+    """Null groups and ties, a group that several ranges cut."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "a", "b", "hot", "hot", "hot"]), rng.choice([None, 1, 2]), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, h int, v long").repartition(6)
+    got = {r["v"]: r["n"] for r in lineage.number_within(df, ["g", "h"], [-F.col("v")], "n").collect()}
+    seen = {}
+    for g, h, v in sorted(rows, key=lambda r: -r[2]):
+        seen[g, h] = seen.get((g, h), 0) + 1
+        assert got[v] == seen[g, h]
+    assert len(got) == 3000 and lineage.number_within(df.limit(0), ["g", "h"], [-F.col("v")], "n").collect() == []
