@@ -111,8 +111,9 @@ def telling_ngrams(words: list[bytes], counts: np.ndarray, least: float, most: i
         for c in (0, 1):
             seen[c] += np.bincount(bucket, np.repeat(counts[c][at : at + len(count)], count), minlength=1 << _BITS)
     share = counts[1].sum() / counts.sum()
-    chance = seen.sum(axis=0) * share
-    far = np.abs(seen[1] - chance) / np.sqrt(chance * (1 - share) + 1e-9)
+    chance = seen.sum(axis=0) * np.array([[1 - share], [share]])
+    # the root of the deviance: fair to rare n-grams whatever the classes' shares
+    far = np.sqrt(np.maximum(2 * (seen * np.log(np.maximum(seen, 1e-9) / np.maximum(chance, 1e-9))).sum(axis=0), 0))
     return np.sort(np.argsort(-far, kind="stable")[: min(most, int((far > least).sum()))])
 
 
@@ -137,7 +138,7 @@ def _bags(docs: list[np.ndarray], words: list[bytes], grams: np.ndarray) -> np.n
     return out
 
 
-def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epochs: int = 400, rate: float = 0.3, seed: int = 7, least: float = 6.0, most: int = 2048) -> ToxicityModel:
+def fit_numpy(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epochs: int = 400, rate: float = 0.3, seed: int = 7, least: float = 5.0, most: int = 2048) -> ToxicityModel:
     """Train on whole sampled texts; ``prior`` is the share of label 1 among all labelled rows."""
     rng = np.random.default_rng(seed)
     weights = np.zeros(1 << _BITS)
