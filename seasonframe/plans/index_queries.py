@@ -122,9 +122,10 @@ def search_many(t: Star) -> DataFrame:
     """A query for each supplier, with filters of its own: the twenty dearest parts of each, in one job."""
     rows = t.supplier.join(t.part, F.col("p_partkey") == F.col("s_suppkey"))
     asked = rows.select(F.col("s_suppkey").alias("query"), F.lower(F.substring_index("p_name", " ", 1)).alias("word"), F.when(F.col("s_suppkey") % 2 == 0, F.col("p_size") - 8).alias("least"), F.when(F.col("s_suppkey") % 3 == 0, F.col("p_type")).alias("kind"))
-    hits = search.search_index(asked, search.build_trigram_index(t.part, "p_partkey", "p_name"), t.part, "p_partkey", "p_name")
+    words = asked.select("word").distinct().select(F.col("word").alias("query"), "word")
+    hits = search.search_index(words, search.build_trigram_index(t.part, "p_partkey", "p_name"), t.part, "p_partkey", "p_name").withColumnRenamed("query", "word")
     parts = t.part.select("p_partkey", "p_retailprice", "p_size", "p_type")
-    found = ranking.search_many(asked, hits, parts, "p_partkey", [F.desc_nulls_last("p_retailprice"), F.asc("p_partkey")], 20, equal={"p_type": "kind"}, at_least={"p_size": "least"})
+    found = ranking.search_many(asked, hits, parts, "p_partkey", [F.desc_nulls_last("p_retailprice"), F.asc("p_partkey")], 20, equal={"p_type": "kind"}, at_least={"p_size": "least"}, by="word")
     return found.select("query", F.col("rank").cast("bigint").alias("rank"), "p_partkey", "total")
 
 
