@@ -23,12 +23,17 @@ FILES = "*.txt"
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
+def _tasks(t: Star) -> int:
+    return max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), 4 * t.spark.sparkContext.defaultParallelism)
+
+
 def _tree(t: Star, kind: str, make: Callable[[Star], DataFrame], keys: list[str]) -> str:
     """The folder of a tree: one file for each row of ``make``, whose text is ``value``, in folders by the keys."""
     session = (t.spark.sparkContext.applicationId, t.folder, kind)
     if session not in _WRITTEN:
         path = f"{shared_folder(t.spark)}/{kind}-{uuid.uuid4().hex}/references"
-        make(t).write.partitionBy(*keys).text(path)
+        # files take far longer than their bytes: a given number of tasks, and a shuffle of its own, which a join can't replace
+        make(t).repartition(_tasks(t), F.xxhash64(*keys)).write.partitionBy(*keys).text(path)
         _WRITTEN[session] = path
     return _WRITTEN[session]
 
@@ -40,7 +45,7 @@ def _documents(t: Star) -> DataFrame:
     where = F.when(size % 3 == 0, F.lit('locations: ["H", "Field"], ')).when(size % 3 == 1, F.format_string('locations: [{"House": "Jun %d"}, {"Field": "NA"}], // one place\n', size % 28 + 1)).otherwise("")
     entry = F.format_string("    {%stype: '%s', %s, harvest_time: \"%d days\"},", where, F.col("p_type"), what, F.col("start"))
     parts = t.part.select(F.col("p_partkey").alias("part"), "p_type", "p_size")
-    entries = observed(t).join(parts, "part").groupBy("place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", entry.alias("e")))), lambda x: x["e"]), "\n").alias("entries"))
+    entries = observed(t).join(parts, "part").repartition(_tasks(t), "place").groupBy("place").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", entry.alias("e")))), lambda x: x["e"]), "\n").alias("entries"))
     rows = t.supplier.join(entries, F.col("s_suppkey") == F.col("place"), "left")
     head = F.format_string('{ // of a supplier\n  title: "%s", type: "Extension Test", needs_help: %s,\n', F.col("s_name"), (F.col("s_acctbal") < 0).cast("string"))
     places = F.format_string('  locations: [ {name: "House", short_name: "H", latitude: %.1f, longitude: 1.5}, {name: "Field", latitude: -2.0, longitude: 3}, ],\n', F.col("s_nationkey").cast("double"))

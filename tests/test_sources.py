@@ -84,3 +84,15 @@ def test_load(spark, tree, tmp_path):
     S.write_json_result(t.anchor_days, str(tmp_path / "days"))
     S.write_needs_help(t.sources, str(tmp_path / "help"), "https://h/")
     assert spark.read.text(str(tmp_path / "help")).count() == 2
+
+
+def test_trees_are_written_by_many_tasks(spark):
+    """However few bytes a tree has: files, not bytes, take the time."""
+    import pathlib
+
+    from seasonframe.plans import source_queries
+    from seasonframe.plans.registry import Star
+
+    path = source_queries._tree(Star(spark, "/root/testdata/sf0.01"), "documents", source_queries._documents, ["doc"])
+    files = list(pathlib.Path(path.removeprefix("file:")).rglob("part-*"))
+    assert len({f.name.split("-")[1] for f in files}) > 2
