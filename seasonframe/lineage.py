@@ -34,6 +34,16 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *columns: str, rows: int = 250_000) -> DataFrame:
+    """Rows dealt out anew to tasks of about ``rows`` each, by columns or, without any, by their position.
+
+    A table may be one file of one row group, which one task reads whatever its size; from here on its rows are in as many
+    tasks as their number asks for. They are counted first.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, *(columns or [F.monotonically_increasing_id()]))
+
+
 def number_rows(df: DataFrame, order: list[str], output: str) -> DataFrame:
     """Numbers from 1 in order, without gaps: sorted ranges are counted, and each starts where the last one ended.
 

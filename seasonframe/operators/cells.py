@@ -15,9 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import degrees_normalize, haversine_km
-from ..lineage import materialized
+from ..lineage import materialized, spread
 
 MAX_LEVEL = 20
+#: Levels by which the cells where points and places meet are finer than the boxes: few of the pairs tried are too far apart.
+FINER = 3
+#: Pairs that a task tries.
+TASK_PAIRS = 20_000_000
+#: Rows that a task holds on their way to meet.
+TASK_ROWS = 2_000_000
 #: Kilometres a degree of latitude has, a little less than it has.
 KM_A_DEGREE = 111.1
 
@@ -82,16 +88,53 @@ def circle_degrees(lat: Column, km: Column) -> tuple[Column, Column]:
     return d_lat, F.when(whole, 180.0).otherwise(F.degrees(F.asin(F.when(whole, 0.0).otherwise(wide))) + 1e-6)
 
 
+def _reached(lat: Column, lon: Column, km: Column, cell: Column) -> Column:
+    """Whether a circle may meet a cell: no spot of the cell is nearer than its least differences of degrees tell."""
+    height, width = 180 / _two_to(cell["a"]), 360 / _two_to(_column_bits(cell["r"], cell["a"]))
+    low = cell["r"] * height - 90
+    up = F.greatest(F.abs(lat - low - height / 2) - height / 2, F.lit(0.0))
+    across = F.greatest(F.abs(degrees_normalize(lon + 180 - (cell["c"] + 0.5) * width)) - width / 2, F.lit(0.0))
+    narrow = F.greatest(F.least(F.cos(F.radians(low)), F.cos(F.radians(low + height))), F.lit(0.0))
+    half = lambda degrees: F.pow(F.sin(F.radians(degrees / 2)), 2)
+    return half(up) + F.cos(F.radians(lat)) * narrow * half(across) <= half(F.least(km / KM_A_DEGREE, F.lit(180.0))) + 1e-12
+
+
 def _levelled(places: DataFrame, levels: list[int], lat: str, lon: str) -> DataFrame:
     """Places once for each level that is asked for."""
-    fine = places.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon))
-    return fine.withColumn("__a", F.explode(F.array(*[F.lit(a) for a in levels]))).withColumn("__cell", cell_of(F.col(lat), F.col(lon), F.col("__a"))).drop("__a")
+    return places.withColumn("__a", F.explode(F.array(*[F.lit(a) for a in levels]))).withColumn("__cell", cell_of(F.col(lat), F.col(lon), F.col("__a"))).drop("__a")
+
+
+def _met(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of rows (``__cell``, ``__q``) and (``__cell``, ``__p``) of equal cells; both numbers must be fixed.
+
+    Rows and pairs of all cells are counted. A cell of more than ``TASK_PAIRS`` pairs is cut into blocks, by the rows' numbers
+    and not by what they hold, so that one spot with any number of rows is spread too. There are as many tasks as pairs ask for. A
+    cut cell makes up so many pairs that the table of these cells, which all tasks get, is small beside the work.
+    """
+    side = math.isqrt(TASK_PAIRS)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = cells.select("__cell", one.alias("__nq"), none.alias("__np")).union(known.select("__cell", none.alias("__nq"), one.alias("__np")))
+    load = materialized(both.groupBy("__cell").agg(F.sum("__nq").alias("__nq"), F.sum("__np").alias("__np")))
+    pairs = F.col("__nq").cast("double") * F.col("__np")
+    tried, rows = load.agg(F.coalesce(F.sum(pairs), F.lit(0.0)), F.coalesce(F.sum(F.col("__nq") + F.col("__np")), F.lit(0))).first()
+    blocks = lambda n: F.ceil(F.col(n) / side).cast("int")
+    heavy = F.broadcast(load.filter(pairs > TASK_PAIRS).select("__cell", blocks("__nq").alias("__nq"), blocks("__np").alias("__np")))
+
+    def blocked(df: DataFrame, own: str, number: str, of_own: str, other: str, of_other: str) -> DataFrame:
+        cut = df.join(heavy, "__cell", "left").withColumn(own, F.pmod(F.xxhash64(number), F.coalesce(of_own, F.lit(1))).cast("int"))
+        return cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(of_other, F.lit(1)) - 1))).drop("__nq", "__np")
+
+    tasks = max(cells.sparkSession.sparkContext.defaultParallelism, math.ceil(tried / TASK_PAIRS), math.ceil(rows / TASK_ROWS))
+    key = ["__cell", "__bq", "__bp"]
+    one_side, other_side = blocked(cells, "__bq", "__q", "__nq", "__bp", "__np"), blocked(known, "__bp", "__p", "__np", "__bq", "__nq")
+    return one_side.repartition(tasks, *key).join(other_side.repartition(tasks, *key), key)
 
 
 def near_points(points: DataFrame, places: DataFrame, km: str = "km", exact: bool = True, lat: str = "lat", lon: str = "lon", place_lat: str = "lat", place_lon: str = "lon") -> DataFrame:
     """Pairs of points and places within the points' ``km``: (point, place, distance in km), both as structs.
 
-    Points go to the few cells that their circle meets, places to their own; equal cells meet, and the distance decides.
+    Points go to the cells that their circle meets, some dozens, places to their own; equal cells meet, and the distance
+    decides. Cells of many rows are cut, so that no task tries many more than ``TASK_PAIRS`` pairs.
     ``exact``: the great circle; else the box in degrees that narrows to the pole, as ``geo.places_near`` takes it, whose
     edges don't count. The levels that the points ask for, 21 at most, come to the driver. A null or negative
     radius, or a null degree, finds nothing.
@@ -102,14 +145,18 @@ def near_points(points: DataFrame, places: DataFrame, km: str = "km", exact: boo
     else:
         d_lat = F.col("__km") * 360 / 40075
         d_lon = F.when(F.abs("__lat") >= 90, 0.0).otherwise(d_lat * (90 - F.abs("__lat")) / 90)
-    asked = asked.withColumn("__dlat", d_lat).withColumn("__dlon", F.least(d_lon, F.lit(180.0))).withColumn("__a", cover_level(F.col("__dlat")))
-    asked = materialized(asked)
+    asked = asked.withColumn("__dlat", d_lat).withColumn("__dlon", F.least(d_lon, F.lit(180.0))).withColumn("__a", cover_level(F.col("__dlat")) + FINER)
+    asked = materialized(spread(asked).withColumn("__q", F.monotonically_increasing_id()))
     levels = sorted(r[0] for r in asked.select("__a").distinct().collect())
     if not levels:
         levels = [0]
     cells = asked.withColumn("__cell", F.explode(cover(F.col("__lat"), F.col("__lon"), F.col("__dlat"), F.col("__dlon"), F.col("__a"))))
-    known = _levelled(places.select(F.struct(*places.columns).alias("place"), F.col(place_lat).cast("double").alias("__plat"), F.col(place_lon).cast("double").alias("__plon")), levels, "__plat", "__plon")
-    met = cells.join(known, "__cell").withColumn("distance", haversine_km(F.col("__lat"), F.col("__lon"), F.col("__plat"), F.col("__plon")))
+    if exact:
+        cells = cells.filter(_reached(F.col("__lat"), F.col("__lon"), F.col("__km"), F.col("__cell")))
+    there = places.select(F.struct(*places.columns).alias("place"), F.col(place_lat).cast("double").alias("__plat"), F.col(place_lon).cast("double").alias("__plon"))
+    there = there.filter(F.col("__plat").isNotNull() & F.col("__plon").isNotNull() & ~F.isnan("__plat") & ~F.isnan("__plon"))
+    there = materialized(spread(there).withColumn("__p", F.monotonically_increasing_id()))
+    met = _met(cells, _levelled(there, levels, "__plat", "__plon")).withColumn("distance", haversine_km(F.col("__lat"), F.col("__lon"), F.col("__plat"), F.col("__plon")))
     if exact:
         inside = F.col("distance") <= F.col("__km")
     else:

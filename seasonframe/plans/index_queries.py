@@ -77,7 +77,7 @@ def asked_points(t: Star) -> DataFrame:
 @query(f"WITH {POINTS}, {_ASKED} SELECT s_suppkey, c_custkey, round({_KM}, 6) AS distance FROM asked s, points p WHERE {_KM} <= s.km")
 def near_many(t: Star) -> DataFrame:
     """All customers around all suppliers, by cells of the globe."""
-    met = cells.near_points(asked_points(t), points(t))
+    met = cells.near_points(asked_points(t), points(t).select("c_custkey", "lat", "lon"))
     return met.select("point.s_suppkey", "place.c_custkey", F.round("distance", 6).alias("distance"))
 
 

@@ -2,7 +2,9 @@
 
 import math
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from seasonframe.operators import cells, geo
@@ -48,6 +50,30 @@ def test_covers_are_small(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_one_spot_is_many_tasks(spark, monkeypatch, exact):
+    monkeypatch.setattr(cells, "TASK_PAIRS", 2500, raising=False)
+    points = spark.range(200).select(F.col("id").alias("q"), F.lit(-89.9).alias("lat"), F.lit(7.0).alias("lon"), F.lit(900.0).alias("km"))
+    places = spark.range(300).select(F.col("id").alias("p"), F.lit(-89.9).alias("lat"), F.lit(7.0).alias("lon"))
+    found = cells.near_points(points, places, exact=exact).select("point.q", "place.p", F.spark_partition_id().alias("task")).collect()
+    assert len(found) == 60_000 == len({(r["q"], r["p"]) for r in found})
+    # before, all were made by one task
+    assert max(Counter(r["task"] for r in found).values()) < 15_000
+
+
+def test_pairs_tried_near_the_pole(spark):
+    """Cells as high as a circle is wide had all around the pole meet in one."""
+    points = spark.createDataFrame([(k, -80.0 + k % 7, k * 13.0 % 360, 300.0) for k in range(100)], "q long, lat double, lon double, km double")
+    places = spark.createDataFrame([(k, -80.0 + k % 9, k * 7.0 % 360) for k in range(400)], "p long, lat double, lon double")
+    found = cells.near_points(points, places)
+    level = cells.cover_level(F.col("dlat")) + cells.FINER
+    d_lat, d_lon = cells.circle_degrees(F.col("lat"), F.col("km"))
+    asked = points.withColumn("dlat", d_lat).withColumn("dlon", d_lon).withColumn("a", level).withColumn("cell", F.explode(cells.cover(F.col("lat"), F.col("lon"), F.col("dlat"), F.col("dlon"), F.col("a"))))
+    asked = asked.filter(cells._reached(F.col("lat"), F.col("lon"), F.col("km"), F.col("cell")))
+    tried = asked.select("cell", "a").join(places.crossJoin(asked.select("a").distinct()).select(cells.cell_of(F.col("lat"), F.col("lon"), F.col("a")).alias("cell")), "cell").count()
+    assert found.count() <= tried <= 2.5 * found.count()
+
+
 def test_pyramid(spark):
     places = [(k, *s, float(k % 50)) for k, s in enumerate(spots(120, 5))]
     df = spark.createDataFrame(places + [(None, 1.0, 1.0, 1.0), (999, None, 1.0, 1.0)], "id long, lat double, lon double, score double")
