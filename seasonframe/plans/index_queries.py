@@ -86,7 +86,7 @@ WITH {POINTS}, {_ASKED}, d AS (SELECT *, km * 360 / 40075 AS dlat, CASE WHEN abs
 SELECT s_suppkey, c_custkey FROM d s, points p WHERE abs(p.lat - s.lat) < dlat AND abs(((p.lon - s.lon + 180) % 360 + 360) % 360 - 180) < dlon""")
 def near_many_boxes(t: Star) -> DataFrame:
     """As ``near_many``, by boxes of degrees that narrow to the poles."""
-    return cells.near_points(asked_points(t), points(t), exact=False).select("point.s_suppkey", "place.c_custkey")
+    return cells.near_points(asked_points(t), points(t).select("c_custkey", "lat", "lon"), exact=False).select("point.s_suppkey", "place.c_custkey")
 
 
 @query()
