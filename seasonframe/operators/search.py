@@ -8,6 +8,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import materialized, spread
+
+#: Rows of rarest trigrams that are sent to all tasks; beyond, Spark joins them as it sees fit.
+SENT_ROWS = 200_000
+#: Postings, or texts, that a task compares.
+TASK_ROWS = 500_000
+#: Texts that a task cuts into trigrams.
+TASK_TEXTS = 100_000
+
 ORDERS = ("notoriety", "type_then_name", "name_then_type", "patent_expiration", "harvest_time")
 
 
@@ -55,10 +64,13 @@ def trigram_match(entities: DataFrame, words: tuple[str, ...] | list[str], field
 
 
 def build_trigram_index(entities: DataFrame, key: str, field: str) -> DataFrame:
-    """(trigram, key), distinct: an inverted index to be written once and joined with many queries."""
+    """(trigram, key), distinct: an inverted index to be written once and joined with many queries.
+
+    Texts are dealt out first, so that a task makes, and a writer sorts, the trigrams of ``TASK_TEXTS``.
+    """
     low = F.lower(F.col(field))
     grams = F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda k: F.substr(low, k, F.lit(3)))))
-    return entities.select(F.explode(grams).alias("trigram"), key)
+    return spread(entities.select(field, key), rows=TASK_TEXTS).select(F.explode(grams).alias("trigram"), key)
 
 
 def index_changes(before: DataFrame, after: DataFrame, key: str, field: str) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +101,8 @@ def search_index(queries: DataFrame, index: DataFrame, entities: DataFrame, key:
     """(query, key) of a table of (query, word): each word's rarest trigrams meet the index, and hits are verified.
 
     The index is counted for the trigrams that are asked for; a word with one that it lacks has no hit. A key needs
-    the two rarest of a word; only such candidates are joined with their text.
+    the two rarest of a word; only such candidates are joined with their text. The postings that words meet number what the
+    counts say, and are dealt out by key to as many tasks as that asks for.
     """
     low = F.lower(F.col(word))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda k: F.substr(low, k, F.lit(3))))
@@ -99,8 +112,14 @@ def search_index(queries: DataFrame, index: DataFrame, entities: DataFrame, key:
     rank = F.row_number().over(Window.partitionBy(query, word).orderBy("__size", "trigram"))
     rarest = sized.withColumn("__k", rank).filter((F.col("__k") <= 2) & (F.col("__size") > 0))
     rarest = rarest.withColumn("__n", F.count("*").over(Window.partitionBy(query, word)))
-    met = rarest.join(index, "trigram").groupBy(query, word, key).agg(F.count("*").alias("__met"), F.first("__n").alias("__n")).filter(F.col("__met") == F.col("__n"))
-    return met.join(entities.select(key, F.col(field).alias("__text")), key).filter(F.lower("__text").contains(F.lower(F.col(word)))).select(query, key).distinct()
+    rarest = materialized(rarest.select(query, word, "trigram", "__size", "__n"))
+    rows, postings = rarest.agg(F.count("*"), F.coalesce(F.sum("__size"), F.lit(0))).first()
+    # the index may be small on disk and long: it stays where it is, and few rows go to it
+    hits = index.join(F.broadcast(rarest) if rows <= SENT_ROWS else rarest, "trigram")
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-max(postings, entities.count()) // TASK_ROWS))
+    met = hits.select(query, word, key, "__n").repartition(tasks, key).groupBy(query, word, key).agg(F.count("*").alias("__met"), F.first("__n").alias("__n")).filter(F.col("__met") == F.col("__n"))
+    texts = entities.select(key, F.col(field).alias("__text")).repartition(tasks, key)
+    return met.join(texts, key).filter(F.lower("__text").contains(F.lower(F.col(word)))).select(query, key).distinct()
 
 
 def filter_entities(df: DataFrame, equal: dict | None = None, at_least: dict | None = None, at_most: dict | None = None, present: dict[str, bool] | None = None) -> DataFrame:

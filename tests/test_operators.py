@@ -180,3 +180,20 @@ def test_quality_report(spark):
     assert sorted(r["check"] for r in quality.quality_report(parts).collect()) == ["duplicate key", "name xor names"]
     with pytest.raises(ValueError):
         quality.quality_report(parts, strict=True)
+
+
+def test_trigram_index_of_one_file_is_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_TEXTS", 100, raising=False)
+    df = spark.range(2000).select(F.col("id").alias("key"), F.lit("red car").alias("name")).coalesce(1)
+    tasks = search.build_trigram_index(df, "key", "name").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 15 and max(r["count"] for r in tasks) < 1000 and sum(r["count"] for r in tasks) == 10_000  # before, one task
+
+
+def test_search_of_a_frequent_word_takes_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_ROWS", 200, raising=False)
+    df = spark.range(2000).select(F.col("id").alias("key"), F.lit("red car").alias("name")).coalesce(1)
+    asked = spark.createDataFrame([(1, "red"), (2, "ed c"), (3, "blue"), (4, "re")], "query int, word string")
+    found = search.search_index(asked, search.build_trigram_index(df, "key", "name"), df, "key", "name")
+    rows = found.select("query", "key", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == len({(r["query"], r["key"]) for r in rows}) == 4000 and {r["query"] for r in rows} == {1, 2}
+    assert max(sum(r["task"] == k for r in rows) for k in {r["task"] for r in rows}) < 1000  # before, all were met in one
