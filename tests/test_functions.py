@@ -60,6 +60,20 @@ def test_parse_report(spark):
     assert got["empty"][0] == 1 and got["absent"][0] == 1
 
 
+def test_parse_report_parses_a_text_once(spark):
+    parses = spark.sparkContext.accumulator(0)
+
+    @F.udf("struct<start: int, parse_type: string>")
+    def parsed(text):
+        parses.add(1)
+        return (5, "StartOnly")
+
+    df = spark.range(3000).select(F.concat(F.lit("July "), F.col("id") % 7).alias("t"))
+    rows = timetext.parse_report(df, "t", parsed(F.col("t"))).collect()
+    assert [(r["outcome"], r["n"], len(r["examples"])) for r in rows] == [("StartOnly", 3000, 7)]
+    assert parses.value <= 21  # a plan may name the value a few times; before, all 3000 rows were parsed
+
+
 RELATIVE = {
     "hi": None, "Redhaven -32": ("Redhaven", None, -32), "Redhaven +0": ("Redhaven", None, 0), "Redhaven +45": ("Redhaven", None, 45),
     "Redhaven -2 weeks": ("Redhaven", None, -14), "Redhaven +0.5 weeks": ("Redhaven", None, 4), "Redhaven -1.5 weeks": ("Redhaven", None, -11),
