@@ -20,6 +20,8 @@ CALC = ["offset", "anchor_type", "anchor_name", "round", "explanation"]
 EXPLAINED = 20
 #: Narrow rows of a round that are sent to all tasks; beyond, both sides are shuffled.
 SENT_ROWS = 200_000
+#: Rows that a task of ``relative_to_absolute`` brings together.
+TASK_ROWS = 500_000
 #: Parts of 1 in which the rounds sum weights.
 UNITS = 1_000_000_000
 
@@ -28,18 +30,23 @@ def relative_to_absolute(observations: DataFrame, max_hops: int = 1, place: str
     """Rows with relative text and no start take the times of the row of the same place and type that the text names.
 
     Null times stay null. One hop by default; more follow chains. A parsed type prefix is ignored. Of several rows
-    of one name at a place the one with the least start counts.
+    of one name at a place the one with the least start counts. The rows are written first; they meet in tasks of
+    about ``TASK_ROWS``.
     """
     starts = tuple(s for s in starts if s in observations.columns)
+    observations = materialized(observations)
+    tasks = max(observations.sparkSession.sparkContext.defaultParallelism, -(-observations.count() // TASK_ROWS))
     out = parse_distinct(observations, relative, relative_offset, "__rel")
-    for _ in range(max_hops):
-        known = out.filter(F.col(place).isNotNull()).groupBy(F.col(place).alias("__p"), F.col(kind).alias("__t"), F.col(name).alias("__n"))
-        known = known.agg(F.min(F.struct(*[F.col(s).alias(f"__{s}") for s in starts])).alias("__k"))
+    for hop in range(max_hops):
+        rows = (out if hop else observations).filter(F.col(place).isNotNull())
+        known = rows.select(F.col(place).alias("__p"), F.col(kind).alias("__t"), F.col(name).alias("__n"), F.struct(*[F.col(s).alias(f"__{s}") for s in starts]).alias("__k"))
+        known = known.repartition(tasks, "__p", "__t", "__n").groupBy("__p", "__t", "__n").agg(F.min("__k").alias("__k"))
         needs = F.col(starts[0]).isNull() & F.col("__rel").isNotNull()
-        joined = out.join(known, (F.col(place) == F.col("__p")) & (F.col(kind) == F.col("__t")) & (F.when(needs, F.col("__rel.name")) == F.col("__n")), "left")
+        out = out.withColumn("__ref", F.when(needs, F.col("__rel.name"))).repartition(tasks, place, kind, "__ref")
+        joined = out.join(known, (F.col(place) == F.col("__p")) & (F.col(kind) == F.col("__t")) & (F.col("__ref") == F.col("__n")), "left")
         for s in starts:
             joined = joined.withColumn(s, F.when(F.col("__n").isNotNull(), F.col(f"__k.__{s}") + F.col("__rel.days")).otherwise(F.col(s)))
-        out = joined.drop("__p", "__t", "__n", "__k")
+        out = joined.drop("__p", "__t", "__n", "__k", "__ref")
     return out.drop("__rel")
 
 

@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seasonframe.functions import dims
+from seasonframe.lineage import spread
 from seasonframe.operators import align, asof, changes, chartprep, geo, infer, listing, quality, resolve, score, search
+from seasonframe.plans import queries
+from seasonframe.plans.registry import Star
 
 OBSERVED = [
     (1, 1, "Peach", "Redhaven", 200, None), (2, 1, "Peach", "Elberta", 230, None), (3, 2, "Peach", "Elberta", 240, None), (4, 2, "Peach", "Xtra", 235, None),
@@ -197,3 +200,16 @@ def test_search_of_a_frequent_word_takes_many_tasks(spark, monkeypatch):
     rows = found.select("query", "key", F.spark_partition_id().alias("task")).collect()
     assert len(rows) == len({(r["query"], r["key"]) for r in rows}) == 4000 and {r["query"] for r in rows} == {1, 2}
     assert max(sum(r["task"] == k for r in rows) for k in {r["task"] for r in rows}) < 1000  # before, all were met in one
+
+
+def largest_task(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_relative_to_absolute_takes_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(infer, "TASK_ROWS", 100, raising=False)
+    k = F.col("id")
+    rows = spark.range(2000).coalesce(1).select("id", (k % 50).alias("place"), F.lit("T").alias("type"), k.cast("string").alias("name"), F.when(k < 50, k).alias("start"), F.when(k >= 50, F.concat((k % 50).cast("string"), F.lit(" +3"))).alias("relative"))
+    out = infer.relative_to_absolute(rows)
+    assert {r["id"]: r["start"] for r in out.collect()} == {k: k if k < 50 else k % 50 + 3 for k in range(2000)}
+    assert largest_task(out) < 800  # before, one task
