@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import format_tags, parse_tags, search_key
 
+#: Keys that a task compares.
+TASK_KEYS = 1_000_000
+
 
 def lookup_or_self(df: DataFrame, value: str, names: DataFrame, keys: list[str], short: str, full: str, output: str) -> DataFrame:
     """``full`` of the name whose keys and ``short`` equal the row's keys and ``value``, else ``value`` itself.
@@ -100,9 +103,11 @@ def drop_unconfirmed(entities: DataFrame, ignore: str = "ignore") -> DataFrame:
 
 
 def missing_references(df: DataFrame, keys: list[str], dimension: DataFrame, dimension_keys: list[str] | None = None) -> DataFrame:
-    """Distinct keys that the dimension lacks."""
+    """Distinct keys that the dimension lacks. Both sides are dealt out by key, ``TASK_KEYS`` of the longer one a task."""
     known = dimension.select(*[F.col(d).alias(k) for d, k in zip(dimension_keys or keys, keys, strict=True)])
-    return df.select(*keys).distinct().join(known, keys, "left_anti")
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-max(df.count(), known.count()) // TASK_KEYS))
+    dealt = lambda rows: rows.repartition(tasks, *keys).distinct()
+    return dealt(df.select(*keys)).join(dealt(known), keys, "left_anti")
 
 
 def alias_conflicts(entities: DataFrame, scope: list[str], key: str, aliases: str | None = None) -> DataFrame:

@@ -213,3 +213,13 @@ def test_relative_to_absolute_takes_tasks_by_rows(spark, monkeypatch):
     out = infer.relative_to_absolute(rows)
     assert {r["id"]: r["start"] for r in out.collect()} == {k: k if k < 50 else k % 50 + 3 for k in range(2000)}
     assert largest_task(out) < 800  # before, one task
+
+
+def test_checks_take_tasks_by_keys(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TASK_KEYS", 100, raising=False)
+    monkeypatch.setattr(resolve, "TASK_KEYS", 100, raising=False)
+    twice = spark.range(4000).coalesce(1).select((F.col("id") % 2000).alias("a"), (F.col("id") % 1000 % 7).alias("b"))
+    found = quality.duplicate_keys(twice, ["a", "b"])
+    assert found.count() == 2000 and largest_task(found) < 800  # before, one task
+    lost = resolve.missing_references(twice, ["a"], spark.range(1000).select(F.col("id").alias("k")), ["k"])
+    assert lost.count() == 1000 and largest_task(lost) < 500
