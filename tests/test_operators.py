@@ -223,3 +223,10 @@ def test_checks_take_tasks_by_keys(spark, monkeypatch):
     assert found.count() == 2000 and largest_task(found) < 800  # before, one task
     lost = resolve.missing_references(twice, ["a"], spark.range(1000).select(F.col("id").alias("k")), ["k"])
     assert lost.count() == 1000 and largest_task(lost) < 500
+
+
+def test_one_file_is_spread(spark, sf_dir):
+    df = spark.range(1000).coalesce(1)
+    assert spread(df, rows=100).rdd.getNumPartitions() == 10 and spread(df, "id", rows=100).count() == 1000
+    rows = queries.observed(Star(spark, sf_dir))
+    assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()  # before, tasks grew with the input
