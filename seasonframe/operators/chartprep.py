@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,22 @@ def uncharted_counts(df: DataFrame, group: list[str]) -> DataFrame:
     return df.groupBy(*group).agg(F.count_if(why.isNull()).alias("n_charted"), F.count_if(F.coalesce(why == "no time", F.lit(False))).alias("n_without_time"), F.count_if(F.coalesce(why == "unknown anchor", F.lit(False))).alias("n_unknown_anchor"))
 
 
+def relative_counts(df: DataFrame, offsets: DataFrame, group: list[str], offset: str = "offset", anchor_type: str = "anchor_type", anchor_name: str = "anchor_name") -> DataFrame:
+    """What ``uncharted_counts`` says of ``chart_relative``: from one count an anchor of a group, without charting a row."""
+    able = chartable_relative(F.col(offset), F.col(anchor_name), F.col(anchor_type))
+    counts = df.groupBy(*group, able.alias("__able"), F.when(able, F.col(anchor_type)).alias(anchor_type), F.when(able, F.col(anchor_name)).alias(anchor_name)).agg(F.count("*").alias("__n"))
+    days = offsets.select(F.col("type").alias(anchor_type), F.col("name").alias(anchor_name), F.col("day").alias("__day"))
+    # rows of a null group meet no anchor, and so are not charted; those without time stay
+    there = reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group], F.lit(True))
+    counts = counts.filter(there | ~F.col("__able")).join(days, [anchor_type, anchor_name], "left")
+    n, known = F.col("__n"), F.col("__day").isNotNull()
+    total = lambda which: F.coalesce(F.sum(F.when(F.col("__able") & which, n)), F.lit(0))
+    found = counts.groupBy(*group).agg(F.count_if("__able").alias("__anchors"), total(known).alias("__known"), total(~known).alias("__unknown"), F.coalesce(F.sum(F.when(~F.col("__able"), n)), F.lit(0)).alias("n_without_time"))
+    single = F.col("__anchors") == 1
+    charted = F.when(single, F.col("__known") + F.col("__unknown")).otherwise(F.col("__known"))
+    return found.select(*group, charted.alias("n_charted"), "n_without_time", F.when(single, F.lit(0).cast("long")).otherwise(F.col("__unknown")).alias("n_unknown_anchor"))
+
+
 def chart_relative(df: DataFrame, offsets: DataFrame, group: list[str], kind: str = "type", name: str = "name", offset: str = "offset", anchor_type: str = "anchor_type", anchor_name: str = "anchor_name", row_id: str = "id", keep_uncharted: bool = False) -> DataFrame:
     """Rows with ``x`` (days after the group's earliest anchor), ``width``, ``sequence``, ``chunk`` and the marks
     ``is_earliest`` and ``is_most_numerous`` of their anchor.

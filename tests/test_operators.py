@@ -230,3 +230,12 @@ def test_one_file_is_spread(spark, sf_dir):
     assert spread(df, rows=100).rdd.getNumPartitions() == 10 and spread(df, "id", rows=100).count() == 1000
     rows = queries.observed(Star(spark, sf_dir))
     assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()  # before, tasks grew with the input
+
+
+def test_relative_counts(spark):
+    rows = [(k, f"p{k % 5}", "T", str(k), [3, None, 0][k % 3 if k % 5 else 0], None if k % 11 == 0 else "A", None if k % 7 == 0 else "ab"[k % 2] if k % 5 != 3 else "a") for k in range(400)] + [(900, None, "T", "x", 1, "A", "a"), (901, None, "T", "x", None, "A", "a")]
+    df = spark.createDataFrame(rows, "id long, place string, type string, name string, offset int, anchor_type string, anchor_name string")
+    offsets = spark.createDataFrame([("A", "b", 5)], "type string, name string, day int")
+    want = chartprep.uncharted_counts(chartprep.chart_relative(df, offsets, ["place"], keep_uncharted=True), ["place"])
+    got = chartprep.relative_counts(df, offsets, ["place"])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 6
