@@ -97,18 +97,25 @@ def write_trigram_index(index: DataFrame, table: str, buckets: int = 64, path: s
     (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
+def index_sizes(index: DataFrame) -> DataFrame:
+    """(trigram, __size): counted where the postings lie, so that of each task only its distinct trigrams are moved.
+
+    Were postings dealt out by trigram before, a task would have all those of a frequent one.
+    """
+    return index.groupBy("trigram").agg(F.count("*").alias("__size"))
+
+
 def search_index(queries: DataFrame, index: DataFrame, entities: DataFrame, key: str, field: str, query: str = "query", word: str = "word") -> DataFrame:
     """(query, key) of a table of (query, word): each word's rarest trigrams meet the index, and hits are verified.
 
-    The index is counted for the trigrams that are asked for; a word with one that it lacks has no hit. A key needs
+    Postings are counted a trigram; a word with a trigram that the index lacks has no hit. A key needs
     the two rarest of a word; only such candidates are joined with their text. The postings that words meet number what the
     counts say, and are dealt out by key to as many tasks as that asks for.
     """
     low = F.lower(F.col(word))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda k: F.substr(low, k, F.lit(3))))
     asked = queries.filter(F.length(word) >= 3).select(query, word, F.explode(grams).alias("trigram"))
-    sizes = index.join(asked.select("trigram").distinct(), "trigram", "left_semi").groupBy("trigram").agg(F.count("*").alias("__size"))
-    sized = asked.join(sizes, "trigram", "left").withColumn("__size", F.coalesce("__size", F.lit(0)))
+    sized = asked.join(index_sizes(index), "trigram", "left").withColumn("__size", F.coalesce("__size", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy(query, word).orderBy("__size", "trigram"))
     rarest = sized.withColumn("__k", rank).filter((F.col("__k") <= 2) & (F.col("__size") > 0))
     rarest = rarest.withColumn("__n", F.count("*").over(Window.partitionBy(query, word)))

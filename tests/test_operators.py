@@ -202,6 +202,31 @@ def test_search_of_a_frequent_word_takes_many_tasks(spark, monkeypatch):
     assert max(sum(r["task"] == k for r in rows) for k in {r["task"] for r in rows}) < 1000  # before, all were met in one
 
 
+def test_postings_are_counted_before_they_are_dealt_out_by_trigram(spark):
+    df = spark.range(2000).select(F.col("id").alias("key"), F.lit("red car").alias("name")).coalesce(1)
+    asked = spark.createDataFrame([(1, "red"), (2, "ed c"), (3, "blue"), (4, "re")], "query int, word string")
+    sc = spark.sparkContext
+
+    def moved():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        index = search.build_trigram_index(df, "key", "name").unionByName(spark.createDataFrame([("red", -1)], "trigram string, key long"))
+        earlier = moved()
+        sizes = {r["trigram"]: r["__size"] for r in search.index_sizes(index).collect()}
+        found = search.search_index(asked, index, df, "key", "name")
+        most = max(n for k, n in moved().items() if k not in earlier)
+        rows = found.select("query", "key").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes == {"red": 2001, "ed ": 2000, "d c": 2000, " ca": 2000, "car": 2000}
+    assert most <= 2000  # the texts; before, all 10,000 postings
+    assert len(rows) == 4000 and {r["query"] for r in rows} == {1, 2}
+
+
 def largest_task(df):
     return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
 
