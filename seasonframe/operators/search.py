@@ -121,10 +121,14 @@ def search_index(queries: DataFrame, index: DataFrame, entities: DataFrame, key:
     rarest = rarest.withColumn("__n", F.count("*").over(Window.partitionBy(query, word)))
     rarest = materialized(rarest.select(query, word, "trigram", "__size", "__n"))
     rows, postings = rarest.agg(F.count("*"), F.coalesce(F.sum("__size"), F.lit(0))).first()
-    # the index may be small on disk and long: it stays where it is, and few rows go to it
-    hits = index.join(F.broadcast(rarest) if rows <= SENT_ROWS else rarest, "trigram")
     tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-max(postings, entities.count()) // TASK_ROWS))
-    met = hits.select(query, word, key, "__n").repartition(tasks, key).groupBy(query, word, key).agg(F.count("*").alias("__met"), F.first("__n").alias("__n")).filter(F.col("__met") == F.col("__n"))
+    if rows <= SENT_ROWS:
+        # the index may be small on disk and long, and a bucket hold a trigram of many words: each posting moves once, words meet it there
+        wanted = index.join(F.broadcast(rarest.select("trigram").distinct()), "trigram", "left_semi")
+        hits = wanted.repartition(tasks, key).join(F.broadcast(rarest), "trigram").select(query, word, key, "__n")
+    else:
+        hits = index.join(rarest, "trigram").select(query, word, key, "__n").repartition(tasks, key)
+    met = hits.groupBy(query, word, key).agg(F.count("*").alias("__met"), F.first("__n").alias("__n")).filter(F.col("__met") == F.col("__n"))
     texts = entities.select(key, F.col(field).alias("__text")).repartition(tasks, key)
     return met.join(texts, key).filter(F.lower("__text").contains(F.lower(F.col(word)))).select(query, key).distinct()
 

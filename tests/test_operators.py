@@ -202,23 +202,34 @@ def test_search_of_a_frequent_word_takes_many_tasks(spark, monkeypatch):
     assert max(sum(r["task"] == k for r in rows) for k in {r["task"] for r in rows}) < 1000  # before, all were met in one
 
 
-def test_postings_are_counted_before_they_are_dealt_out_by_trigram(spark):
-    df = spark.range(2000).select(F.col("id").alias("key"), F.lit("red car").alias("name")).coalesce(1)
-    asked = spark.createDataFrame([(1, "red"), (2, "ed c"), (3, "blue"), (4, "re")], "query int, word string")
+def moved(spark):
+    """Rows that each stage has written for a shuffle."""
     sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
 
-    def moved():
-        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
-        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
 
+def test_a_posting_moves_once_for_all_words_that_it_meets(spark):
+    df = spark.range(2000).select(F.col("id").alias("key"), F.lit("red car").alias("name")).coalesce(1)
+    asked = spark.createDataFrame([(k, w) for k in range(25) for w in ("red", "d car")], "query int, word string")
+    index = search.build_trigram_index(df, "key", "name")
+    earlier = moved(spark)
+    rows = search.search_index(asked, index, df, "key", "name").select("query", "key").collect()
+    assert len(rows) == len(set(rows)) == 25 * 2000
+    assert max(n for k, n in moved(spark).items() if k not in earlier) <= 10_000  # the index; before, 25 times three postings of a text
+
+
+def test_postings_are_counted_before_they_are_dealt_out_by_trigram(spark):
+    df = spark.range(2000).select(F.col("id").alias("key"), F.lit("red car").alias("name")).coalesce(1)
+    asked = spark.createDataFrame([(1, "red"), (2, "ed c"), (3, "blue"), (4, "re")], "query int, word string")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         index = search.build_trigram_index(df, "key", "name").unionByName(spark.createDataFrame([("red", -1)], "trigram string, key long"))
-        earlier = moved()
+        earlier = moved(spark)
         sizes = {r["trigram"]: r["__size"] for r in search.index_sizes(index).collect()}
         found = search.search_index(asked, index, df, "key", "name")
-        most = max(n for k, n in moved().items() if k not in earlier)
+        most = max(n for k, n in moved(spark).items() if k not in earlier)
         rows = found.select("query", "key").collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
