@@ -1,13 +1,18 @@
 """The inference against a plain model of its rules, row by row."""
 
+import os
 import random
+import time
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from seasonframe.functions import dims
+from seasonframe.lineage import shared_folder
 from seasonframe.operators import infer
+from seasonframe.plans import queries
+from seasonframe.plans.registry import Star
 
 SCHEMA = "id int, place int, type string, name string, start int, ref_type string, ref_name string, days int, score double, devalue double"
 ANCHORS = {"Peach": ("Peach", "Redhaven"), "Nectarine": ("Peach", "Redhaven"), "Apple": ("Apple", "Red Delicious")}
@@ -140,3 +145,23 @@ def test_consensus_rounds_halves_alike_in_any_order(spark):
         df = spark.createDataFrame(rows, "k int, x int, w double").repartition(3).withColumn("u", infer.weight_units(F.col("w")))
         sums = df.groupBy("k").agg(F.sum(F.col("x") * F.col("u")).alias("wx"), F.sum("u").alias("w"))
         assert {r["k"]: r["m"] for r in sums.select("k", infer.rounded_mean("wx", "w").alias("m")).collect()} == want
+
+
+def test_little_stays_on_disk(spark, sf_dir):
+    """Observations are dealt out once and written; what the rounds write and shuffle is gone when they end."""
+    star = Star(spark, sf_dir)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b for b in manager.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before = shuffled()
+    rows = queries._referring(star)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    anchors = queries.part_anchors(star)
+    found, entities = infer.infer_offsets(rows, anchors)
+    for _ in range(50):  # files are removed beside the jobs
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    folder = shared_folder(spark).removeprefix("file:")
+    assert not [f for f in os.listdir(folder) if f.startswith("inference-")]
+    assert found.count() == rows.count() and entities.count() > 0
