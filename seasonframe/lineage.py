@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of two numbers that are sent to all tasks.
+SENT_PAIRS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +50,11 @@ def spread(df: DataFrame, *columns: str, rows: int = 250_000) -> DataFrame:
     return df.repartition(tasks, *(columns or [F.monotonically_increasing_id()]))
 
 
+def sent_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of two numbers, to be sent to all tasks if they are few; they are counted."""
+    return F.broadcast(rows) if rows.count() <= SENT_PAIRS else rows
+
+
 def number_rows(df: DataFrame, order: list[str], output: str) -> DataFrame:
     """Numbers from 1 in order, without gaps: sorted ranges are counted, and each starts where the last one ended.
 
@@ -95,14 +101,19 @@ def number_within(df: DataFrame, group: list[str], order: list[Column], output:
 
 
 @contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Within, what a job shuffled is removed when it ends; else it stays until the driver happens to collect garbage."""
-    before = spark.conf.get(_RELEASE, None)
-    spark.conf.set(_RELEASE, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within, the session has a setting; after, what it had before."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def shuffles_released(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within, what a job shuffled is removed when it ends; else it stays until the driver happens to collect garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def written(df: DataFrame, path: str, by: list[str] | None = None, codec: str = "snappy") -> DataFrame:

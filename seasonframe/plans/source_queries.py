@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import shared_folder
+from ..lineage import sent_pairs, shared_folder
 from ..operators import changes, resolve
 from ..sources import documents as source
 from .queries import OBSERVED, POINTS, observed, points
@@ -73,7 +73,7 @@ named AS (SELECT place, part, type, p_size, start, CAST(part AS VARCHAR) || suff
 
 
 def _titled(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.join(docs.select("source_id", F.regexp_extract("path", "doc=([0-9]+)/", 1).cast("bigint").alias("place_key")), "source_id")
+    return rows.join(sent_pairs(docs.select("source_id", F.regexp_extract("path", "doc=([0-9]+)/", 1).cast("bigint").alias("place_key"))), "source_id")
 
 
 @query(f"WITH {_ENTRIES} SELECT place AS place_key, type, name, start || ' days' AS harvest_time FROM named")

@@ -5,11 +5,13 @@ Unreadable documents go to a quarantine frame instead of ending the job.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import split_source_path
-from ..lineage import number_rows
+from ..lineage import number_rows, sent_pairs, setting, shared_folder, written
 
 PLACE = "struct<short_name:string,name:string,latitude:double,longitude:double>"
 ENTRY = (
@@ -40,25 +42,36 @@ def normalize_json5(text: Column) -> Column:
 
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.json5") -> DataFrame:
-    """(file, text): each file below the folder whole."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    """(file, text): each file below the folder whole.
+
+    Folders are listed, and files read, by some tasks a core and not by one task for each folder or few files.
+    """
+    least = 4 * spark.sparkContext.defaultParallelism
+    with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(least)):
+        rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
     # paths come percent-encoded; a plus sign is no space
     file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return rows.select(file.alias("file"), normalize_json5(F.col("value")).alias("text"))
+    rows = rows.select(file.alias("file"), F.col("value"))
+    # a partition counts a small file as 4 MB, and so has 32 of them at most
+    rows = rows.coalesce(max(least, rows.rdd.getNumPartitions() // 32))
+    return rows.select("file", normalize_json5(F.col("value")).alias("text"))
 
 
 def read_documents(spark: SparkSession, folder: str, schema: str = PUBLICATION, pattern: str = "*.json5") -> tuple[DataFrame, DataFrame]:
     """(documents, quarantine), one document a file. Documents have ``path``, ``filename`` and the fields; ids follow the sorted file names.
 
-    Numbering sorts the files' names only, of which there is one a document.
+    Each file is read and parsed once; the documents are written, and all that follows reads the columns it needs. Numbering
+    sorts the files' names only, of which there is one a document.
     """
     texts = read_texts(spark, folder, pattern)
     parsed = texts.select("file", F.from_json("text", schema, {**_RELAXED, "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
     corrupt = F.col("d").isNull() | F.col("d._corrupt").isNotNull()
-    good = parsed.filter(~corrupt)
-    ids = number_rows(good.select("file"), ["file"], "source_id")
-    documents = good.join(ids, "file").select("source_id", split_source_path(F.col("file")).alias("p"), "d.*").select("source_id", "p.path", "p.filename", "*").drop("p", "_corrupt")
-    return documents, parsed.filter(corrupt).select("file", F.col("d._corrupt").alias("text"))
+    parsed = parsed.select("*", corrupt.alias("__bad"), F.monotonically_increasing_id().alias("__n"))
+    parsed = written(parsed, f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}", codec="zstd")
+    good = parsed.filter(~F.col("__bad"))
+    ids = sent_pairs(number_rows(good.select("file", "__n"), ["file"], "source_id").select("__n", "source_id"))
+    documents = good.join(ids, "__n").select("source_id", split_source_path(F.col("file")).alias("p"), "d.*").select("source_id", "p.path", "p.filename", "*").drop("p", "_corrupt")
+    return documents, parsed.filter("__bad").select("file", F.col("d._corrupt").alias("text"))
 
 
 def explode_places(documents: DataFrame) -> DataFrame:

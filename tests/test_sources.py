@@ -50,6 +50,14 @@ def test_documents(spark, tree):
     assert [r[0] for r in S.needs_help_lines(docs, "https://h/").collect()] == ["* [Oregon State/a+b/One File](https://h/Oregon%20State/a%2Bb/One%20File.json5)"]
 
 
+def test_files_are_read_once(spark, tree):
+    """What follows reads the written documents, and the whole documents aren't shuffled for their numbers."""
+    docs, bad = S.read_documents(spark, str(tree / "references"))
+    for rows in (docs, bad, S.explode_places(docs), S.explode_entry_places(S.explode_entries(docs)[0])):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in plan and "FileScan text" not in plan and "from_json(StructField(title" not in plan and "hashpartitioning" not in plan
+
+
 def test_entities_types_and_facts(spark, tree, tmp_path):
     found = {(r["type"], r["name"]) for r in S.read_entities(spark, str(tree / "curated"))[0].collect()}
     assert found == {("Peach", "Redhaven"), ("Peach", "Unseen"), ("Quince", "Quince X")}
