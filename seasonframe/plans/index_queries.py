@@ -106,9 +106,10 @@ s AS (SELECT query, key, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank, key, score FROM s QUALIFY rank <= 10""")
 def ranked_search(t: Star) -> DataFrame:
     """Every hundredth document as a query against all: the ten best of each by BM25."""
-    postings, terms = ranking.build_postings(t.documents, "doc_id", "text", scratch(t.spark, "postings"))
+    counted = ranking.count_words(t.documents, "doc_id", "text", scratch(t.spark, "words"))
+    postings, terms = ranking.postings_of(counted)
     asked = t.documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text")
-    found = ranking.bm25_top(asked, postings, terms, k=10, digits=6)
+    found = ranking.bm25_top(asked, postings, terms, k=10, digits=6, counted=counted)
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
