@@ -97,7 +97,8 @@ def explode_entry_places(entries: DataFrame, locations: str = "locations", time:
     """
     rows = entries.withColumn("__l", F.explode_outer(locations))
     nested = F.when(F.col("__l").startswith("{"), F.from_json("__l", "map<string,string>"))
-    pairs = F.when(nested.isNotNull(), F.map_entries(nested)).otherwise(F.array(F.struct(F.col("__l").alias("key"), F.col(time).alias("value"))))
+    # named once, so that an object is parsed once
+    pairs = F.coalesce(F.map_entries(nested), F.array(F.struct(F.col("__l").alias("key"), F.col(time).alias("value"))))
     rows = rows.withColumn("__e", F.explode(pairs)).filter(F.col("__e.value").isNull() | (F.col("__e.value") != "NA"))
     return rows.withColumn("place", F.col("__e.key")).withColumn("time", F.col("__e.value")).drop("__l", "__e", locations)
 

@@ -58,6 +58,14 @@ def test_files_are_read_once(spark, tree):
         assert "FileScan parquet" in plan and "FileScan text" not in plan and "from_json(StructField(title" not in plan and "hashpartitioning" not in plan
 
 
+def test_objects_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, "t", ["A", '{"B": "Jun", "C": "NA"}', "{broken", "{}"]), (2, "u", None), (3, None, ['{"D": null}'])], "id int, harvest_time string, locations array<string>")
+    out = S.explode_entry_places(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    got = sorted((r["id"], r["place"] or "", r["time"] or "") for r in out.collect())
+    assert got == [(1, "A", "t"), (1, "B", "Jun"), (1, "{broken", "t"), (2, "", "u"), (3, "D", "")]
+
+
 def test_entities_types_and_facts(spark, tree, tmp_path):
     found = {(r["type"], r["name"]) for r in S.read_entities(spark, str(tree / "curated"))[0].collect()}
     assert found == {("Peach", "Redhaven"), ("Peach", "Unseen"), ("Quince", "Quince X")}
